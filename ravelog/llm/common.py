@@ -33,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (a shuffled join, split by AQE where skewed).
+
+    For narrow tables that are cut already, so that counting reads no more than them.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (node, root): the smallest node each node of ``edges`` (a, b) can reach.
 
