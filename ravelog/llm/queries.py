@@ -68,3 +68,31 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_line_dedup, op2_nearest, op3_main_text, op4_simhash_dedup, op5_decontaminate, op6_personal_data, op7_mix_sources, op8_toxicity, op9_licenses, op10_chat_format, pipeline)
     return {f.__name__: f for f in own}
+
+
+ORACLES = {
+    "op2_nearest": """with v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
+        and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, x -> x <> 0))),
+      s as (select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.e, c.e) as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+      r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+      select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+    "op5_decontaminate": r"""with dw as (select doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') as w from documents),
+      iw as (select item_id, regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') as w from benchmark where item_id is not null and text is not null),
+      win as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as g from iw, range(1, 100000) t(i) where len(w) > 0 and i <= len(w) - least(10, len(w)) + 1),
+      sizes as (select distinct n from win),
+      grams as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, greatest(1, len(w) - n + 2))) as i from dw, sizes where len(w) >= n)),
+      hits as (select doc_id, grams.n, i, item_id from grams join win on grams.n = win.n and grams.g = win.g),
+      words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by 1),
+      items as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as names from (select distinct doc_id, cast(item_id as varchar) as s from hits) group by 1)
+      select dw.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from dw left join words using (doc_id) left join items using (doc_id)""",
+    "op10_chat_format": r"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+      e as (select *, length(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</', '<\/')) as body, case role when 'system' then 11 when 'user' then 9 when 'assistant' then 14
+        else 9 + 7 + length(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</', '<\/')) end as head from c)
+      select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(head + body + 7) as bigint) as formatted_chars from e group by conv_id""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
