@@ -72,7 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 ORACLES = {
     "op2_nearest": """with v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
-        and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, x -> x <> 0))),
+        and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
       s as (select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.e, c.e) as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
       r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
       select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
