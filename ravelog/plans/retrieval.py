@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -154,16 +154,16 @@ def phrase_hits(docs: DataFrame, queries: DataFrame, block: int = 50_000) -> Dat
     out = None
     for i in range(n):
         part = wanted if n == 1 else wanted.where(F.pmod(F.xxhash64("hub_id", "query_id"), F.lit(n)) == i)
-        found = _phrase_block(docs, [(r["hub_id"], r["query_id"], r["phrase"]) for r in part.toLocalIterator()])
+        found = _phrase_block(docs, [(r["hub_id"], r["query_id"], r["phrase"]) for r in part.toLocalIterator()], dict(queries.dtypes)["query_id"])
         out = found if out is None else out.union(found)
     return out
 
 
-def _phrase_block(docs: DataFrame, rows: list[tuple]) -> DataFrame:
-    kind = dict(docs.dtypes)["doc_id"]
+def _phrase_block(docs: DataFrame, rows: list[tuple], query_kind: str) -> DataFrame:
+    kind, query_type = dict(docs.dtypes)["doc_id"], pa.string() if query_kind == "string" else pa.int64()
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton, asked = ahocorasick.Automaton(), {}
@@ -173,13 +173,16 @@ def _phrase_block(docs: DataFrame, rows: list[tuple]) -> DataFrame:
         if asked:
             automaton.make_automaton()
         for b in batches:
-            hits = []
-            for hub, doc, text in zip(b["hub_id"], b["doc_id"], b["text"], strict=True):
-                for phrase in {p for _, p in automaton.iter((text or "").lower())} if asked else ():
-                    hits += [(hub, q, doc) for h, q in asked[phrase] if h == hub]
-            yield pd.DataFrame(hits, columns=["hub_id", "query_id", "doc_id"])
+            rows, queries = [], []
+            for i, (hub, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2), strict=True)):
+                for phrase in {p for _, p in automaton.iter((text.as_py() or "").lower())} if asked else ():
+                    for query in (q for h, q in asked[phrase] if h == hub):
+                        rows.append(i)
+                        queries.append(query)
+            hit = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([hit.column(0), pa.array(queries, query_type), hit.column(1)], names=["hub_id", "query_id", "doc_id"])
 
-    return docs.select("hub_id", "doc_id", "text").mapInPandas(run, f"hub_id string, query_id string, doc_id {kind}")
+    return docs.select("hub_id", "doc_id", "text").mapInArrow(run, f"hub_id string, query_id {query_kind}, doc_id {kind}")
 
 
 def bm25(matches: DataFrame, stats: DataFrame) -> Column:
@@ -198,10 +201,10 @@ def recency(instant: Column, day: Column, q: DataFrame | None = None) -> Column:
     now, half = F.col("ref_now"), F.greatest(F.lit(1.0), F.coalesce("half_life", F.lit(1440.0)))
     minutes = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / F.lit(60_000_000.0)
     noon = F.to_timestamp("target_day") + F.expr("interval 12 hours")
-    around = F.when(F.col("symmetric"), F.abs(minutes(instant, noon))).otherwise(F.greatest(F.lit(0.0), minutes(now, instant)))
+    around = F.when(F.col("symmetric"), F.abs(minutes(instant, noon))).otherwise(F.greatest(F.lit(0.0), minutes(now, instant)))  # only read where the instant is known
     by_day = F.abs(F.datediff(day, F.when(F.col("symmetric"), F.col("target_day")).otherwise(F.to_date(now)))) * 1440.0
     timed_age = F.when(instant.isNotNull(), around).otherwise(by_day)
-    plain_age = F.when(instant.isNotNull(), F.greatest(F.lit(0.0), minutes(now, instant))).otherwise(F.greatest(F.lit(0), F.datediff(F.to_date(now), day)) * 1440.0)
+    plain_age = F.when(instant.isNotNull(), F.greatest(F.lit(0.0), minutes(now, instant))).when(day.isNotNull(), F.greatest(F.lit(0), F.datediff(F.to_date(now), day)) * 1440.0)
     age = F.when(F.col("kind").isNotNull(), timed_age).otherwise(plain_age)
     score = F.when(age.isNull(), 0.0).when(F.col("kind").isNotNull(), RECENCY_TIMED * F.pow(F.lit(0.5), age / half)).otherwise(RECENCY_PLAIN * F.greatest(F.lit(0.0), 1 - age / 1440.0 / RECENCY_DAYS))
     return F.struct(score.alias("score"), age.alias("age_minutes"))
