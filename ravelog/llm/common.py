@@ -44,13 +44,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+EDGES_A_TASK = 200_000
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (node, root): the smallest node each node of ``edges`` (a, b) can reach.
 
     Large-star and small-star rounds (Kiveris et al., 2014) until nothing moves.
     Every step is a partial ``min`` and a join, so a node with very many
-    neighbours is pre-aggregated and its join can be split by AQE. Nodes without
-    an edge are not returned; an empty input gives an empty result.
+    neighbours is pre-aggregated and its join can be split by AQE. A round uses as
+    many tasks as its edges need (``EDGES_A_TASK`` each), so small graphs leave few
+    files. Nodes without an edge are not returned; an empty input gives an empty result.
     """
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -58,12 +62,14 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         mark = pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(20, 0)))")).first()
         if mark[0] == 0 or tuple(mark) == seen:
             break
-        seen = tuple(mark)
-        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        seen, tasks = tuple(mark), 1 + mark[0] // EDGES_A_TASK
+        few = pairs.coalesce(tasks)
+        both = few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("a <> m")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
+        large = large.union(least.where("a <> m").coalesce(tasks))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down)
-        pairs = cut(small.where("a <> b").distinct())
+        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).union(down.coalesce(tasks))
+        pairs = cut(small.where("a <> b").distinct().coalesce(tasks))
     roots = pairs.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

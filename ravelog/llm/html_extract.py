@@ -28,7 +28,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</?[a-zA-Z](?:[^>\"'
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 ROLE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 ENDS = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
-WORD_SCORE, TAG_SCORE, ASIDE_SCORE = 1.0, -2.0, -4.0
+WORD_SCORE, TAG_SCORE, OUTSIDE_SCORE, ASIDE_SCORE = 1.0, -0.4, -4.0, -0.25
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
@@ -134,8 +134,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     for kind, value, hidden, label in parsed:
         if kind != "text":
             scores.append(weights.get(value, TAG_SCORE) if value in BLOCK and not label else -0.05)
-        elif hidden or labels and not label:
-            scores.append(ASIDE_SCORE * len(value.split()))
+        elif labels and not label:
+            scores.append(OUTSIDE_SCORE * len(value.split()))
+        elif hidden:  # left out of the text wherever it stands, so it hardly splits a region
+            scores.append(0.0 if label else ASIDE_SCORE * len(value.split()))
         else:
             scores.append(weights.get("#word", WORD_SCORE) * len(value.split()))
     start, end = best_region(scores)
