@@ -133,7 +133,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     scores = []
     for kind, value, hidden, label in parsed:
         if kind != "text":
-            scores.append(weights.get(value, TAG_SCORE) if value in BLOCK and not label else -0.05)
+            scores.append(weights.get(value, TAG_SCORE) if value in BLOCK and not label and not hidden else -0.05)
         elif labels and not label:
             scores.append(OUTSIDE_SCORE * len(value.split()))
         elif hidden:  # left out of the text wherever it stands, so it hardly splits a region
