@@ -94,11 +94,12 @@ def fit_weights(pages: DataFrame, max_pages: int = 20_000) -> dict[str, float]:
     """Scores of words and tags from pages that label their article themselves.
 
     A score is the log odds of the token inside and outside of <article> or <main>,
-    clipped so that words stay positive and tags negative. ``max_pages`` bounds the
-    sample of labelled pages (those with the smallest hash of the page id).
+    clipped so that words stay positive and tags negative. The sample of labelled
+    pages, chosen by a hash of the page id, has about ``max_pages`` pages at most.
     """
     labelled = pages.select("page_id", F.col("html").cast("string").alias("html")).where(F.lower("html").rlike("<(article|main)"))
-    sample = labelled.orderBy(F.xxhash64(F.col("page_id"), F.lit(11)), "page_id").limit(max_pages) if labelled.count() > max_pages else labelled
+    share = min(1.0, max_pages / max(1, labelled.count()))
+    sample = labelled.where(F.pmod(F.xxhash64(F.col("page_id"), F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
