@@ -202,8 +202,8 @@ def check_marks(marks: DataFrame, memories: DataFrame, events: DataFrame) -> Dat
         .when(F.col("ts").isNotNull() & ids.instant(F.col("ts")).isNull(), "ts")
     )
     rows = marks.withColumn("__mark", F.monotonically_increasing_id()).withColumn("problem", shape)
-    rows = rows.join(has(known, "__known"), (rows.hub_id == known.hub_id) & (rows.memory_id == known.__getattr__("__id")), "left").drop(known.hub_id, "__id")
-    rows = rows.join(has(twice, "__twice"), (rows.hub_id == twice.hub_id) & (rows.memory_id == twice.__getattr__("__id")), "left").drop(twice.hub_id, "__id")
+    for df, name in ((known, "__known"), (twice, "__twice")):
+        rows = rows.join(has(df.withColumnRenamed("__id", "memory_id"), name), ["hub_id", "memory_id"], "left")
     named = rows.select("hub_id", "__mark", F.col("memory_id").alias("src"), F.explode("replacement_ids").alias("dst"))
     named = named.join(has(known.withColumnRenamed("__id", "dst"), "__k"), ["hub_id", "dst"], "left").join(has(twice.withColumnRenamed("__id", "dst"), "__t"), ["hub_id", "dst"], "left")
     loops = has(would_close(edges_of(memories, events), named.select("hub_id", "src", "dst").distinct()), "__loop")

@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Stamp before a rule, source suffix after it.
 STAMP = r"^\s*[-*]\s*\[[^\]]*\]\s*"
 SOURCES = r"\s*\((?:(?:session|sha1|sources):).*\)\s*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFKC and case folding, which Spark has no function for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())

@@ -28,7 +28,7 @@ def raw_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     One file is one row before it is split, so files are bounded by what a task can
     hold; ``tail`` reads larger, growing ones in slices.
     """
-    whole = spark.read.options(wholetext=True, **options).text(path).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    whole = spark.read.options(**options).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
     parts = whole.select("source_file", F.posexplode(F.split("value", "\n")).alias("i", "raw"), F.split("value", "\n").alias("all"))
     before = F.aggregate(F.slice("all", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 1)
     return parts.where("trim(raw) <> ''").select("source_file", (F.col("i") + 1).cast("long").alias("line_no"), before.alias("byte_offset"), "raw")
@@ -162,7 +162,7 @@ def harness(lines: DataFrame) -> DataFrame:
 def work_logs(files: DataFrame) -> DataFrame:
     """Whole Markdown files (source_file, value): one assistant event at 23:59 of the date in the name."""
     stem = F.regexp_extract("source_file", r"([^/]+)\.[^./]+$", 1)
-    text = F.trim("value")
+    text = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
     folder = F.regexp_replace("source_file", "/[^/]*$", "")
     return files.where(text != "").select(
         F.when(stem.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(stem, F.lit("T23:59:00"))).alias("ts_raw"), F.lit("qclaw").alias("agent"), F.lit("unknown").alias("model"), F.concat(F.lit("qclaw-memory-"), stem).alias("session_id"), folder.alias("cwd"),
