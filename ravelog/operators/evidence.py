@@ -85,7 +85,7 @@ def day_rollup(evidence: DataFrame) -> DataFrame:
 
 def clean_files(files: F.Column) -> F.Column:
     """File names without short, numeric and bare-variable tokens; the first of each spelling, at most 12."""
-    t = F.transform(files, F.trim)
+    t = F.transform(files, lambda x: F.trim(x))
     kept = F.filter(t, lambda f: (F.length(f) >= 4) & ~f.rlike(r"^[\d./]+$") & ~(f.rlike(r"^(~|\$|HOME)") & ~f.contains("/")))
     return F.slice(T.first_per(kept, F.lower), 1, 12)
 
@@ -100,7 +100,7 @@ NOTHING = "没有识别到足够的实际动作，无法确认该事项已完成
 
 def conclusion(results: F.Column, actions: F.Column, status: F.Column) -> F.Column:
     """One bounded conclusion for a work record."""
-    said, done = F.filter(F.transform(results, F.trim), lambda x: x != ""), F.filter(F.transform(actions, F.trim), lambda x: x != "")
+    said, done = F.filter(F.transform(results, lambda x: F.trim(x)), lambda x: x != ""), F.filter(F.transform(actions, lambda x: F.trim(x)), lambda x: x != "")
     sure = F.filter(said, lambda r: T.contains_any(r, CONFIRMING))
     last = lambda a, n: T.clip(F.element_at(a, -1), n)
     return (
