@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -38,14 +38,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp (signed 64-bit) of each row of ``docs``; a null text has no words."""
+    """doc_id, text_id (XXH64 of the text) and fp (signed 64-bit) of each row of ``docs``; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=["doc_id", "text_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_id")).mapInArrow(run, "doc_id long, text_id long, fp long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 6, n_pivots: int = 8) -> DataFrame:
@@ -63,22 +64,38 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks
     repeated rows. Other columns are ignored. An empty table gives an empty result.
     """
     marked = cut(fingerprints(docs, shingle))
+    groups = grouped(marked, distance, blocks, n_pivots)
+    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = groups.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def grouped(marked: DataFrame, distance: int, blocks: int, n_pivots: int) -> DataFrame:
+    """Rows (fp, least, root) for the distinct fingerprints of ``marked``: smallest doc_id and component."""
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = near_groups(nodes.select(F.col("fp").alias("id"), "fp"), distance, blocks, blocks - distance, n_pivots)
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one whose doc_id names it.
+def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 6, n_pivots: int = 8) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the first by doc_id, then by a hash of the text.
 
-    All columns stay as they are. Rows without a doc_id are kept only where their
-    whole group has none (one of them). Repeated doc_ids keep one row, the first by text.
+    All columns stay as they are. A null doc_id comes last, so it is kept only where
+    its whole group has none. Groups are chosen from apart, so a doc_id repeated with
+    texts of two groups keeps a row in each.
     """
-    groups = near_duplicates(docs, **parameters)
-    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    return kept.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+    marked = cut(fingerprints(docs, shingle))
+    root = grouped(marked, distance, blocks, n_pivots).select("fp", "root")
+    return first_of_groups(docs, marked.join(root, "fp"))
+
+
+def first_of_groups(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``members`` (doc_id, text_id, root)."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
+    first = members.groupBy("root").agg(F.min(place).alias("at"))
+    keep = cut(first.select(F.col("at.doc_id").alias("__doc"), F.col("at.text_id").alias("__text")).distinct())
+    text_id = F.xxhash64(docs["text"].cast("string"))
+    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__doc"]) & (text_id == keep["__text"]))
+    # Copies of the kept row are reduced before they are dealt.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.groupBy("__doc", "__text").agg(F.min(row).alias("__row")).select(*(F.col("__row")[c].alias(c) for c in docs.columns))

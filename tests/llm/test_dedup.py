@@ -146,3 +146,11 @@ def test_dense_fingerprints_match_brute_force(spark):
         parts[r].add(v)
         found[got.get(v, v)].add(v)
     assert sorted(map(sorted, parts.values())) == sorted(map(sorted, found.values()))
+
+
+def test_every_group_keeps_a_document(spark):
+    """Null ids only, a null id beside a named one, one id with texts of two groups, copies with other columns."""
+    text = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(5)]
+    rows = [(None, text[0], 2), (None, text[0], 1), (None, text[1], 1), (None, text[2], 1), (7, text[2], 1), (8, text[3], 1), (8, text[4], 1)]
+    kept = simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted((str(r.doc_id), r.text, r.n) for r in kept) == sorted((str(d), t, n) for d, t, n in [rows[1], rows[2], *rows[4:]])
