@@ -71,14 +71,17 @@ def near_groups(
     agree: int,
     n_pivots: int,
     verify: Callable[[DataFrame], DataFrame] | None = None,
+    keyed: Column | None = None,
 ) -> DataFrame:
     """Rows (node, root) for the nodes (id, fp), both long, that have a link.
 
     A link is a pair that meets under a block key, lies within ``distance`` bits
     and passes ``verify`` (edges (a, b) in, those confirmed out). ids are unique.
     With ``agree <= blocks - distance`` no pair within the distance is missed.
+    ``keyed`` is an array of other keys under which nodes meet, instead of blocks.
     """
-    keys = nodes.select(F.explode(F.array(*block_keys(F.col("fp"), blocks, agree))).alias("key"), "id", "fp")
+    keyed = F.array(*block_keys(F.col("fp"), blocks, agree)) if keyed is None else keyed
+    keys = nodes.select(F.explode(keyed).alias("key"), "id", "fp")
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.max("id").alias("tail"), F.bit_xor("fp").alias("differ"))
     # Most buckets have one member, and most of the others two that happen to meet; neither goes further.

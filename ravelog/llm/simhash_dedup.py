@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_side
 from .hamming import near_groups
 
 CHUNK = 1 << 15
+# MinHash: values a band, bands, and one odd multiplier for each value. A pair of
+# similarity s shares no band with chance (1 - s**BAND) ** BANDS: 3e-6 at 0.8.
+BAND, BANDS = 5, 32
+FACTORS = np.random.default_rng(42).integers(1 << 63, size=BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -99,3 +104,78 @@ def first_of_groups(docs: DataFrame, members: DataFrame) -> DataFrame:
     # Copies of the kept row are reduced before they are dealt.
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     return kept.groupBy("__doc", "__text").agg(F.min(row).alias("__row")).select(*(F.col("__row")[c].alias(c) for c in docs.columns))
+
+
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 values of a text's word shingles (words as in ``fingerprint``); none for a text without words."""
+    words = (text or "").encode().lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)], dtype=np.uint64))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """One signed 64-bit key for each band of MinHash values of a shingle set; a set without shingles has keys of its own."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
+    for at in range(0, len(own), 2048):
+        least = np.minimum(least, (own[None, at : at + 2048] * FACTORS[:, None]).min(axis=1))
+    rows = least.reshape(BANDS, BAND)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64)
+
+
+def set_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two packed sorted sets; two empty sets are equal."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group linked by a shingle similarity (Jaccard) of ``similarity`` or more.
+
+    Equal shingle sets are one node first. Nodes that share a MinHash band are
+    candidates: a SimHash distance wide enough for 0.8 (some 17 bits) leaves no
+    blocks that tell texts apart. Each candidate pair is then compared exactly.
+    Texts without words are one group. The survivor is chosen as in
+    ``drop_near_duplicates``.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sizes, keys = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.int32), []
+            for i, t in enumerate(b.column(2)):
+                own = shingles(t.as_py(), shingle)
+                ids[i], sizes[i] = xxhash.xxh64_intdigest(own.tobytes()), len(own)
+                keys.append(band_keys(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_id", "id", "n", "keys"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t.as_py(), shingle).tobytes() for t in some.column(1)], pa.binary())], names=["id", "own"])
+
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
+    marked = texts.mapInArrow(run, "doc_id long, text_id long, id long, n int, keys array<long>")
+    nodes = cut(marked.groupBy("id").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+
+    @F.pandas_udf("boolean")
+    def enough(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([set_similarity(p, q) >= similarity for p, q in zip(x, y, strict=True)], dtype=bool)
+
+    def confirmed(edges: DataFrame) -> DataFrame:
+        size = nodes.select("id", "n")
+        sized = edges.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
+        # No sets of such sizes are similar enough otherwise; empty sets are one node.
+        edges = cut(sized.where(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity).select("a", "b"))
+        ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+        wanted = cut(nodes.join(ends, "id").select("id", F.col("at.doc_id").alias("at_doc"), F.col("at.text_id").alias("at_text")))
+        found = texts.join(small_side(wanted), (F.col("text_id") == F.col("at_text")) & F.col("doc_id").eqNullSafe(F.col("at_doc")))
+        sets = cut(found.select("id", "text").mapInArrow(pack, "id long, own binary").dropDuplicates(["id"]))
+        pairs = edges.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        return cut(pairs.where(enough("x", "y")).select("a", "b"))
+
+    roots = near_groups(nodes.select("id", F.col("id").alias("fp"), "keys"), 64, 0, 0, 0, confirmed, F.col("keys"))
+    of = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return first_of_groups(docs, of.select("at.doc_id", "at.text_id", "root"))

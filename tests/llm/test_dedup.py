@@ -3,6 +3,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from ravelog.llm import hamming, line_dedup, simhash_dedup
 
 
@@ -154,3 +155,22 @@ def test_every_group_keeps_a_document(spark):
     rows = [(None, text[0], 2), (None, text[0], 1), (None, text[1], 1), (None, text[2], 1), (7, text[2], 1), (8, text[3], 1), (8, text[4], 1)]
     kept = simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
     assert sorted((str(r.doc_id), r.text, r.n) for r in kept) == sorted((str(d), t, n) for d, t, n in [rows[1], rows[2], *rows[4:]])
+
+
+def test_similar_documents_match_brute_force(spark, odd_docs, no_docs):
+    """The pipeline's stage: copies with words replaced, at shingle similarities on both sides of 0.8."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(30):
+        base = [f"k{k}w{i}" for i in range(int(rng.integers(3, 400)))]
+        texts.append(" ".join(base))
+        for share in (0.005, 0.01, 0.015, 0.02, 0.03):
+            texts.append(" ".join(w if rng.random() > share else "other" + w for w in base))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == set(groups(len(texts), links)) and len(got) < len(texts)
+    kept = corpus_pipeline.drop_near_duplicates(spark, odd_docs, "")
+    assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6]
+    assert corpus_pipeline.drop_near_duplicates(spark, no_docs, "").count() == 0
