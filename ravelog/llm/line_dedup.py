@@ -20,6 +20,8 @@ BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # A byte's 8 bits as four 16-bit counters in each of two long integers; a chunk's sums stay under 2**16.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype("<u2").view("<u8")
 CHUNK, TEXT_CHARS = 8000, 1 << 20
+# With so many code points a line is compared with similar ones even if it has few spaces, as in Chinese or Thai.
+FUZZY_CHARS = 20
 
 
 def normal_words(line: str) -> list[bytes]:
@@ -62,6 +64,11 @@ def line_table(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.
     words, those over three bytes twice, so neither a word repeated many times nor
     the commonest words outweigh the rest. All lines are looked at together.
     """
+    return sized_lines(texts, min_words)[:4]
+
+
+def sized_lines(texts: list[str | None], min_words: int) -> tuple[np.ndarray, ...]:
+    """``line_table``, then words and code points of each normalised line."""
     data = [(t or "").encode().translate(NORMAL_LINES) for t in texts]
     n_lines = np.array([d.count(b"\n") + 1 for d in data])
     x = np.frombuffer(b"\n".join(data), np.uint8)
@@ -73,11 +80,14 @@ def line_table(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.
     which = np.flatnonzero(count >= min_words)
     if not len(which):
         none = np.empty(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.view(np.uint64), none.view(np.uint64), none, none
     h = run_hashes(x[letter].astype(np.uint64), np.cumsum(size) - size, size, BASE)
     good = count[line] >= min_words
     h, weight, line = h[good], np.where(size[good] > 3, 2, 1).astype(np.uint64), np.searchsorted(which, line[good])
     own = count[which]
+    # A character's further UTF-8 bytes are 10xxxxxx; spaces between words count.
+    points = np.add.reduceat((x[letter] & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64)
+    chars = np.bincount(line, points[good], len(which)).astype(np.int64) + own - 1
     ident = run_hashes(h, np.cumsum(own) - own, own, STEP)
     _, once = np.unique(mixed(h ^ (line.astype(np.uint64) * STEP)), return_index=True)
     once.sort()
@@ -85,7 +95,7 @@ def line_table(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.
     first = np.searchsorted(line, np.arange(len(which)))
     prints = simhashes(h, weight, first, np.append(first[1:], len(h)))
     text = np.repeat(np.arange(len(texts)), n_lines)[which]
-    return text, which - (np.cumsum(n_lines) - n_lines)[text], ident, prints
+    return text, which - (np.cumsum(n_lines) - n_lines)[text], ident, prints, own, chars
 
 
 def edit_similarity(a: str, b: str) -> float:
@@ -135,10 +145,12 @@ def alike(a: str, b: str, similarity: float) -> bool:
     return edit_similarity(a, b) >= similarity
 
 
-def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """Rows (doc_id, text_id, line_no, line_id, fp) for lines with at least ``min_words`` words.
+def lines_of(docs: DataFrame, min_words: int, exact: bool = False) -> DataFrame:
+    """Rows (doc_id, text_id, line_no, line_id, fp, fuzzy) for lines with at least ``min_words`` words.
 
     Equal normalised lines share line_id (a 64-bit hash of their words in order).
+    With ``exact`` every line with a word is listed; those under ``min_words`` words
+    and ``FUZZY_CHARS`` code points are not fuzzy.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +164,12 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
                     start, texts, size = i + 1, [], 0
 
     def rows(b: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        text, number, ident, prints = line_table(texts, min_words)
-        columns = [b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(ident.view(np.int64)), pa.array(prints.view(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "line_no", "line_id", "fp"])
+        text, number, ident, prints, words, chars = sized_lines(texts, 1 if exact else min_words)
+        fuzzy = (words >= min_words) | (chars >= FUZZY_CHARS)
+        columns = [b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(ident.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(fuzzy)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "line_no", "line_id", "fp", "fuzzy"])
 
-    return named(docs).mapInArrow(run, "doc_id long, text_id long, line_no int, line_id long, fp long")
+    return named(docs).mapInArrow(run, "doc_id long, text_id long, line_no int, line_id long, fp long, fuzzy boolean")
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -165,23 +178,24 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, distance: int = 8, blocks: int = 5, agree: int = 2, n_pivots: int = 8) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, distance: int = 8, blocks: int = 5, agree: int = 2, n_pivots: int = 8, exact: bool = False) -> DataFrame:
     """Rows (doc_id, text_id, line_no): the line occurrences that repeat an earlier one.
 
     Equal normalised lines are one class first. Classes whose 64-bit SimHashes
     share ``agree`` of ``blocks`` blocks and differ in at most ``distance`` bits are
     candidates (all pairs within ``blocks - agree`` bits meet), confirmed by an edit
     similarity of ``similarity`` or more. Of each connected group the occurrence
-    with the smallest (doc_id, line_no) stays, a null doc_id last.
+    with the smallest (doc_id, line_no) stays, a null doc_id last. With ``exact``
+    copies of shorter lines are repeats too, see ``lines_of``.
     """
-    lines = cut(lines_of(docs, min_words))
+    lines = cut(lines_of(docs, min_words, exact))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "text_id")
-    classes = cut(lines.groupBy("line_id").agg(F.min(place).alias("at"), F.first("fp").alias("fp"), F.count("*").alias("n")))
+    classes = cut(lines.groupBy("line_id").agg(F.min(place).alias("at"), F.first("fp").alias("fp"), F.first("fuzzy").alias("fuzzy"), F.count("*").alias("n")))
 
     def confirmed(edges: DataFrame) -> DataFrame:
         return similar(docs, classes, edges, similarity)
 
-    roots = near_groups(classes.select(F.col("line_id").alias("id"), "fp"), distance, blocks, agree, n_pivots, confirmed)
+    roots = near_groups(classes.where("fuzzy").select(F.col("line_id").alias("id"), "fp"), distance, blocks, agree, n_pivots, confirmed)
     grouped = classes.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("group", F.coalesce("root", "line_id"))
     first = grouped.groupBy("group").agg(F.min("at").alias("first"), F.sum("n").alias("size")).where("size > 1")
     many = grouped.join(first, "group").select("line_id", "first")
@@ -230,7 +244,8 @@ def similar(docs: DataFrame, classes: DataFrame, edges: DataFrame, similarity: f
 def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with repeated lines removed from ``text``, plus __lines and __removed (long).
 
-    Lines under ``min_words`` words, empty lines among them, always stay. Null texts
+    Lines under ``min_words`` words, empty lines among them, always stay; with
+    ``exact`` only lines without a word do. Null texts
     stay null, and a document whose lines are all removed keeps an empty text. Rows
     with the same doc_id and text share the decisions. All other columns and all rows
     stay; an empty table gives an empty result.

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ravelog.llm import hamming, line_dedup, simhash_dedup
+from ravelog.llm import hamming, line_dedup, queries, simhash_dedup
 
 
 def levenshtein(a, b):
@@ -174,3 +174,15 @@ def test_similar_documents_match_brute_force(spark, odd_docs, no_docs):
     kept = corpus_pipeline.drop_near_duplicates(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6]
     assert corpus_pipeline.drop_near_duplicates(spark, no_docs, "").count() == 0
+
+
+def test_short_and_unspaced_lines_are_deduplicated(spark, tmp_path):
+    """Exact copies of any length go; a long line without spaces is compared with similar ones."""
+    chinese = "我们使用饼干来改善您的浏览体验并分析网站流量请接受所有饼干以继续"
+    rows = [(1, f"Accept all cookies now\nok\n\n---\n{chinese}"), (2, f"accept all cookies now!\nOK\n\n---\nown words\n{chinese}"), (3, "accept all cookies\nok then")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.text, r.n_removed) for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {1: (rows[0][1], 0), 2: ("\n---\nown words", 3), 3: (rows[2][1], 0)}
+    assert line_dedup.sized_lines([chinese, "ab"], 1)[5].tolist() == [len(chinese), 2]
+    listed = {r.doc_id: r.fuzzy for r in line_dedup.lines_of(spark.createDataFrame([(1, chinese), (2, "ok then")], "doc_id long, text string"), 5, True).collect()}
+    assert listed == {1: True, 2: False}
