@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,21 +34,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-BROADCAST_ROWS = 500_000
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: like ``cut``, in less room for wide or repetitive rows."""
+    place = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (a shuffled join, split by AQE where skewed).
+def free(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes to clash with none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
-    For narrow tables that are cut already, so that counting reads no more than them.
+
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 64
+
+
+def small_side(df: DataFrame, size: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows take at most ``most`` bytes, else as it is (a shuffled join, split by AQE where skewed).
+
+    ``size`` is the bytes of a row; narrow rows without arrays are taken for ``ROW_BYTES``
+    each. For tables that are cut already, so that the sum reads no more than them.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    total = df.agg(F.coalesce(F.sum(F.lit(ROW_BYTES) if size is None else size), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= most else df
 
 
 EDGES_A_TASK = 200_000
 
 
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """Rows (node, root): the smallest node each node of ``edges`` (a, b) can reach.
 
     Large-star and small-star rounds (Kiveris et al., 2014) until nothing moves.
@@ -58,7 +77,7 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:  # each round at least halves the longest paths and none is left out, so this ends
         mark = pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(20, 0)))")).first()
         if mark[0] == 0 or tuple(mark) == seen:
             break

@@ -86,7 +86,7 @@ def near_groups(
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.max("id").alias("tail"), F.bit_xor("fp").alias("differ"))
     # Most buckets have one member, and most of the others two that happen to meet; neither goes further.
     buckets = cut(buckets.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count("differ") <= distance))))
-    many = small_side(buckets.where("n > 2").select("key", "head"))
+    many = small_side(buckets.where("n > 2").select("key", "head"), F.lit(16))
     rows = cut(keys.join(many, "key").select("key", "id", "fp", "head"))
     rows = rows.join(rows.where("id = head").select("key", F.col("fp").alias("head_fp")), "key")
 

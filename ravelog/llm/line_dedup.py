@@ -1,8 +1,16 @@
-"""Fuzzy line deduplication: SimHash blocks, edit similarity, connected groups."""
+"""Fuzzy line deduplication: SimHash blocks, edit similarity, connected groups.
+
+Blocks cut from one 64-bit SimHash find half of the line pairs with an edit similarity of
+0.8: such pairs lie 6 bits apart at the median and 12 in one of twenty cases. So each of
+``BLOCKS`` blocks is made of ``SAMPLE`` words of the line, the smallest under the block's
+own hash; lines that differ in few words agree in some block, and the SimHash over all
+words discards most chance meetings before texts are compared.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, free, small_side, written
 from .hamming import near_groups
 
 # ASCII upper case to lower case, other ASCII but letters and digits to spaces; other bytes stay.
@@ -20,8 +28,12 @@ BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # A byte's 8 bits as four 16-bit counters in each of two long integers; a chunk's sums stay under 2**16.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype("<u2").view("<u8")
 CHUNK, TEXT_CHARS = 8000, 1 << 20
-# With so many code points a line is compared with similar ones even if it has few spaces, as in Chinese or Thai.
-FUZZY_CHARS = 20
+# Lines of so many words, or so many code points (Chinese or Thai lines have few spaces), are compared with similar ones.
+FUZZY_WORDS, FUZZY_CHARS, GRAM = 5, 20, 3
+# A pair that shares a part s of its distinct words agrees in no block with chance (1 - s**SAMPLE) ** BLOCKS: 0.5 % at 0.8.
+BLOCKS, SAMPLE = 10, 4
+FACTORS = np.random.default_rng(42).integers(1 << 63, size=(BLOCKS, SAMPLE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+COMMON_WORD = np.uint64(1 << 63)
 
 
 def normal_words(line: str) -> list[bytes]:
@@ -57,45 +69,91 @@ def simhashes(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, ends: np.nd
     return np.packbits(ones * 2 > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def line_table(texts: list[str | None], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, line number, identity and SimHash of each line with at least ``min_words`` words.
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Line number, hash, bytes and code points of each word of normalised lines."""
+    x = np.frombuffer(data, np.uint8)
+    letter = x > 32
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).view(np.int8)))
+    starts, size = edge[::2], edge[1::2] - edge[::2]
+    if not len(starts):
+        return starts, starts.astype(np.uint64), size, size
+    first = np.cumsum(size) - size
+    # A character's further UTF-8 bytes are 10xxxxxx.
+    points = np.add.reduceat((x[letter] & 0xC0) != 0x80, first, dtype=np.int64)
+    return np.searchsorted(np.flatnonzero(x == 10), starts), run_hashes(x[letter].astype(np.uint64), first, size, BASE), size, points
 
-    The identity covers the line's words in order. The SimHash covers its distinct
-    words, those over three bytes twice, so neither a word repeated many times nor
-    the commonest words outweigh the rest. All lines are looked at together.
-    """
-    return sized_lines(texts, min_words)[:4]
 
+def line_grams(line: bytes) -> bytes:
+    """The overlapping code point triples of a normalised line, as words."""
+    text = "".join(line.decode().split())
+    return " ".join({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}).encode()
 
-def sized_lines(texts: list[str | None], min_words: int) -> tuple[np.ndarray, ...]:
-    """``line_table``, then words and code points of each normalised line."""
+
+def sampled_blocks(h: np.ndarray, common: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One row for each run of word hashes and one signed 64-bit key for each block of ``SAMPLE`` sampled words.
+
+    Words of at most three bytes are sampled only where a line lacks longer ones.
+    """
+    late, keys = np.where(common, COMMON_WORD, np.uint64(0)), np.empty((len(first), BLOCKS), np.uint64)
+    for block, factors in enumerate(FACTORS):
+        key = np.full(len(first), np.uint64(block))
+        for factor in factors:
+            key = key * STEP + np.minimum.reduceat((h * factor >> np.uint64(1)) | late, first)
+        keys[:, block] = mixed(key)
+    return keys.view(np.int64)
+
+
+@dataclass
+class Lines:
+    """Lines with a word: text and line number, identity, SimHash, words, code points, compared fuzzily, block keys."""
+
+    text: np.ndarray
+    number: np.ndarray
+    ident: np.ndarray
+    prints: np.ndarray
+    words: np.ndarray
+    chars: np.ndarray
+    fuzzy: np.ndarray
+    keys: np.ndarray
+
+
+def line_table(texts: list[str | None]) -> Lines:
+    """All lines of some texts that hold a word, looked at together.
+
+    The identity covers the line's words in order. SimHash and blocks cover its distinct
+    words (its distinct code point triples, where it has under ``FUZZY_WORDS`` words but
+    ``FUZZY_CHARS`` code points); in the SimHash those over three bytes weigh twice, so
+    neither a word repeated many times nor the commonest words outweigh the rest.
+    """
     data = [(t or "").encode().translate(NORMAL_LINES) for t in texts]
     n_lines = np.array([d.count(b"\n") + 1 for d in data])
-    x = np.frombuffer(b"\n".join(data), np.uint8)
-    letter = x > 32
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).view(np.int8)))
-    starts, size = edge[::2], edge[1::2] - edge[::2]
-    line = np.searchsorted(np.flatnonzero(x == 10), starts)
-    count = np.bincount(line, minlength=int(n_lines.sum()))
-    which = np.flatnonzero(count >= min_words)
+    joined = b"\n".join(data)
+    line, h, size, points = hashed_words(joined)
+    count = np.bincount(line, minlength=int(n_lines.sum())) if len(line) else np.zeros(0, np.int64)
+    which = np.flatnonzero(count)
     if not len(which):
-        none = np.empty(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64), none, none
-    h = run_hashes(x[letter].astype(np.uint64), np.cumsum(size) - size, size, BASE)
-    good = count[line] >= min_words
-    h, weight, line = h[good], np.where(size[good] > 3, 2, 1).astype(np.uint64), np.searchsorted(which, line[good])
-    own = count[which]
-    # A character's further UTF-8 bytes are 10xxxxxx; spaces between words count.
-    points = np.add.reduceat((x[letter] & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64)
-    chars = np.bincount(line, points[good], len(which)).astype(np.int64) + own - 1
+        none, no_key = np.empty(0, np.int64), np.empty(0, np.uint64)
+        return Lines(none, none, no_key, no_key, none, none, none.astype(bool), none.reshape(0, BLOCKS))
+    own, line = count[which], np.searchsorted(which, line)
+    chars = np.bincount(line, points, len(which)).astype(np.int64) + own - 1  # spaces between words count
     ident = run_hashes(h, np.cumsum(own) - own, own, STEP)
+    text = np.repeat(np.arange(len(texts)), n_lines)[which]
+    dense = (own < FUZZY_WORDS) & (chars >= FUZZY_CHARS)
+    if dense.any():
+        ends = np.flatnonzero(np.frombuffer(joined + b"\n", np.uint8) == 10)
+        at = np.flatnonzero(dense)
+        part, part_h, part_size, _ = hashed_words(b"\n".join(line_grams(joined[ends[w - 1] + 1 if w else 0 : ends[w]]) for w in which[at].tolist()))
+        rest = ~dense[line]
+        line, h, size = (np.concatenate(two) for two in ((line[rest], at[part]), (h[rest], part_h), (size[rest], part_size)))
+        order = np.argsort(line, kind="stable")
+        line, h, size = line[order], h[order], size[order]
     _, once = np.unique(mixed(h ^ (line.astype(np.uint64) * STEP)), return_index=True)
     once.sort()
-    h, weight, line = h[once], weight[once], line[once]
+    h, common, line = h[once], size[once] <= 3, line[once]
     first = np.searchsorted(line, np.arange(len(which)))
-    prints = simhashes(h, weight, first, np.append(first[1:], len(h)))
-    text = np.repeat(np.arange(len(texts)), n_lines)[which]
-    return text, which - (np.cumsum(n_lines) - n_lines)[text], ident, prints, own, chars
+    prints = simhashes(h, np.where(common, 1, 2).astype(np.uint64), first, np.append(first[1:], len(h)))
+    number = which - (np.cumsum(n_lines) - n_lines)[text]
+    return Lines(text, number, ident, prints, own, chars, (own >= FUZZY_WORDS) | dense, sampled_blocks(h, common, first))
 
 
 def edit_similarity(a: str, b: str) -> float:
@@ -145,12 +203,12 @@ def alike(a: str, b: str, similarity: float) -> bool:
     return edit_similarity(a, b) >= similarity
 
 
-def lines_of(docs: DataFrame, min_words: int, exact: bool = False) -> DataFrame:
-    """Rows (doc_id, text_id, line_no, line_id, fp, fuzzy) for lines with at least ``min_words`` words.
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_id, line_no, line_id, fp, keys) for the lines with a word.
 
-    Equal normalised lines share line_id (a 64-bit hash of their words in order).
-    With ``exact`` every line with a word is listed; those under ``min_words`` words
-    and ``FUZZY_CHARS`` code points are not fuzzy.
+    Equal normalised lines share line_id (a 64-bit hash of their words in order). ``keys``
+    holds the line's blocks; it is null for lines that are only compared exactly, and for
+    a line that stands further up in the same batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +222,17 @@ def lines_of(docs: DataFrame, min_words: int, exact: bool = False) -> DataFrame:
                     start, texts, size = i + 1, [], 0
 
     def rows(b: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        text, number, ident, prints, words, chars = sized_lines(texts, 1 if exact else min_words)
-        fuzzy = (words >= min_words) | (chars >= FUZZY_CHARS)
-        columns = [b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(ident.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(fuzzy)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "line_no", "line_id", "fp", "fuzzy"])
+        t = line_table(texts)
+        new = np.zeros(len(t.ident), bool)
+        new[np.unique(t.ident, return_index=True)[1]] = True
+        new &= t.fuzzy
+        # A null's slot holds no values: its offset is the next one's.
+        offsets = pa.array(np.append(0, np.cumsum(new * BLOCKS)).astype(np.int32), mask=np.append(~new, False))
+        keys = pa.ListArray.from_arrays(offsets, pa.array(t.keys[new].ravel()))
+        columns = [b.column(0).take(pa.array(t.text)), b.column(1).take(pa.array(t.text)), pa.array(t.number.astype(np.int32)), pa.array(t.ident.view(np.int64)), pa.array(t.prints.view(np.int64)), keys]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "line_no", "line_id", "fp", "keys"])
 
-    return named(docs).mapInArrow(run, "doc_id long, text_id long, line_no int, line_id long, fp long, fuzzy boolean")
+    return named(docs).mapInArrow(run, "doc_id long, text_id long, line_no int, line_id long, fp long, keys array<long>")
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -178,28 +241,28 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, distance: int = 8, blocks: int = 5, agree: int = 2, n_pivots: int = 8, exact: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = 0.8, distance: int = 24) -> DataFrame:
     """Rows (doc_id, text_id, line_no): the line occurrences that repeat an earlier one.
 
-    Equal normalised lines are one class first. Classes whose 64-bit SimHashes
-    share ``agree`` of ``blocks`` blocks and differ in at most ``distance`` bits are
-    candidates (all pairs within ``blocks - agree`` bits meet), confirmed by an edit
-    similarity of ``similarity`` or more. Of each connected group the occurrence
-    with the smallest (doc_id, line_no) stays, a null doc_id last. With ``exact``
-    copies of shorter lines are repeats too, see ``lines_of``.
+    Equal normalised lines are one class first. Classes that agree in a block and whose
+    64-bit SimHashes differ in at most ``distance`` bits are candidates, confirmed by an
+    edit similarity of ``similarity`` or more. Of each connected group the occurrence
+    with the smallest (doc_id, line_no) stays, a null doc_id last. Lines of under five
+    words and 20 code points are repeats only where they are equal.
     """
-    lines = cut(lines_of(docs, min_words, exact))
+    lines = written(lines_of(docs))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "text_id")
-    classes = cut(lines.groupBy("line_id").agg(F.min(place).alias("at"), F.first("fp").alias("fp"), F.first("fuzzy").alias("fuzzy"), F.count("*").alias("n")))
+    classes = written(lines.groupBy("line_id").agg(F.min(place).alias("at"), F.first("fp").alias("fp"), F.first("keys", ignorenulls=True).alias("keys"), F.count("*").alias("n")))
 
     def confirmed(edges: DataFrame) -> DataFrame:
         return similar(docs, classes, edges, similarity)
 
-    roots = near_groups(classes.where("fuzzy").select(F.col("line_id").alias("id"), "fp"), distance, blocks, agree, n_pivots, confirmed)
-    grouped = classes.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("group", F.coalesce("root", "line_id"))
+    nodes = classes.where("keys is not null").select(F.col("line_id").alias("id"), "fp", "keys")
+    roots = near_groups(nodes, distance, 0, 0, 0, confirmed, F.col("keys"))
+    grouped = classes.drop("keys", "fp").join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("group", F.coalesce("root", "line_id"))
     first = grouped.groupBy("group").agg(F.min("at").alias("first"), F.sum("n").alias("size")).where("size > 1")
     many = grouped.join(first, "group").select("line_id", "first")
-    again = lines.join(many, "line_id").where(place != F.col("first"))
+    again = lines.drop("keys", "fp").join(many, "line_id").where(place != F.col("first"))
     return again.select("doc_id", "text_id", "line_no")
 
 
@@ -210,6 +273,8 @@ def similar(docs: DataFrame, classes: DataFrame, edges: DataFrame, similarity: f
     each class's first occurrence.
     """
     edges = cut(edges)
+    if edges.isEmpty():
+        return edges
     ends = edges.select(F.col("a").alias("line_id")).union(edges.select("b")).distinct()
     wanted = classes.join(ends, "line_id").select("line_id", F.col("at.doc_id").alias("at_doc"), F.col("at.text_id").alias("at_text"), F.col("at.line_no").alias("at_line"))
     by_doc = cut(wanted.groupBy("at_doc", "at_text").agg(F.collect_list(F.struct("at_line", "line_id")).alias("wanted")))  # bounded by one document's lines
@@ -224,11 +289,11 @@ def similar(docs: DataFrame, classes: DataFrame, edges: DataFrame, similarity: f
                         lines.append(split[w["at_line"]])
                         names.append(w["line_id"])
             for i in range(0, len(lines), 4096):
-                at, _, ident, _ = line_table(lines[i : i + 4096], 1)
-                some = [(n, b" ".join(normal_words(lines[i + j])).decode()) for j, n in zip(at.tolist(), ident.view(np.int64).tolist(), strict=True) if n == names[i + j]]
+                own = [(n, normal_words(line)) for n, line in zip(names[i : i + 4096], lines[i : i + 4096], strict=True)]
+                some = [(n, b" ".join(words).decode()) for n, words in own if words]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int64()), pa.array([t for _, t in some], pa.string())], names=["line_id", "line"])
 
-    joined = named(docs).join(small_side(by_doc), F.col("text_id").eqNullSafe(F.col("at_text")) & F.col("doc_id").eqNullSafe(F.col("at_doc"))).select("text", "wanted")
+    joined = named(docs).join(small_side(by_doc, 48 + 32 * F.size("wanted")), F.col("text_id").eqNullSafe(F.col("at_text")) & F.col("doc_id").eqNullSafe(F.col("at_doc"))).select("text", "wanted")
     texts = cut(joined.mapInArrow(pick, "line_id long, line string").dropDuplicates(["line_id"]))
 
     @F.pandas_udf("boolean")
@@ -241,23 +306,35 @@ def similar(docs: DataFrame, classes: DataFrame, edges: DataFrame, similarity: f
     return cut(pairs.where(near).where(enough("x", "y")).select("a", "b"))
 
 
-def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with repeated lines removed from ``text``, plus __lines and __removed (long).
+def dedup_lines(docs: DataFrame, lines: str = "__lines", removed: str = "__removed", **parameters) -> DataFrame:
+    """``docs`` with repeated lines removed from ``text``, plus ``lines`` and ``removed`` (long).
 
-    Lines under ``min_words`` words, empty lines among them, always stay; with
-    ``exact`` only lines without a word do. Null texts
-    stay null, and a document whose lines are all removed keeps an empty text. Rows
-    with the same doc_id and text share the decisions. All other columns and all rows
-    stay; an empty table gives an empty result.
+    Lines without a word always stay. Null texts stay null, and a document whose lines
+    are all removed keeps an empty text. Rows with the same doc_id and text share the
+    decisions; ties go to the smaller (doc_id, line_no, hash of the text). All other
+    columns, of any name and type, and all rows stay; an empty table gives an empty
+    result. An input column named like one of the two added ones gives way to it.
     """
     again = repeated_lines(docs, **parameters)
-    gone = again.groupBy(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text")).agg(F.collect_set("line_no").alias("__gone"))  # bounded by one document's lines
-    text = F.col("text").cast("string")
-    joined = docs.join(small_side(cut(gone)), F.xxhash64(text).eqNullSafe(F.col("__text")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left")
+    gone, doc, of = (free(docs.columns, c) for c in ("gone_lines", "gone_doc", "gone_text"))
+    by_doc = cut(again.groupBy(F.col("doc_id").alias(doc), F.col("text_id").alias(of)).agg(F.collect_set("line_no").alias(gone)))  # bounded by one document's lines
+    text = docs["text"].cast("string")
+    joined = docs.join(small_side(by_doc, 48 + 4 * F.size(gone)), F.xxhash64(text).eqNullSafe(F.col(of)) & docs["doc_id"].cast("long").eqNullSafe(F.col(doc)), "left")
     split = F.split(text, "\n")
-    kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), i))
+    kept = F.filter(split, lambda line, i: ~F.array_contains(F.col(gone), i))
     return joined.select(
-        *(F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else docs[c] for c in docs.columns),
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("__lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed"),
+        *(F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c not in (lines, removed)),
+        F.coalesce(F.size(split), F.lit(0)).cast("long").alias(lines),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed),
     )
+
+
+def drop_repeated_lines(docs: DataFrame, length: str = "n_chars", **parameters) -> DataFrame:
+    """``dedup_lines`` without its counts; documents of which no word stays go, and a column ``length`` follows the text."""
+    lines, removed = free(docs.columns, "lines_before"), free(docs.columns, "lines_removed")
+    out = dedup_lines(docs, lines, removed, **parameters)
+    same = F.col(removed) == 0
+    out = out.where(same | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if length in docs.columns:
+        out = out.withColumn(length, F.when(same, F.col(length)).otherwise(F.length("text")).cast(docs.schema[length].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
