@@ -1,9 +1,17 @@
-"""Toxicity by class-conditional Kneser-Ney models of spelling with a shared backoff.
+"""Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
 
-Words of both classes get n-gram models over their bytes, so inflections that the
-labelled rows lack still lean on stems that they hold. Orders over ``SHARED`` are
-counted for each class; the lowest orders are counted over the whole corpus and
-shared, so rare expressions weigh the same in both classes.
+Two models for each class, both counted from distinct words or word pairs, so that no
+count depends on how the rows are dealt:
+
+* spelling: n-grams of a word's bytes, so inflections that the labelled rows lack still
+  lean on stems that they hold. Orders over ``SHARED`` are counted for each class, the
+  lowest ones over all words of the corpus;
+* sequence: pairs of words, backing off to how many words a word follows in the class,
+  and further to its share of the whole corpus, so that a rare expression of common words
+  tells its class and a common one does not.
+
+Below the top order an n-gram counts its distinct left neighbours (continuation counts);
+one that starts a word has none and counts its occurrences.
 """
 
 from __future__ import annotations
@@ -14,15 +22,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .line_dedup import NORMAL
+from .common import free, written
+from .line_dedup import NORMAL, mixed
 
-BASE, STEP = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 ORDER, SHARED, CACHE, WORDS, TEXTS = 6, 2, 400_000, 20_000, 256
+FIRST, LAST = 2, 3  # mark a word's edges; no word holds them
 TAILS = (1.0, 3.0)
-Grams = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -36,53 +46,65 @@ class Level:
     types: np.ndarray
     discount: np.ndarray
 
+    def smoothed(self, gram: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Interpolated Kneser-Ney probabilities of each class over ``lower``, those of the order below."""
+        total, types = lookup(self.contexts, self.totals, context), lookup(self.contexts, self.types, context)
+        c = np.maximum(lookup(self.grams, self.counts, gram) - self.discount, 0)
+        return np.where(total > 0, (c + self.discount * types * lower) / np.maximum(total, 1e-9), lower)
+
 
 @dataclass
 class Model:
     levels: list[Level] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 + len(TAILS)))
+    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    pair_ratios: np.ndarray = field(default_factory=lambda: np.empty(0))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(2 + len(TAILS)))
     offset: float = -30.0
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of each word."""
+        """log P(spelling | toxic) - log P(spelling | ordinary) of each word."""
         if not words or not self.levels:
             return np.zeros(len(words))
         own, at, orders = grams(words)
         p = np.full((len(own), 2), 1 / 256)
-        for level, (ok, context, gram) in zip(self.levels, orders, strict=True):
-            c = lookup(level.grams, level.counts, gram[ok])
-            total, types = lookup(level.contexts, level.totals, context[ok]), lookup(level.contexts, level.types, context[ok])
-            lower = p[ok]
-            p[ok] = np.where(total > 0, (np.maximum(c - level.discount, 0) + level.discount * types * lower) / np.maximum(total, 1e-9), lower)
+        for n, (level, gram) in enumerate(zip(self.levels, orders, strict=True), 1):
+            ok = at >= max(1, n - 1)
+            p[ok] = level.smoothed(gram[ok], gram[ok] >> np.uint64(8), p[ok])
         got = np.log(p[:, 1] / p[:, 0])
         got[at == 0] = 0
         return np.bincount(own, got, len(words))
 
 
-def grams(words: list[bytes], top: int = ORDER) -> tuple[np.ndarray, np.ndarray, Grams]:
-    """Word number and place of each byte (word ends marked), and for each order: usable, context hash, n-gram hash."""
-    x = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint64) + np.uint64(1)
+def grams(words: list[bytes], top: int = ORDER) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Word number and place of each byte (edges marked), and for each order the n-gram that ends there.
+
+    An n-gram is its bytes in one integer, the last one lowest: shifted by a byte it is
+    its context, without the highest byte its suffix. No byte is 0, so orders never mix.
+    """
+    x = np.frombuffer(b"".join(bytes([FIRST]) + w + bytes([LAST]) for w in words), np.uint8).astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words])
     own = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(x)) - (np.cumsum(sizes) - sizes)[own]
-    h, power, out = np.zeros(len(x), np.uint64), np.uint64(1), []
-    for order in range(1, top + 1):
-        moved, context = np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64)
-        moved[order - 1 :] = x[: max(0, len(x) - order + 1)]
-        context[1:] = h[:-1]
-        h = h + moved * power
-        power = power * BASE
-        mixed = [(v ^ (v >> np.uint64(29))) * STEP ^ np.uint64(order + add) for v, add in ((context, 0), (h, 100))]
-        out.append((at >= max(1, order - 1), *mixed))
+    out, gram = [], np.zeros(len(x), np.uint64)
+    for n in range(top):
+        gram = gram.copy()
+        gram[n:] |= x[: max(0, len(x) - n)] << np.uint64(8 * n)
+        out.append(gram)
     return own, at, out
 
 
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A key for each pair of word hashes."""
+    return mixed(a * STEP + b)
+
+
 def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(keys):
-        return np.zeros((len(wanted), 2))
+        return np.zeros((len(wanted), *values.shape[1:]))
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
-    return np.where((keys[at] == wanted)[:, None], values[at], 0.0)
+    same = keys[at] == wanted
+    return np.where(same[:, None] if values.ndim > 1 else same, values[at], 0.0)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -90,113 +112,162 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(NORMAL).split()
 
 
-def gram_counts(rows: DataFrame, orders: range, labelled: bool) -> DataFrame:
-    """level, context, gram (hashes), n0, n1: counts of byte n-grams, summed in each task before the shuffle.
-
-    Below the top order an n-gram inside a word counts the distinct words that hold
-    it, as Kneser-Ney continuation counts do; one at a word's start counts all of its
-    occurrences. Without labels (the shared orders) all occurrences go to n0.
-    """
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (binary), n: occurrences over all of ``docs``, summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: Counter = Counter()
         for b in batches:
-            for i, text in enumerate(b.column(0)):
-                seen[b.column(1)[i].as_py() if labelled else 0].update(words_of(text.as_py()))
-                if len(seen[0]) + len(seen[1]) > CACHE:
+            for text in b.column(0):
+                seen.update(words_of(text.as_py()))
+                if len(seen) > CACHE:
                     yield from flush(seen)
         yield from flush(seen)
 
-    def flush(seen: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
-        every = list(seen[0].keys() | seen[1].keys())
-        for i in range(0, len(every), WORDS):
-            yield counted(every[i : i + WORDS], seen)
-        for c in seen:
-            c.clear()
-
-    def counted(words: list[bytes], seen: tuple[Counter, Counter]) -> pa.RecordBatch:
-        parts = []
-        if words:
-            n = np.array([[seen[0][w], seen[1][w]] for w in words], dtype=np.int64)
-            own, at, levels = grams(words, max(orders))
-            for order in orders:
-                ok, context, gram = levels[order - 1]
-                add = n[own[ok]]
-                if labelled and order < ORDER:
-                    add = np.where((at[ok] == order - 1)[:, None], add, add > 0)
-                keys, first, group = np.unique(gram[ok], return_index=True, return_inverse=True)
-                sums = [np.bincount(group, add[:, y], len(keys)).astype(np.int64) for y in (0, 1)]
-                parts.append((np.full(len(keys), order, np.int32), context[ok][first].view(np.int64), keys.view(np.int64), *sums))
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int32), *(np.empty(0, np.int64) for _ in range(4))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "context", "gram", "n0", "n1"])
-
-    own = rows.select(F.col("text").cast("string"), F.col("toxic").cast("int")) if labelled else rows.select(F.col("text").cast("string"))
-    found = own.mapInArrow(run, "level int, context long, gram long, n0 long, n1 long")
-    return found.groupBy("level", "context", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    def flush(seen: Counter) -> Iterator[pa.RecordBatch]:
+        names, counts = list(seen), list(seen.values())
+        for i in range(0, len(names), WORDS):
+            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + WORDS], pa.binary()), pa.array(counts[i : i + WORDS], pa.int64())], names=["word", "n"])
+        seen.clear()
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def class_words(sample: DataFrame) -> DataFrame:
+    """word, n0, n1: occurrences in the ordinary and the toxic rows of a labelled sample."""
+    counts = [word_counts(sample.where(F.col("toxic") == y)).withColumnRenamed("n", f"n{y}") for y in (0, 1)]
+    return counts[0].join(counts[1], "word", "full").na.fill(0)
+
+
+def gram_counts(words: DataFrame, top: int, lowest: int) -> DataFrame:
+    """level, gram, n0, n1 for the orders ``lowest`` to ``top`` of a table of distinct words (word, n0, n1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, WORDS):
+                some = b.slice(i, WORDS)
+                n = np.stack([some.column(c).to_numpy() for c in (1, 2)], axis=1)
+                own, at, orders = grams(some.column(0).to_pylist(), top)
+                for order in range(lowest, top + 1):
+                    good = at >= order - 1 if order == top else at == order - 1
+                    good &= at >= 1
+                    keys, group = np.unique(orders[order - 1][good], return_inverse=True)
+                    sums = [np.bincount(group, n[own[good], y], len(keys)).astype(np.int64) for y in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.view(np.int64)), *map(pa.array, sums)], names=["level", "gram", "n0", "n1"])
+
+    counted = written(words.mapInArrow(run, "level int, gram long, n0 long, n1 long").groupBy("level", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    every = level = counted.where(F.col("level") == top)
+    for order in range(top - 1, lowest - 1, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")
+        types = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("n0", "n1")]
+        inside = level.select(suffix, "n0", "n1").groupBy("gram").agg(*types).select(F.lit(order).alias("level"), "gram", "n0", "n1")
+        level = inside.union(counted.where(F.col("level") == order))
+        every = every.union(level)
+    return every
+
+
+def pair_counts(sample: DataFrame) -> DataFrame:
+    """a, b (word hashes), n0, n1: neighbouring words in the ordinary and the toxic rows of a labelled sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, toxic in zip(b.column(0), b.column(1), strict=True):
+                h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words_of(text.as_py())], np.uint64).view(np.int64)
+                if len(h) > 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(h[:-1]), pa.array(h[1:]), pa.array(np.full(len(h) - 1, toxic.as_py(), np.int32))], names=["a", "b", "toxic"])
+
+    rows = sample.select("text", F.col("toxic").cast("int")).mapInArrow(run, "a long, b long, toxic int")
+    return rows.groupBy("a", "b").agg(*(F.sum((F.col("toxic") == y).cast("long")).alias(f"n{y}") for y in (0, 1)))
 
 
 def fold(doc_id) -> F.Column:
     return (F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5).cast("int")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """text, toxic, fold of labelled rows outside fold 0, at most ``max_rows`` a class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) -> DataFrame:
+    """text, toxic, fold of labelled rows outside fold 0, at most ``max_rows`` and ``max_chars`` code points a class.
 
-    The rows with the smallest hash of the doc_id are taken, so a rerun takes the same.
+    The rows with the smallest hash of the doc_id are taken, so a rerun takes the same; of
+    a repeated doc_id the smallest text.
     """
-    marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    marked = marked.withColumn("fold", fold("__id")).where("fold <> 0")
-    take = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64(F.col("__id"), F.lit(8)), "__id").limit(max_rows) for y in (0, 1)]
+    marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = marked.withColumn("fold", fold("id")).where("fold <> 0")
+    rank = F.xxhash64(F.col("id"), F.lit(8))
+    take = [marked.where(F.col("toxic") == y).orderBy(rank, "id").limit(max_rows) for y in (0, 1)]
     few = F.broadcast(take[0].union(take[1]))  # at most 2 * max_rows rows of 16 bytes
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
-    return rows.join(few, "__id").select("text", "toxic", "fold")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(few, "id")
+    rows = rows.groupBy("id", "toxic", "fold").agg(F.min("text").alias("text"))
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy(rank, "id"))  # at most max_rows rows
+    return rows.withColumn("upto", upto).where(F.col("upto") <= max_chars).select("text", "toxic", "fold")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_chars: int = 50_000_000) -> Model:
     """Train on the labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
     Folds 2 to 4 give the counts, fold 1 the weights that turn ratios into a
-    probability. ``max_rows`` bounds the labelled sample of each class, and so the
-    model; the shared orders count every document. Without a row of both classes
-    every score is 0.
+    probability. ``max_rows`` and ``max_chars`` bound the labelled sample of each class,
+    and so the model; the shared counts take every word of every document. Without a row
+    of both classes every score is 0.
     """
-    sample = labelled_sample(docs, labels, max_rows).persist()
-    try:
-        have = {r[0] for r in sample.where("fold <> 1").select("toxic").distinct().collect()}
-        if len(have) < 2:
-            return Model()
-        shared = gram_counts(docs.select("text"), range(1, SHARED + 1), labelled=False).withColumn("n1", F.col("n0")).persist()  # at most 257 + 257**2 rows
-        own = gram_counts(sample.where("fold <> 1"), range(SHARED + 1, ORDER + 1), labelled=True).persist()  # bounded by the sample
-        try:
-            model = Model([level(shared if n <= SHARED else own, n) for n in range(1, ORDER + 1)])
-        finally:
-            shared.unpersist()
-            own.unpersist()
-        return calibrate(model, sample)
-    finally:
-        sample.unpersist()
+    sample = written(labelled_sample(docs, labels, max_rows, max_chars))
+    own = sample.where("fold <> 1")
+    if own.select("toxic").distinct().count() < 2:
+        return Model()
+    corpus = written(word_counts(docs))
+    words = class_words(own)
+    shared = gram_counts(corpus.select("word", F.col("n").alias("n0"), F.col("n").alias("n1")), SHARED, 1)  # at most 257 + 257**2 rows
+    by_class = gram_counts(words, ORDER, SHARED + 1)  # bounded by the sample
+    shared, by_class = written(shared), written(by_class)
+    model = Model([level(shared if n <= SHARED else by_class, n) for n in range(1, ORDER + 1)])
+    model.pairs, model.pair_ratios = sequence(pair_counts(own), words, corpus)
+    return calibrate(model, sample)
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    once, twice = (counts == 1).sum(axis=0), (counts == 2).sum(axis=0)
+    return np.clip(once / np.maximum(1, once + 2 * twice), 0.1, 0.95)
+
+
+def table_of(grams: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> Level:
+    known, of = np.unique(contexts, return_inverse=True)
+    sums = [np.stack([np.bincount(of, v[:, y], len(known)) for y in (0, 1)], axis=1).astype(np.float32) for v in (counts, counts > 0)]
+    ordered = np.argsort(grams, kind="stable")
+    return Level(grams[ordered], counts[ordered].astype(np.float32), known, *sums, discounts(counts))
 
 
 def level(counted: DataFrame, order: int) -> Level:
     """One order's table, collected by itself and kept in short floats: the driver never holds two orders twice."""
-    rows = counted.where(F.col("level") == order).select("context", "gram", "n0", "n1").toPandas()
-    key = lambda c: rows[c].to_numpy(np.int64).view(np.uint64)
-    counts = rows[["n0", "n1"]].to_numpy(np.float32)
-    contexts, of = np.unique(key("context"), return_inverse=True)
-    sums = [np.stack([np.bincount(of, v[:, y], len(contexts)) for y in (0, 1)], axis=1).astype(np.float32) for v in (counts, counts > 0)]
-    once, twice = (counts == 1).sum(axis=0), (counts == 2).sum(axis=0)
-    ordered = np.argsort(key("gram"), kind="stable")
-    return Level(key("gram")[ordered], counts[ordered], contexts, *sums, np.clip(once / np.maximum(1, once + 2 * twice), 0.1, 0.95))
-
+    rows = counted.where(F.col("level") == order).select("gram", "n0", "n1").toPandas()
+    gram = rows["gram"].to_numpy(np.int64).view(np.uint64)
+    return table_of(gram, gram >> np.uint64(8), rows[["n0", "n1"]].to_numpy(np.int64))
 
-def summary(ratios: np.ndarray) -> list[float]:
-    if not len(ratios):
-        return [0.0] * (1 + len(TAILS))
-    return [float(ratios.mean()), *(float(np.maximum(ratios - t, 0).mean()) for t in TAILS)]
 
+def sequence(pairs: DataFrame, words: DataFrame, corpus: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the sample's word pairs, and log P(b after a | toxic) - log P(b after a | ordinary) of each.
 
-def features(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with __ratio, array<double>: length-normalised log-likelihood ratio, and its share above each of ``TAILS``.
+    A pair that the sample lacks says nothing.
+    """
+    rows = pairs.toPandas()
+    total = corpus.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    share = words.select("word").join(corpus, "word").select(F.xxhash64("word").alias("h"), (F.col("n") / total).alias("s")).toPandas().sort_values("h", ignore_index=True)
+    a, b = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b"))
+    counts = rows[["n0", "n1"]].to_numpy(np.int64)
+    if not len(rows):
+        return a, np.empty(0)
+    single, of = np.unique(b, return_inverse=True)
+    follows = np.stack([np.bincount(of, counts[:, y] > 0, len(single)) for y in (0, 1)], axis=1)
+    hashed = share["h"].to_numpy(np.int64)
+    common = share["s"].to_numpy(float)[np.searchsorted(hashed, single.view(np.int64))][:, None]
+    none = np.zeros(len(single), np.uint64)
+    after = table_of(single, none, follows).smoothed(single, none, common)
+    keys = pair_keys(a, b)
+    p = table_of(keys, a, counts).smoothed(keys, a, after[of])
+    order = np.argsort(keys)
+    return keys[order], np.log(p[:, 1] / p[:, 0])[order]
+
+
+def features(docs: DataFrame, model: Model, name: str = "ratio") -> DataFrame:
+    """``docs`` with ``name``, array<double>: the mean over a text's words of the spelling ratio, of its parts above each of ``TAILS``, and of the sequence ratio.
 
     A task scores each distinct word of some texts together and keeps the scores; a bounded
     cache holds them.
@@ -205,29 +276,44 @@ def features(docs: DataFrame, model: Model) -> DataFrame:
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
+        known: dict[bytes, int] = {}
+        ratio, hashed = np.empty(0), np.empty(0, np.uint64)
         for b in batches:
             for part in range(0, b.num_rows, TEXTS):
                 some = b.slice(part, TEXTS)
                 texts = [words_of(t.as_py()) for t in some.column(at)]
                 if len(known) > CACHE:
-                    known.clear()
+                    known, ratio, hashed = {}, ratio[:0], hashed[:0]
                 new = list(set().union(*texts).difference(known))
-                for i in range(0, len(new), WORDS):
-                    known.update(zip(new[i : i + WORDS], shared.value.ratios(new[i : i + WORDS]).tolist(), strict=True))
-                got = pa.array([summary(np.fromiter(map(known.__getitem__, words), float, len(words))) for words in texts], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*some.columns, got], names=[*names, "__ratio"])
+                known.update(zip(new, range(len(ratio), len(ratio) + len(new)), strict=True))
+                ratio = np.concatenate([ratio, *(shared.value.ratios(new[i : i + WORDS]) for i in range(0, len(new), WORDS))])
+                hashed = np.concatenate([hashed, np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)])
+                sizes = np.array([len(words) for words in texts])
+                ids = np.fromiter((known[w] for words in texts for w in words), np.int64, int(sizes.sum()))
+                got = summaries(ratio[ids], hashed[ids], sizes, shared.value)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(list(got), pa.list_(pa.float64()))], names=[*names, name])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{name}` array<double>"]))
+
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "__ratio array<double>"]))
+def summaries(ratio: np.ndarray, hashed: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
+    """One row of features for each text of ``sizes`` words."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    pair = np.zeros(len(ratio))
+    if len(ratio) > 1 and len(model.pairs):
+        pair[1:] = np.where(own[1:] == own[:-1], lookup(model.pairs, model.pair_ratios, pair_keys(hashed[:-1], hashed[1:])), 0)
+    columns = [ratio, *(np.maximum(ratio - t, 0) for t in TAILS), pair]
+    return np.stack([np.bincount(own, c, len(sizes)) / np.maximum(sizes, 1) for c in columns], axis=1)
 
 
 def calibrate(model: Model, sample: DataFrame) -> Model:
     """Logistic weights over fold 1 (over all of the sample, where fold 1 lacks a class)."""
-    got = features(sample, model).select("toxic", "fold", "__ratio").toPandas()
+    got = features(sample, model).select("toxic", "fold", "ratio").toPandas()
     own = got[got["fold"] == 1]
     if own["toxic"].nunique() < 2:
         own = got
-    x, y = np.array(own["__ratio"].tolist()), own["toxic"].to_numpy(float)
+    rows = np.array(sorted([*r, float(y)] for r, y in zip(own["ratio"], own["toxic"], strict=True)))  # in one order, however collected
+    x, y = rows[:, :-1], rows[:, -1]
     scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     z = np.concatenate([(x - x.mean(axis=0)) / scale, np.ones((len(x), 1))], axis=1)
     ridge, beta = np.array([1.0] * x.shape[1] + [1e-6]), np.zeros(x.shape[1] + 1)
@@ -235,34 +321,37 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * beta)
         beta += step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-10:
             break
     model.weights = beta[:-1] / scale
     model.offset = float(beta[-1] - (model.weights * x.mean(axis=0)).sum())
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with __score (0 to 1, higher: toxic likelier). Empty and null texts get the score of ratios 0.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with ``name`` (0 to 1, higher: toxic likelier). Empty and null texts get the score of ratios 0.
 
-    All rows and columns stay; nothing is shuffled. Only the text is an input.
+    All rows and columns stay, ties and repeated rows get equal scores, and nothing is
+    shuffled. Only the text is an input. ``name`` must be no column of ``docs``.
     """
-    rows = features(docs.withColumn("text", F.col("text").cast("string")), model)
+    inner = free([*docs.columns, name], "ratio")
+    rows = features(docs.withColumn("text", F.col("text").cast("string")), model, inner)
     x = F.lit(model.offset)
     for i, w in enumerate(model.weights.tolist()):
-        x = x + F.col("__ratio")[i] * w
+        x = x + F.col(inner)[i] * w
     x = F.least(F.lit(30.0), F.greatest(F.lit(-30.0), x))
-    return rows.withColumn("__score", 1 / (1 + F.exp(-x))).drop("__ratio")
+    return rows.withColumn(name, 1 / (1 + F.exp(-x))).drop(inner)
 
 
 def scored(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; other columns are ignored, an empty table gives an empty result."""
     model = fit(docs, labels, **parameters)
     rows = score(docs.select("doc_id", "text"), model)
     held = fold("doc_id") == 0
-    return rows.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` with a score under 0.5, with all their columns."""
-    return score(docs, fit(docs, labels, **parameters)).where("__score < 0.5").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` with a score under 0.5, with all their columns, of any name."""
+    name = free(docs.columns, "score")
+    return score(docs, fit(docs, labels, **parameters), name).where(F.col(name) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))

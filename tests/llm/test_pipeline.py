@@ -29,7 +29,7 @@ def test_stages_follow_each_other(spark, sf):
             assert set(after) == set(before) - bad
         if name == "toxicity":
             model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-            assert set(after) == {r.doc_id for r in toxicity.score(docs, model).where("__score < 0.5").collect()}
+            assert set(after) == {r.doc_id for r in toxicity.score(docs, model).where("score < 0.5").collect()}
         if name == "mix":
             assert set(after) == set(before)
         docs = spark.createDataFrame(out.collect(), out.schema)

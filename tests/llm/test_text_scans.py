@@ -1,7 +1,12 @@
 import hashlib
+import itertools
+import math
+import random
 import re
-
 import zlib
+from collections import Counter
+
+import numpy as np
 
 from ravelog.llm import html_extract, licenses, pii, toxicity
 
@@ -150,6 +155,120 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted for r in insulting) >= 0.95 * len(insulting)
 
 
+def brute_model(rows, corpus):
+    """Kneser-Ney by definition, with dictionaries: (spelling ratio of a word, sequence ratio of a pair, summaries of a text)."""
+    split = toxicity.words_of
+    every = Counter(w for t in corpus for w in split(t))
+    total = sum(every.values())
+    spelled = [Counter(w for t, y in rows if y == c for w in split(t)) for c in (0, 1)]
+
+    def orders(words, top, lowest):
+        """order -> {gram bytes: count}; top and word-initial ones by occurrence, others by distinct left bytes."""
+        out = {n: Counter() for n in range(lowest, top + 1)}
+        for w, n in words.items():
+            s = b"\x02" + w + b"\x03"
+            for i in range(1, len(s)):
+                if i >= top - 1:
+                    out[top][s[i - top + 1 : i + 1]] += n
+                for o in range(lowest, top):
+                    if i == o - 1:
+                        out[o][s[: i + 1]] += n
+        for o in range(top - 1, lowest - 1, -1):
+            for g in {g for g, n in out[o + 1].items() if n > 0}:
+                out[o][g[1:]] += 1
+        return out
+
+    shared = orders(every, 2, 1)
+    own = [orders(spelled[c], 6, 3) for c in (0, 1)]
+
+    def discount(counts):
+        once, twice = (sum(v == k for v in counts.values()) for k in (1, 2))
+        return min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+
+    def smoothed(counts, prefix, gram, lower):
+        of = [v for g, v in counts.items() if g[: len(prefix)] == prefix and v > 0] if prefix is not None else [v for v in counts.values() if v > 0]
+        if not of:
+            return lower
+        d = discount(counts)
+        return (max(counts.get(gram, 0) - d, 0) + d * len(of) * lower) / sum(of)
+
+    def spelling(w):
+        s, out = b"\x02" + w + b"\x03", 0.0
+        for i in range(1, len(s)):
+            p = []
+            for c in (0, 1):
+                x = 1 / 256
+                for o in range(1, 7):
+                    if i >= o - 1:
+                        g = s[i - o + 1 : i + 1]
+                        x = smoothed((shared if o <= 2 else own[c])[o], g[:-1], g, x)
+                p.append(x)
+            out += math.log(p[1] / p[0])
+        return out
+
+    pairs = [Counter((a, b) for t, y in rows if y == c for a, b in itertools.pairwise(split(t))) for c in (0, 1)]
+
+    def after(c, b):
+        follows = Counter(y for _, y in pairs[c])
+        return smoothed(follows, None, b, every[b] / total)
+
+    def sequence(a, b):
+        if not any((a, b) in pairs[c] for c in (0, 1)):
+            return 0.0
+        p = [smoothed(pairs[c], (a,), (a, b), after(c, b)) for c in (0, 1)]
+        return math.log(p[1] / p[0])
+
+    return spelling, sequence
+
+
+def test_models_match_kneser_ney_by_definition(spark):
+    """Every probability of a small corpus: spelling of seen and unseen words, seen and unseen pairs, weights from fold 1."""
+    rng = random.Random(6)
+    vocabulary = ["the", "then", "there", "a", "mean", "meaning", "nasty", "é", "nastier", "so", "you", "are", "xylophone"]
+    texts = [" ".join(rng.choice(vocabulary[: 6 + 7 * (i % 2)]) for _ in range(rng.randint(2, 30))) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 120) if i % 3], "doc_id long, toxic int")
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    rows = [(t, i % 2) for i, t in enumerate(texts) if i % 3 and fold(i) not in (0, 1)]
+    spelling, sequence = brute_model(rows, texts)
+    model = toxicity.fit(docs, labels)
+    words = [w.encode() for w in [*vocabulary, "thence", "zz", "q", "meanest"]]
+    got = model.ratios(words)
+    assert all(abs(g - spelling(w)) < 1e-4 * max(1, abs(g)) for g, w in zip(got, words))
+    import xxhash
+
+    code = lambda w: np.array([xxhash.xxh64_intdigest(w, 42)], np.uint64)
+    for a, b in itertools.product(words[:14], words[:14]):
+        g = toxicity.lookup(model.pairs, model.pair_ratios, toxicity.pair_keys(code(a), code(b)))[0]
+        assert abs(g - sequence(a, b)) < 1e-4 * max(1, abs(g)), (a, b)
+    for r in toxicity.features(docs.limit(20), model).collect():
+        w = toxicity.words_of(r.text)
+        s = [spelling(x) for x in w]
+        want = [sum(s) / len(w), *(sum(max(0, x - t) for x in s) / len(w) for t in toxicity.TAILS), sum(sequence(a, b) for a, b in itertools.pairwise(w)) / len(w)]
+        assert np.allclose(r.ratio, want, atol=1e-4)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    one = {r.doc_id: (r.score, r.predicted) for r in toxicity.scored(docs.coalesce(1), labels).collect()}
+    other = {r.doc_id: (r.score, r.predicted) for r in toxicity.scored(docs.repartition(16), labels.repartition(3)).collect()}
+    assert one.keys() == other.keys() and all(abs(one[k][0] - other[k][0]) < 1e-9 and one[k][1] == other[k][1] for k in one)
+
+
+def test_word_sequences_tell_classes(spark):
+    """Both classes hold the same words; only their order differs."""
+    rng = random.Random(2)
+    def text(y):
+        parts = ["get lost now", "we found you"] if y else ["you get now", "we lost found"]
+        return " ".join(rng.choice(parts) for _ in range(8))
+    docs = [(i, text(i % 2)) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    rows = toxicity.scored(frame, labels).where("held_out").collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in rows) >= 0.95 * len(rows)
+
+
 def test_toxicity_edges(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score < 0.5 for r in toxicity.scored(odd_docs, none).collect()] == [True] * odd_docs.count()
