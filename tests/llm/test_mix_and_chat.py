@@ -6,6 +6,8 @@ import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from ravelog.llm import chat_format, mixing
 
 
@@ -35,7 +37,7 @@ def test_targets_match_brute_force(spark):
         assert all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in sizes)
 
 
-def test_mix(spark, sf):
+def test_mix(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = mixing.mix(docs).collect()
     text = {r.doc_id: (r.text, r.source) for r in docs.collect()}
@@ -51,8 +53,28 @@ def test_mix(spark, sf):
         assert whole * r.size <= r.taken <= (whole + 1) * r.size  # complete epochs first
     assert all(abs(taken[s] - want[s]) <= 1 for s in sums)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()))
-    few = mixing.mix(docs, buckets=2).collect()
-    assert sorted(map(tuple, few)) == sorted(map(tuple, rows))  # the bucket count decides nothing
+    few = mixing.mix(docs, levels=((1, 1),)).collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, rows))  # the buckets decide nothing
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == sorted(map(tuple, rows))  # nor does the way rows meet their source
+
+
+def test_short_texts_and_copies_spread(spark):
+    """A source of one-word texts, and one row repeated thousands of times at the budget."""
+    rows = [(i, f"w{i}", "short") for i in range(3000)] + [(7, "a b c d e f g", "same")] * 3000 + [(i, "x y z " * 400, "long") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(docs).collect()
+    sizes = {"short": 3000, "same": 21000, "long": 48000}
+    want, taken = brute_targets(sizes), Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.coalesce(2)).collect()))
+    keys = spark.createDataFrame([(f"w{i}", 1) for i in range(3000)], "text string, size long")
+    unit = (F.pmod(F.xxhash64(F.lit(42), "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    x = F.log(-F.log(unit) / mixing.quality_weight(F.col("text"), F.col("size")))
+    assert max(r["count"] for r in keys.groupBy(F.floor(x * mixing.LEVELS[0][0])).count().collect()) < 30
 
 
 def test_mix_edges(odd_docs, no_docs):
