@@ -50,74 +50,84 @@ def labelled(hits: Column, phrase: str, label: str) -> Column:
 
 
 def notice(hits: Column, label: str, idf: dict[str, float], rare: int, agree: int) -> Column:
-    """(label, share of rare words that agree) where the template's notice stands, else null."""
+    """(label, share of rare words that agree) where the template's notice stands, else null.
+
+    Starts are sorted once: where k words agree, the k-th next one is equal. Starts near
+    which a mandatory phrase stands are listed from the phrase's places, and sets are
+    intersected, so a text of very many notices costs little more than its words.
+    """
     text, needed = TEMPLATES[label]
     words = text.split()
     once = sorted((w for w in words if words.count(w) == 1), key=lambda w: (-idf[w], w))[:rare]
     least = min(agree, len(once))
-    starts = F.concat(*(starts_at(hits, w, words.index(w)) for w in once))
-    votes = lambda s: F.size(F.filter(starts, lambda x: x == s))
-    agreed = F.filter(F.array_distinct(starts), lambda s: votes(s) >= least)
+    starts = F.array_sort(F.concat(*(starts_at(hits, w, words.index(w)) for w in once)))
+
+    def named_by(ordered: Column, k: int) -> Column:
+        return F.array_distinct(F.filter(ordered, lambda s, i: s == F.get(ordered, i + k - 1)))
 
-    def inside(start: Column) -> Column:
-        held = F.lit(True)
+    def judged(ordered: Column) -> Column:
+        good = named_by(ordered, least)
         for p in needed:
-            held = held & F.exists(spots(hits, p), lambda at: (at >= start - 1) & (at <= start + len(words)))
-        return held
+            near = F.flatten(F.transform(spots(hits, p), lambda at: F.sequence(at - len(words), at + 1)))
+            good = F.array_intersect(good, near)
+        share = F.lit(least / len(once))
+        for k in range(least + 1, len(once) + 1):
+            share = F.when(F.size(named_by(ordered, k)) > 0, k / len(once)).otherwise(share)
+        return F.when(F.size(good) > 0, F.struct(F.lit(label).alias("label"), share.alias("share")))
 
-    share = F.array_max(F.transform(agreed, lambda s: votes(s) / len(once)))
-    return F.when((F.size(of_words(hits, once)) >= least) & F.exists(agreed, inside), F.struct(F.lit(label).alias("label"), share.alias("share")))
+    return F.when(F.size(of_words(hits, once)) >= least, F.element_at(F.transform(F.array(starts), judged), 1))
 
 
 def word_places(docs: DataFrame) -> DataFrame:
-    """doc_id, __n words, __hits: (at, w) of each licence word of the whole text, in order."""
+    """doc_id, n words, hits: (at, w) of each licence word of the whole text, in order."""
     words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
-    rows = docs.select("doc_id", words.alias("__words"))
-    marked = F.transform("__words", lambda w, i: F.when(w.isin(VOCABULARY), F.struct(i.alias("at"), w.alias("w"))))
-    return rows.select("doc_id", F.size("__words").cast("long").alias("__n"), F.filter(marked, lambda x: x.isNotNull()).alias("__hits"))
+    rows = docs.select("doc_id", words.alias("all_words"))
+    marked = F.transform("all_words", lambda w, i: F.when(w.isin(VOCABULARY), F.struct(i.alias("at"), w.alias("w"))))
+    return rows.select("doc_id", F.size("all_words").cast("long").alias("n"), F.filter(marked, lambda x: x.isNotNull()).alias("hits"))
 
 
 def rarity(places: DataFrame) -> dict[str, float]:
     """IDF of the licence words over all documents (as many rows as the vocabulary has words)."""
     n = places.count()
-    counts = places.select(F.explode(F.array_distinct(F.transform("__hits", lambda h: h["w"]))).alias("w")).groupBy("w").count()
+    counts = places.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").count()
     df = {r["w"]: r["count"] for r in counts.collect()}
     return {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}
 
 
 def scan(docs: DataFrame, rare: int = 4, agree: int = 2) -> DataFrame:
-    """doc_id, __n, __base (array of (label, at)), __more (labels of the method), __score.
+    """doc_id, n, base (array of (label, at)), more (labels of the method), score.
 
     Each template lists its ``rare`` highest-IDF words with their positions. A file's
     places of such words, less the position in the template, give the place where the
     notice would start; a start named by at least ``agree`` words (all, of a template
     with fewer) whose mandatory phrases stand inside it is a find. Null texts have no
-    words; repeated rows give repeated rows; other columns are ignored.
+    words; repeated rows give repeated rows; labels that tie are all kept; other columns, of any
+    name, are ignored.
     """
     places = cut(word_places(docs))
     idf = rarity(places)
-    hits = F.col("__hits")
+    hits = F.col("hits")
     base = F.flatten(F.array(*(labelled(hits, p, label) for p, label in PHRASES.items())))
     more = [notice(hits, label, idf, rare, agree) for label in TEMPLATES]
     named = F.filter(F.array(*more), lambda x: x.isNotNull())
-    rows = places.select("doc_id", "__n", F.when(F.size(hits) > 0, base).alias("__base"), F.when(F.size(hits) > 0, named).alias("__named"))
-    score = F.greatest(F.when(F.size("__base") > 0, F.lit(0.9)).otherwise(0.0), F.coalesce(F.array_max(F.transform("__named", lambda x: F.least(F.lit(1.0), 0.5 + x["share"] / 2))), F.lit(0.0)))
-    return rows.select("doc_id", "__n", F.coalesce("__base", F.array().cast("array<struct<label:string,at:int>>")).alias("__base"), F.coalesce(F.transform("__named", lambda x: x["label"]), F.array().cast("array<string>")).alias("__more"), score.alias("__score"))
+    rows = places.select("doc_id", "n", F.when(F.size(hits) > 0, base).alias("base"), F.when(F.size(hits) > 0, named).alias("named"))
+    score = F.greatest(F.when(F.size("base") > 0, F.lit(0.9)).otherwise(0.0), F.coalesce(F.array_max(F.transform("named", lambda x: F.least(F.lit(1.0), 0.5 + x["share"] / 2))), F.lit(0.0)))
+    return rows.select("doc_id", "n", F.coalesce("base", F.array().cast("array<struct<label:string,at:int>>")).alias("base"), F.coalesce(F.transform("named", lambda x: x["label"]), F.array().cast("array<string>")).alias("more"), score.alias("score"))
 
 
 def report(docs: DataFrame, **parameters) -> DataFrame:
     """One digest row per document; see ``scan``."""
     found = scan(docs, **parameters)
-    at = F.transform("__base", lambda x: x["at"])
-    base = F.array_sort(F.array_distinct(F.transform("__base", lambda x: x["label"])))
-    every = F.array_sort(F.array_distinct(F.concat(base, "__more")))
+    at = F.transform("base", lambda x: x["at"])
+    base = F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"])))
+    every = F.array_sort(F.array_distinct(F.concat(base, "more")))
     return found.select(
         "doc_id",
-        F.col("__n").alias("n_words"),
-        F.size("__base").cast("long").alias("n_base"),
+        F.col("n").alias("n_words"),
+        F.size("base").cast("long").alias("n_base"),
         F.array_min(at).cast("long").alias("first_word"),
         F.array_max(at).cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"),
-        F.col("__score").alias("score"),
+        F.col("score").alias("score"),
     )

@@ -1,6 +1,6 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
-Labelers (pattern check, gazetteer, context, shape) vote on candidate spans.
+Labelers (pattern check, gazetteer tables, words nearby, edges, shape) vote on candidate spans.
 Expectation-maximisation over the counts of vote patterns estimates how reliable
 each labeler is; the posteriors train a naive Bayes span classifier that decides
 on every candidate that is no base span.
@@ -9,6 +9,7 @@ on every candidate that is no base span.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,32 +27,75 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Patterns of further candidates and gazetteers.
 SECRET = r"(?<=(?:password|passwd|secret|token|api_key|apikey)\x20{0,3}[=:]\x20{0,3}[\"']?)[A-Za-z0-9+/_-]{8,}+|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 LOCAL_PHONE = r"(?<![0-9+(]|[0-9]\x20)\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}(?![0-9])"
+SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+DOMAINS = "com|org|net|edu|gov|mil|int|io|info|biz|name|app|dev|ai|co|me|tv|eu|de|fr|es|it|nl|be|uk|ie|ch|at|li|lu|us|ca|br|ar|cl|mx|jp|cn|kr|tw|hk|sg|in|id|th|vn|my|ph|au|nz|za|ng|ke|eg|ma|il|tr|ru|ua|pl|cz|sk|hu|ro|bg|gr|se|no|fi|dk|is|ee|lv|lt|pt"
+BANK_COUNTRIES = "AD|AE|AT|BA|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GI|GR|HR|HU|IE|IL|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|RS|SA|SE|SI|SK|SM|TR|UA"
 GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|io|info|biz|de|fr|es|it|nl|uk|eu|ch|at|us|ca|br|mx|jp|cn|in|au)$",
+    "email": rf"(?i)\.(?:{DOMAINS})$",
     "ip": r"^(?!0|127\.|255\.).*$",
     "card": r"^(?:4|5[1-5]|2[2-7]|34|37|36|38|6011|65).*$",
     "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]).*$",
     "secret": r"^(?:AKIA.*|[0-9a-f]{16,}|[A-Za-z0-9+/_-]{20,})$",
     "phone_local": r"^\([2-9].*$",
+    "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
+    "iban": rf"^(?:{BANK_COUNTRIES})[0-9]{{2}}.*$",
+}
+# Words near a span that speak for its kind.
+NEAR = {
+    "email": "mail|e-mail|email|contact|write|reach|send|correo|adresse|kontakt|courriel",
+    "ip": "ip|host|server|address|login|logged|client|from|dirección|adresse",
+    "card": "card|visa|mastercard|amex|credit|debit|payment|paid|pay|tarjeta|karte|carte",
+    "phone": "phone|tel|telephone|call|mobile|cell|fax|whatsapp|teléfono|telefon|téléphone",
+    "secret": "password|passwd|secret|token|api_key|apikey|key|credential|bearer",
+    "phone_local": "phone|tel|telephone|call|mobile|cell|fax|contact",
+    "ssn": "ssn|social|security|taxpayer|insured",
+    "iban": "iban|account|bank|transfer|konto|cuenta|compte",
 }
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret", "phone_local")
-LABELERS = ("pattern", "gazetteer", "context", "shape")
+KINDS = tuple(GAZETTEER)
+LABELERS = ("pattern", "gazetteer", "context", "edges", "shape")
+BEFORE, AFTER = 48, 24
+BLOCK = 256
+SPAN = "struct<kind:string,start:int,end:int,value:string,before:string,after:string>"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def found(text: Column, pattern: str, kind: str) -> Column:
-    """Array of (kind, start, end, value): matches with code point offsets.
+    """Array of ``SPAN``: matches with code point offsets and what stands around them.
 
-    The pieces between the matches and the matches themselves give the offsets.
+    The pieces between the matches and the matches themselves give the offsets: sums of
+    blocks of ``BLOCK`` pieces, sums before a block, sums inside one. So a text of very
+    many matches costs little more than its length. ``before`` and ``after`` are cut from
+    the pieces, at most ``BEFORE`` and ``AFTER`` code points.
     """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    zero = F.lit(0)
+
+    def total(first: Column, stop: Column, size: Callable[[Column], Column]) -> Column:
+        """Sum of size(j) for first <= j < stop."""
+        return F.when(stop <= first, zero).otherwise(F.aggregate(F.sequence(first, F.greatest(first, stop - 1)), zero, lambda s, j: s + size(j)))
 
-    def place(hit: Column, i: Column) -> Column:
-        start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(hits, F.lit(1), i))
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("value"))
+    def spans(m: Column) -> Column:
+        n = F.size(m["hits"])
+        step = lambda j: F.length(F.get(m["hits"], j)) + F.length(F.get(m["gaps"], j))
+        blocks = F.transform(F.sequence(zero, F.floor((n - 1) / BLOCK).cast("int")), lambda b: total(b * BLOCK, F.least(n, (b + 1) * BLOCK), step))
+        heads = bound(blocks, lambda sums: F.transform(sums, lambda _, b: total(zero, b, lambda j: F.get(sums, j))))
 
-    return F.transform(hits, place)
+        def place(hit: Column, i: Column, head: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            gap, following = F.get(m["gaps"], i), F.get(m["gaps"], i + 1)
+            start = F.get(head, block) + total(block * BLOCK, i, step) + F.length(gap)
+            before = F.when((F.length(gap) == 0) & (i > 0), F.substring(F.get(m["hits"], i - 1), -1, 1)).otherwise(F.substring(gap, -BEFORE, BEFORE))
+            after = F.when((F.length(following) == 0) & (i + 1 < n), F.substring(F.get(m["hits"], i + 1), 1, 1)).otherwise(F.substring(following, 1, AFTER))
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("value"), before.alias("before"), after.alias("after"))
+
+        return F.when(n == 0, F.array().cast(f"array<{SPAN}>")).otherwise(bound(heads, lambda head: F.transform(m["hits"], lambda hit, i: place(hit, i, head))))
+
+    return bound(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), spans)
 
 
 def digits(value: Column) -> Column:
@@ -77,43 +121,47 @@ def valid(c: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and __all, the candidate spans of each whole text with their labelers' votes."""
+    """doc_id and all_spans, the candidate spans of each whole text with their labelers' votes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    nothing = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    nothing = F.array().cast(f"array<{SPAN}>")
     # Separators that do not stand between two digits end a run; replacing them keeps all offsets.
     runs = F.regexp_replace(text, r"(?<![0-9])[\x20-]|[\x20-](?![0-9])", "\n")
     some = lambda when, spans: F.when(when, spans).otherwise(nothing)
     cards = F.filter(found(runs, CARD, "card"), lambda c: F.length(digits(c["value"])).between(13, 19))
-    phones = some(text.contains("+"), found(text, PHONE, "phone"))
     rows = docs.select(
         F.col("doc_id"),
-        text.alias("__text"),
         F.concat(
             some(text.contains("@"), found(text, EMAIL, "email")),
             some(text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), found(text, IP, "ip")),
             some(text.rlike(r"[0-9][0-9\x20-]{11,}[0-9]"), cards),
-            phones,
+            some(text.contains("+"), found(text, PHONE, "phone")),
             some(text.rlike("password|passwd|secret|token|api_key|apikey|AKIA"), found(text, SECRET, "secret")),
             some(text.rlike(r"\([0-9]{3}\)\x20[0-9]{3}-"), found(text, LOCAL_PHONE, "phone_local")),
-        ).alias("__found"),
+            some(text.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), found(text, SSN, "ssn")),
+            some(text.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"), found(text, IBAN, "iban")),
+        ).alias("found_spans"),
     )
 
+    def of_kind(c: Column, patterns: dict[str, str], value: Column) -> Column:
+        said = F.lit(False)
+        for kind, pattern in patterns.items():
+            said = F.when(c["kind"] == kind, value.rlike(pattern)).otherwise(said)
+        return said
+
+    near = {kind: rf"(?i)(?<![A-Za-z])(?:{words})(?![A-Za-z])" for kind, words in NEAR.items()}
+
     def judged(c: Column) -> Column:
-        listed = F.lit(False)
-        for kind, pattern in GAZETTEER.items():
-            listed = listed | ((c["kind"] == kind) & c["value"].rlike(pattern))
-        before = F.when(c["start"] > 0, F.substring(F.col("__text"), c["start"], F.lit(1))).otherwise("")
-        after = F.substring(F.col("__text"), c["end"] + 1, F.lit(1))
-        glued = before.rlike("[A-Za-z0-9]") | after.rlike("[A-Za-z0-9]")
-        different = F.size(F.array_distinct(F.split(c["value"], "")))
+        glued = F.substring(c["before"], -1, 1).rlike("[A-Za-z0-9]") | F.substring(c["after"], 1, 1).rlike("[A-Za-z0-9]")
+        different = F.size(F.array_distinct(F.split(F.substring(c["value"], 1, 64), "")))
         vote = lambda yes: F.when(yes, "1").otherwise("0")
         base = c["kind"].isin(*BASE)
         ok = base & valid(c)
-        votes = F.concat(F.when(~base, "-").otherwise(vote(ok)), vote(listed), vote(~glued), vote(different >= 5))
+        around = F.concat_ws("\n", c["before"], c["after"])
+        votes = F.concat(F.when(~base, "-").otherwise(vote(ok)), vote(of_kind(c, GAZETTEER, c["value"])), vote(of_kind(c, near, around)), vote(~glued), vote(different >= 5))
         size = F.when(F.length(c["value"]) < 12, "s").when(F.length(c["value"]) < 24, "m").otherwise("l")
         return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), ok.alias("base"), votes.alias("votes"), size.alias("size"))
 
-    return rows.select("doc_id", F.transform("__found", judged).alias("__all"))
+    return rows.select("doc_id", F.transform("found_spans", judged).alias("all_spans"))
 
 
 @dataclass
@@ -126,7 +174,7 @@ class Votes:
 
 
 def fit(counted: list[tuple[str, str, str, int]], rounds: int = 50) -> Votes:
-    """EM over counts of (kind, size, votes); at most kinds x 3 x 3**4 rows, however large the corpus.
+    """EM over counts of (kind, size, votes); at most kinds x 3 x 3**5 rows, however large the corpus.
 
     Labelers are independent given the truth; '-' is no vote. Starts from a majority
     vote, so the classes keep their meaning.
@@ -177,27 +225,27 @@ def fit(counted: list[tuple[str, str, str, int]], rounds: int = 50) -> Votes:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id and __spans for each row: array of (kind, start, end, base), sorted by kind and start.
+    """doc_id and spans for each row: array of (kind, start, end, base), sorted by kind and start.
 
     Base spans always stay; other candidates stay where the span classifier says so.
-    Null and empty texts have no spans; repeated rows give repeated rows; other columns
-    are ignored. Only candidate spans leave the scan, and nothing is shuffled but the
+    Null and empty texts have no spans; repeated rows give repeated rows; spans of several
+    kinds may cover each other; other columns, of any name, are ignored. Only candidate spans leave the scan, and nothing is shuffled but the
     counts of vote patterns.
     """
     rows = cut(candidates(docs))
-    counts = rows.select(F.explode("__all").alias("c")).groupBy("c.kind", "c.size", "c.votes").count()
+    counts = rows.select(F.explode("all_spans").alias("c")).groupBy("c.kind", "c.size", "c.votes").count()
     model = fit([tuple(r) for r in counts.collect()])
     accepted = [k for k, p in sorted(model.accept.items()) if p >= 0.5]
     good = lambda c: F.concat_ws(" ", c["kind"], c["size"], c["votes"]).isin(accepted) if accepted else F.lit(False)
     # A rejected base-kind match failed its check; only kinds without one are added.
-    kept = F.filter("__all", lambda c: c["base"] | (~c["kind"].isin(*BASE) & good(c)))
-    return rows.select("doc_id", F.transform(kept, lambda c: F.struct(c["kind"], c["start"], c["end"], c["base"])).alias("__spans"))
+    kept = F.filter("all_spans", lambda c: c["base"] | (~c["kind"].isin(*BASE) & good(c)))
+    return rows.select("doc_id", F.transform(kept, lambda c: F.struct(c["kind"], c["start"], c["end"], c["base"])).alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One digest row per document; see ``personal_data``."""
-    spans = personal_data(docs)
+    """One digest row per document, and n_spans, the number of all its spans; see ``personal_data``."""
+    found = personal_data(docs)
     line = lambda a: F.array_join(F.transform(a, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))), ",")
-    base = F.filter("__spans", lambda c: c["base"])
+    base = F.filter("spans", lambda c: c["base"])
     count = lambda k: F.size(F.filter(base, lambda c: c["kind"] == k)).cast("long").alias(f"n_{k}")
-    return spans.select("doc_id", *map(count, BASE), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("__spans")).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
