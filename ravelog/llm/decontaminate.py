@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free, written
+
 # A-Z to lower case, other ASCII outside 0-9 and a-z to spaces; other bytes stay.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -46,26 +48,34 @@ class Index:
     A window has ``span`` consecutive words of an item. With k-grams of ``k`` words
     and ``span - k + 1`` grams to a sliding window, a text that holds a window of the
     item holds a fingerprint of it at the same place: both minima come from the
-    same grams.
+    same grams. Windows are kept as sorted hashes with their places in the shard's
+    text, some 30 bytes each, and compared as text where hashes agree.
     """
 
     def __init__(self, items: list[tuple[int, str]], span: int, k: int):
         self.span, self.k, self.cache = span, k, {}
-        self.windows: dict[bytes, set[int]] = defaultdict(set)
-        self.lengths = {span}
-        prints = []
+        self.texts: list[bytes] = []
+        prints, by_size = [], defaultdict(list)
         for item, text in items:
             words = words_of(text)
-            size = min(span, len(words))
             if not words:
                 continue
-            self.lengths.add(size)
-            for i in range(len(words) - size + 1):
-                self.windows[b" ".join(words[i : i + size])].add(item)
-            grams = gram_hashes(self.hashes(words), k)
-            prints.append(grams[winnow(grams, span - k + 1)])
+            size = min(span, len(words))
+            ids = self.hashes(words)
+            starts = gram_hashes(ids, size)
+            ends = np.cumsum([len(w) + 1 for w in words])  # one past each word and its space
+            first, last = np.append(0, ends[:-1])[: len(starts)], ends[size - 1 :] - 1
+            by_size[size].append((starts, np.full(len(starts), item, np.int64), np.full(len(starts), len(self.texts), np.int32), first.astype(np.int32), last.astype(np.int32)))
+            self.texts.append(b" ".join(words))
+            small = gram_hashes(ids, k)
+            prints.append(small[winnow(small, span - k + 1)])
         self.prints = np.unique(np.concatenate(prints)) if prints else np.empty(0, np.uint64)
-        self.starts = {n: np.unique(np.array([gram_hashes(self.hashes(w.split(b" ")), n)[0] for w in self.windows if w.count(b" ") + 1 == n], dtype=np.uint64)) for n in self.lengths}
+        self.windows = {}
+        for size, parts in by_size.items():
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            self.windows[size] = [c[order] for c in columns]
+        self.cache.clear()
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         cache = self.cache
@@ -76,6 +86,12 @@ class Index:
                 cache[w] = xxhash.xxh64_intdigest(w)
         return np.array([cache[w] for w in words], dtype=np.uint64)
 
+    def items_at(self, size: int, gram: np.uint64, window: bytes) -> set[int]:
+        """The items that hold a window of ``size`` words: those of its hash whose text is the same."""
+        starts, item, text, first, last = self.windows[size]
+        a, b = np.searchsorted(starts, gram, side="left"), np.searchsorted(starts, gram, side="right")
+        return {int(item[i]) for i in range(a, b) if self.texts[text[i]][first[i] : last[i]] == window}
+
     def hits(self, words: list[bytes]) -> tuple[list[int], set[int]]:
         """Hit word positions as sorted [start, end, ...] runs and the items that occur."""
         runs: list[tuple[int, int]] = []
@@ -83,8 +99,8 @@ class Index:
         if not words:
             return [], found
         ids = self.hashes(words)
-        for n in sorted(self.lengths):
-            if len(ids) < n or not len(self.starts[n]):
+        for n, (starts, *_) in sorted(self.windows.items()):
+            if len(ids) < n:
                 continue
             grams = gram_hashes(ids, n)
             if n == self.span:  # winnowed fingerprints name the places worth extending
@@ -95,11 +111,11 @@ class Index:
                     continue
                 at = np.unique((at[:, None] - np.arange(n - self.k + 1)).ravel())
                 at = at[(at >= 0) & (at < len(grams))]
-                at = at[member(grams[at], self.starts[n])]
+                at = at[member(grams[at], starts)]
             else:
-                at = np.nonzero(member(grams, self.starts[n]))[0]
+                at = np.nonzero(member(grams, starts))[0]
             for i in at.tolist():
-                if items := self.windows.get(b" ".join(words[i : i + n])):
+                if items := self.items_at(n, grams[i], b" ".join(words[i : i + n])):
                     found |= items
                     runs.append((i, i + n))
         flat: list[int] = []
@@ -128,27 +144,28 @@ def shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[list[tuple[int, s
         yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).toLocalIterator()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, shard_bytes: int = 16 << 20) -> DataFrame:
-    """``docs`` with __n_words, __hit (sorted start, end, ... word runs) and __items (array<long>).
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, shard_bytes: int = 4 << 20, names: tuple[str, str, str] = ("n_words", "hit", "items")) -> DataFrame:
+    """``docs`` with the columns ``names``: its number of words (long), hit (sorted start, end, ... word runs) and items (array<long>).
 
     A window is ``span`` consecutive words of an item (all its words, if fewer);
     each word inside an occurrence of a window is hit. Benchmark text goes to the
-    executors in shards of bounded size, one pass over the documents for each, so
-    a large benchmark costs passes and not memory. Null texts have no words, null
-    items and null item_ids take no part; all rows and columns of ``docs`` stay.
+    executors in shards of ``shard_bytes``, one pass over the documents for each; each
+    pass is written before the next one begins, so a task holds the index of one shard.
+    Null texts have no words, null items and null item_ids take no part, an item_id
+    repeated with other texts is one item; all rows and columns of ``docs`` stay, but for
+    one named like those added.
     """
-    out = docs
+    out = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names))
     for part, items in enumerate(shards(benchmark, shard_bytes)):
-        out = scan(out, items, span, k, first=part == 0)
+        out = scan(written(out) if part else out, items, span, k, names, first=part == 0)
     return out
 
 
-def scan(docs: DataFrame, items: list[tuple[int, str]], span: int, k: int, first: bool) -> DataFrame:
+def scan(docs: DataFrame, items: list[tuple[int, str]], span: int, k: int, names: tuple[str, str, str], first: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    names = ["__n_words", "__hit", "__items"]
-    kept = docs.columns if first else [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c not in names]
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "__n_words long", "__hit array<long>", "__items array<long>"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), f"`{names[0]}` long, `{names[1]}` array<long>, `{names[2]}` array<long>"])
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,19 +200,12 @@ def merged(one: list[int], other: list[int]) -> list[int]:
 def report(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """One digest row per document; see ``contamination``."""
     found = contamination(docs.select("doc_id", "text"), benchmark, **parameters)
-    hit = F.aggregate(F.transform("__hit", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
-    items = F.array_join(F.array_sort(F.transform("__items", lambda x: x.cast("string"))), ",")
-    return found.select(
-        "doc_id",
-        F.col("__n_words").alias("n_words"),
-        hit.alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(items, 256).alias("items_sha256"),
-        (hit > 0).alias("contaminated"),
-    )
+    hit = F.aggregate(F.transform("hit", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
+    items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
-    return contamination(docs, benchmark, **parameters).where(F.size("__hit") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
-
+    """The rows of ``docs`` in which no benchmark window occurs, with all their columns, of any name."""
+    names = tuple(free(docs.columns, c) for c in ("n_words", "hit", "items"))
+    return contamination(docs, benchmark, names=names, **parameters).where(F.size(names[1]) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -92,10 +92,33 @@ def test_every_span_is_found(spark):
         assert found == {7} and runs == [41, 51]
 
 
+def test_index_is_small():
+    """The default shard of invented text takes under 100 MB in a worker."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    vocabulary = [f"{v:x}w" for v in rng.integers(1 << 24, size=200_000)]
+    items, size = [], 0
+    while size < 4 << 20:
+        items.append((len(items), " ".join(vocabulary[i] for i in rng.integers(len(vocabulary), size=200))))
+        size += len(items[-1][1])
+    tracemalloc.start()
+    index = decontaminate.Index(items, 10, 5)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    print(f"kept {now / 1e6:.0f} MB, most {peak / 1e6:.0f} MB")
+    assert peak < 100e6
+    words = [w.encode() for w in items[77][1].split()]
+    assert index.hits([b"aa", *words[40:55], b"bb"]) == ([1, 16], {77})
+
+
 def test_leak_edges(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
     kept = decontaminate.drop_contaminated(odd_docs, bench)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 3
     assert decontaminate.report(no_docs, bench).count() == 0
+    clash = odd_docs.withColumnsRenamed({"key": "hit", "fp": "items", "size": "n_words"})
+    kept = decontaminate.drop_contaminated(clash, bench)
+    assert kept.columns == clash.columns and kept.count() == odd_docs.count() - 3
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.drop_contaminated(odd_docs, none).count() == odd_docs.count()
