@@ -51,19 +51,28 @@ def pivots(n: int) -> list[int]:
     return out
 
 
-def with_pivot_table(df: DataFrame, n: int) -> DataFrame:
-    """Columns p0..p{n-1}: Hamming distance of fp to each reference fingerprint."""
-    return df.select("*", *(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte").alias(f"p{i}") for i, p in enumerate(pivots(n))))
+def with_pivot_table(df: DataFrame, n: int, fp: str | Column, name: str) -> DataFrame:
+    """Columns {name}0..{name}{n-1}: Hamming distance of ``fp`` to each reference fingerprint."""
+    fp = F.col(fp) if isinstance(fp, str) else fp
+    return df.select("*", *(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("byte").alias(f"{name}{i}") for i, p in enumerate(pivots(n))))
 
 
 def pivots_allow(left: str, right: str, n: int, distance: int) -> Column:
     """Triangle inequality: no coordinate of the pivot tables differs by more than ``distance``."""
     keep = F.lit(True)
     for i in range(n):
-        keep = keep & (F.abs(F.col(f"{left}.p{i}") - F.col(f"{right}.p{i}")) <= distance)
+        keep = keep & (F.abs(F.col(f"{left}{i}") - F.col(f"{right}{i}")) <= distance)
     return keep
 
 
+def key_blocks(n: int, distance: int) -> int:
+    """Blocks to cut: as few as give keys that tell ``n`` fingerprints apart (up to eight of unrelated ones to a bucket)."""
+    blocks = distance + 2
+    while (blocks - distance) * 64 // blocks + 3 < n.bit_length() and blocks < 2 * distance + 2:
+        blocks += 1
+    return blocks
+
+
 def near_groups(
     nodes: DataFrame,
     distance: int,
@@ -77,35 +86,38 @@ def near_groups(
 
     A link is a pair that meets under a block key, lies within ``distance`` bits
     and passes ``verify`` (edges (a, b) in, those confirmed out). ids are unique.
-    With ``agree <= blocks - distance`` no pair within the distance is missed.
+    With ``agree <= blocks - distance`` no pair within the distance is missed. Pairs that
+    meet are discarded by the pivot tables first, and their bits are counted after.
     ``keyed`` is an array of other keys under which nodes meet, instead of blocks.
     """
     keyed = F.array(*block_keys(F.col("fp"), blocks, agree)) if keyed is None else keyed
     keys = nodes.select(F.explode(keyed).alias("key"), "id", "fp")
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.max("id").alias("tail"), F.bit_xor("fp").alias("differ"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.max("id").alias("tail"), F.min_by("fp", "id").alias("fp"), F.bit_xor("fp").alias("differ"))
     # Most buckets have one member, and most of the others two that happen to meet; neither goes further.
-    buckets = cut(buckets.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count("differ") <= distance))))
-    many = small_side(buckets.where("n > 2").select("key", "head"), F.lit(16))
-    rows = cut(keys.join(many, "key").select("key", "id", "fp", "head"))
-    rows = rows.join(rows.where("id = head").select("key", F.col("fp").alias("head_fp")), "key")
-
-    led = rows.where((F.col("id") != F.col("head")) & (apart("fp", "head_fp") <= distance)).select(F.col("id").alias("a"), F.col("head").alias("b"))
-    edges = led.union(buckets.where("n = 2").select(F.col("tail").alias("a"), F.col("head").alias("b"))).distinct()
+    two = with_pivot_table(with_pivot_table(buckets, n_pivots, "fp", "x"), n_pivots, F.col("fp").bitwiseXOR(F.col("differ")), "y")
+    close = (F.col("n") == 2) & pivots_allow("x", "y", n_pivots, distance) & (F.bit_count("differ") <= distance)
+    buckets = cut(two.where((F.col("n") > 2) | close).select("key", "n", "head", "tail", F.col("fp").alias("head_fp")))
+    many = small_side(buckets.where("n > 2").select("key", "head", "head_fp"), F.lit(24))
+    rows = cut(with_pivot_table(keys.join(many, "key").select("key", "id", "fp", "head", "head_fp"), n_pivots, "fp", "x"))
+
+    led = with_pivot_table(rows.where("id <> head"), n_pivots, "head_fp", "y").where(pivots_allow("x", "y", n_pivots, distance) & (apart("fp", "head_fp") <= distance))
+    edges = led.select(F.col("id").alias("a"), F.col("head").alias("b")).union(buckets.where("n = 2").select(F.col("tail").alias("a"), F.col("head").alias("b"))).distinct()
     first = cut(connected(verify(edges) if verify else edges))
 
     wide = rows.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("team", F.coalesce("root", "id")).drop("root")
     wide = wide.join(first.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left")
-    wide = cut(with_pivot_table(wide.select("key", "id", "fp", "team", F.coalesce("head_root", "head").alias("head_team")), n_pivots))
-    outer = wide.where("team <> head_team").alias("x")
+    table = [f"x{i}" for i in range(n_pivots)]
+    wide = cut(wide.select("key", "id", "fp", "team", F.coalesce("head_root", "head").alias("head_team"), *table))
+    outer = wide.where("team <> head_team")
+    others = wide.select(*(F.col(c).alias(f"o_{c}") for c in ("key", "id", "fp", "team")), *(F.col(c).alias(f"y{i}") for i, c in enumerate(table)))
     met = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.team") != F.col("y.team"))
+        (F.col("key") == F.col("o_key"))
+        & (F.col("team") != F.col("o_team"))
         & pivots_allow("x", "y", n_pivots, distance)
-        & (apart("x.fp", "y.fp") <= distance)
+        & (apart("fp", "o_fp") <= distance)
     )
-    more = outer.join(wide.alias("y"), met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    more = outer.join(others, met).select(F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")).distinct()
     if verify:
         more = verify(more)
     return connected(more.union(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))

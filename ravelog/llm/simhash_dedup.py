@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
-from .hamming import near_groups
+from .common import cut, free, small_side, written
+from .hamming import key_blocks, near_groups
 
 CHUNK = 1 << 15
 # MinHash: values a band, bands, and one odd multiplier for each value. A pair of
@@ -54,13 +54,14 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_id")).mapInArrow(run, "doc_id long, text_id long, fp long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 6, n_pivots: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int | None = None, n_pivots: int = 8) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed), component_id.
 
     Documents are linked when their fingerprints differ in at most ``distance``
     bits; component_id is the smallest doc_id that links reach. Equal fingerprints
     are one node, so copies are never expanded into pairs. Candidates share
-    ``blocks - distance`` fingerprint blocks; pairs whose distances to any
+    ``blocks - distance`` fingerprint blocks (their number follows the number of
+    fingerprints, if not given, and decides nothing); pairs whose distances to any
     reference fingerprint differ by more than ``distance`` are discarded before
     the exact count of differing bits.
 
@@ -69,41 +70,46 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks
     repeated rows. Other columns are ignored. An empty table gives an empty result.
     """
     marked = cut(fingerprints(docs, shingle))
-    groups = grouped(marked, distance, blocks, n_pivots)
-    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = groups.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
-
-
-def grouped(marked: DataFrame, distance: int, blocks: int, n_pivots: int) -> DataFrame:
-    """Rows (fp, least, root) for the distinct fingerprints of ``marked``: smallest doc_id and component."""
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes, roots = grouped(marked, distance, blocks, n_pivots)
+    linked = cut(nodes.join(roots, "fp"))
+    least = small_side(cut(linked.groupBy("root").agg(F.min("least").alias("component_id"))), F.lit(24))
+    of = linked.join(least, "root").select("fp", "component_id")
+    alone = nodes.join(roots, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return marked.join(of.union(alone), "fp").select("doc_id", "fp", "component_id")
+
+
+def grouped(marked: DataFrame, distance: int, blocks: int | None, n_pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (fp, least) for the distinct fingerprints of ``marked`` with their smallest doc_id, and (fp, root) for the linked ones."""
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    blocks = blocks or key_blocks(nodes.count(), distance)
     roots = near_groups(nodes.select(F.col("fp").alias("id"), "fp"), distance, blocks, blocks - distance, n_pivots)
-    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return nodes, cut(roots.withColumnRenamed("node", "fp"))
 
 
-def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 6, n_pivots: int = 8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int | None = None, n_pivots: int = 8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the first by doc_id, then by a hash of the text.
 
-    All columns stay as they are. A null doc_id comes last, so it is kept only where
-    its whole group has none. Groups are chosen from apart, so a doc_id repeated with
-    texts of two groups keeps a row in each.
+    All columns, of any name and type, stay as they are. A null doc_id comes last, so it
+    is kept only where its whole group has none. Groups are chosen from apart, so a doc_id
+    repeated with texts of two groups keeps a row in each.
     """
     marked = cut(fingerprints(docs, shingle))
-    root = grouped(marked, distance, blocks, n_pivots).select("fp", "root")
-    return first_of_groups(docs, marked.join(root, "fp"))
+    _, roots = grouped(marked, distance, blocks, n_pivots)
+    root = marked.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return first_of_groups(docs, root)
 
 
 def first_of_groups(docs: DataFrame, members: DataFrame) -> DataFrame:
     """One row of ``docs`` for each root of ``members`` (doc_id, text_id, root)."""
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
+    doc, of, row = (free(docs.columns, c) for c in ("kept_doc", "kept_text", "kept_row"))
     first = members.groupBy("root").agg(F.min(place).alias("at"))
-    keep = cut(first.select(F.col("at.doc_id").alias("__doc"), F.col("at.text_id").alias("__text")).distinct())
+    keep = cut(first.select(F.col("at.doc_id").alias(doc), F.col("at.text_id").alias(of)).distinct())
     text_id = F.xxhash64(docs["text"].cast("string"))
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__doc"]) & (text_id == keep["__text"]))
-    # Copies of the kept row are reduced before they are dealt.
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    return kept.groupBy("__doc", "__text").agg(F.min(row).alias("__row")).select(*(F.col("__row")[c].alias(c) for c in docs.columns))
+    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep[doc]) & (text_id == keep[of]))
+    # Copies of the kept row are reduced before they are dealt; JSON orders rows of any type.
+    whole = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns))
+    return kept.groupBy(doc, of).agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(*(F.col(row)[c].alias(c) for c in docs.columns))
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -158,7 +164,7 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
     marked = texts.mapInArrow(run, "doc_id long, text_id long, id long, n int, keys array<long>")
-    nodes = cut(marked.groupBy("id").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    nodes = written(marked.groupBy("id").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
     @F.pandas_udf("boolean")
     def enough(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -201,12 +201,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars
     return rows.withColumn("upto", upto).where(F.col("upto") <= max_chars).select("text", "toxic", "fold")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_chars: int = 50_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_chars: int = 50_000_000, min_pair: int = 2) -> Model:
     """Train on the labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
     Folds 2 to 4 give the counts, fold 1 the weights that turn ratios into a
     probability. ``max_rows`` and ``max_chars`` bound the labelled sample of each class,
-    and so the model; the shared counts take every word of every document. Without a row
+    and so the model, and ``min_pair`` leaves out word pairs that the sample holds less often; the shared counts take every word of every document. Without a row
     of both classes every score is 0.
     """
     sample = written(labelled_sample(docs, labels, max_rows, max_chars))
@@ -214,18 +214,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_chars: int
     if own.select("toxic").distinct().count() < 2:
         return Model()
     corpus = written(word_counts(docs))
-    words = class_words(own)
+    words = written(class_words(own))
     shared = gram_counts(corpus.select("word", F.col("n").alias("n0"), F.col("n").alias("n1")), SHARED, 1)  # at most 257 + 257**2 rows
     by_class = gram_counts(words, ORDER, SHARED + 1)  # bounded by the sample
     shared, by_class = written(shared), written(by_class)
     model = Model([level(shared if n <= SHARED else by_class, n) for n in range(1, ORDER + 1)])
-    model.pairs, model.pair_ratios = sequence(pair_counts(own), words, corpus)
+    model.pairs, model.pair_ratios = sequence(pair_counts(own), words, corpus, min_pair)
     return calibrate(model, sample)
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     once, twice = (counts == 1).sum(axis=0), (counts == 2).sum(axis=0)
-    return np.clip(once / np.maximum(1, once + 2 * twice), 0.1, 0.95)
+    return np.array([cut_off(a, b) for a, b in zip(once, twice, strict=True)])
+
+
+def cut_off(once: int, twice: int) -> float:
+    """The absolute discount, from how many n-grams were counted once and twice."""
+    return float(min(0.95, max(0.1, once / max(1, once + 2 * twice))))
 
 
 def table_of(grams: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> Level:
@@ -242,28 +247,34 @@ def level(counted: DataFrame, order: int) -> Level:
     return table_of(gram, gram >> np.uint64(8), rows[["n0", "n1"]].to_numpy(np.int64))
 
 
-def sequence(pairs: DataFrame, words: DataFrame, corpus: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def sequence(pairs: DataFrame, words: DataFrame, corpus: DataFrame, min_pair: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the sample's word pairs, and log P(b after a | toxic) - log P(b after a | ordinary) of each.
 
-    A pair that the sample lacks says nothing.
+    A pair seen fewer than ``min_pair`` times says nothing, but counts in what the others are measured by.
     """
-    rows = pairs.toPandas()
+    pairs = written(pairs)
+    seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    times = lambda c, n: F.sum((F.col(c) == n).cast("long"))
+    before = pairs.groupBy("a").agg(*(f(c).alias(f"{p}{c}") for c in ("n0", "n1") for f, p in ((F.sum, "total_"), (seen, "types_"))))
+    after = written(pairs.groupBy("b").agg(seen("n0").alias("f0"), seen("n1").alias("f1")))
     total = corpus.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
-    share = words.select("word").join(corpus, "word").select(F.xxhash64("word").alias("h"), (F.col("n") / total).alias("s")).toPandas().sort_values("h", ignore_index=True)
-    a, b = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b"))
-    counts = rows[["n0", "n1"]].to_numpy(np.int64)
-    if not len(rows):
-        return a, np.empty(0)
-    single, of = np.unique(b, return_inverse=True)
-    follows = np.stack([np.bincount(of, counts[:, y] > 0, len(single)) for y in (0, 1)], axis=1)
-    hashed = share["h"].to_numpy(np.int64)
-    common = share["s"].to_numpy(float)[np.searchsorted(hashed, single.view(np.int64))][:, None]
-    none = np.zeros(len(single), np.uint64)
-    after = table_of(single, none, follows).smoothed(single, none, common)
-    keys = pair_keys(a, b)
-    p = table_of(keys, a, counts).smoothed(keys, a, after[of])
+    share = words.select("word").join(corpus, "word").select(F.xxhash64("word").alias("b"), (F.col("n") / total).alias("s"))
+    scored = pairs.where(F.col("n0") + F.col("n1") >= min_pair).join(before, "a").join(after, "b").join(share, "b")
+    log_p = []
+    for y in (0, 1):
+        once, twice = pairs.agg(times(f"n{y}", 1), times(f"n{y}", 2)).first()
+        f_once, f_twice, f_total, f_types = after.agg(times(f"f{y}", 1), times(f"f{y}", 2), F.sum(f"f{y}"), seen(f"f{y}")).first()
+        if not f_total:
+            log_p.append(F.log("s"))
+            continue
+        d, e = cut_off(once, twice), cut_off(f_once, f_twice)
+        lower = (F.greatest(F.col(f"f{y}") - e, F.lit(0.0)) + F.lit(e * f_types) * F.col("s")) / f_total
+        own = (F.greatest(F.col(f"n{y}") - d, F.lit(0.0)) + d * F.col(f"types_n{y}") * lower) / F.col(f"total_n{y}")
+        log_p.append(F.log(F.when(F.col(f"total_n{y}") > 0, own).otherwise(lower)))
+    rows = scored.select("a", "b", (log_p[1] - log_p[0]).alias("ratio")).toPandas()
+    keys = pair_keys(*(rows[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b")))
     order = np.argsort(keys)
-    return keys[order], np.log(p[:, 1] / p[:, 0])[order]
+    return keys[order], rows["ratio"].to_numpy(float)[order]
 
 
 def features(docs: DataFrame, model: Model, name: str = "ratio") -> DataFrame:

@@ -1,7 +1,9 @@
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from ravelog.llm import hamming, line_dedup, queries, simhash_dedup
@@ -133,8 +135,16 @@ def test_line_dedup_edges(spark, odd_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def plain_fingerprint(text, shingle=4):
+    """By definition, one bit and one shingle at a time."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    parts = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    hashed = [xxhash.xxh64(p.encode(), seed=42).intdigest() for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
+
+
 def brute_components(rows, distance=4):
-    prints = [simhash_dedup.fingerprint(t) for _, t in rows]
+    prints = [plain_fingerprint(t) for _, t in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= distance]
     of = groups(len(rows), links)
     least = defaultdict(lambda: None)
@@ -169,6 +179,8 @@ def test_dense_fingerprints_match_brute_force(spark):
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame([(v, v) for v in signed], "id long, fp long")
     got = {r.node: r.root for r in hamming.near_groups(df, 4, 6, 2, 8).collect()}
+    assert got == {r.node: r.root for r in hamming.near_groups(df, 4, 8, 4, 0).collect()}  # neither keys nor pivots decide
+    assert [hamming.key_blocks(n, 4) for n in (1000, 1 << 23, 1 << 27, 1 << 33)] == [6, 6, 7, 8]
     links = [(i, j) for i in range(len(values)) for j in range(i) if bin(values[i] ^ values[j]).count("1") <= 4]
     of = groups(len(values), links)
     parts, found = defaultdict(set), defaultdict(set)
@@ -186,6 +198,13 @@ def test_every_group_keeps_a_document(spark):
     assert sorted((str(r.doc_id), r.text, r.n) for r in kept) == sorted((str(d), t, n) for d, t, n in [rows[1], rows[2], *rows[4:]])
 
 
+def test_survivors_of_any_column_type(spark):
+    rows = [(1, "a b c d e f", {"k": 2}, [b"x"], 1), (1, "a b c d e f", {"k": 1}, [b"x"], 2), (2, "a b c d e f", None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_doc map<string,int>, kept_row array<binary>, root int")
+    kept = simhash_dedup.drop_near_duplicates(docs).collect()
+    assert [(r.doc_id, r.kept_doc) for r in kept] == [(1, {"k": 1})]
+
+
 def test_similar_documents_match_brute_force(spark, odd_docs, no_docs):
     """The pipeline's stage: copies with words replaced, at shingle similarities on both sides of 0.8."""
     rng = np.random.default_rng(11)

@@ -300,7 +300,7 @@ def brute_model(rows, corpus):
         return smoothed(follows, None, b, every[b] / total)
 
     def sequence(a, b):
-        if not any((a, b) in pairs[c] for c in (0, 1)):
+        if pairs[0][a, b] + pairs[1][a, b] < 2:
             return 0.0
         p = [smoothed(pairs[c], (a,), (a, b), after(c, b)) for c in (0, 1)]
         return math.log(p[1] / p[0])
