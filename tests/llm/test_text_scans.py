@@ -202,6 +202,34 @@ def test_main_text():
     assert html_extract.main_text("<article><p>a < b and c</p><p>x &am", {}) == "a < b and c\n\nx &am"
 
 
+def test_labels_in_comments_and_teasers():
+    body = " ".join(f"word{i}" for i in range(120))
+    page = f"""<body><nav><a>Menu</a></nav><div class="story"><h1>Title of it</h1><p>{body}</p><ul><li>first point here</li><li>second point here</li></ul></div>
+    <div class="comments"><article class="comment-body"><p>a reader says things</p></article><article class="comment-body"><p>another one agrees</p></article></div></body>"""
+    want = f"Title of it\n\n{body}\n\nfirst point here\n\nsecond point here"
+    assert html_extract.main_text(page, {}) == want
+    teaser = page.replace("<nav>", '<article class="card"><p>short teaser text</p></article><nav>')
+    assert html_extract.main_text(teaser, {}).endswith(want)
+    listed = page.replace('<div class="story">', "<article>").replace("second point here</li></ul></div>", "second point here</li></ul></article>")
+    assert html_extract.main_text(listed, {}) == want
+
+
+def test_weights_decide(spark):
+    """Pages without their labels and without the fixed class words give what the labelled ones do, by learned weights alone."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_extract.fit_weights(pages)
+    assert weights[".ad"] <= -1 and weights["nav"] <= -1 and weights[html_extract.INSIDE] > 1 and weights["#word"] > 0 and weights["<p"] < 0
+    rows = [r.html for r in pages.collect() if r.html]
+    same = other = 0
+    for page in rows:
+        bare = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page)
+        want = html_extract.main_text(page, weights)
+        same += html_extract.main_text(bare, weights, listed=False) == want
+        other += html_extract.main_text(bare, {}, listed=False) != want
+    print(f"{same} of {len(rows)} pages as labelled; {other} differ without the weights")
+    assert same >= 0.9 * len(rows) and other >= 0.5 * len(rows)
+
+
 def test_best_region_is_the_maximum():
     import itertools
     import random
