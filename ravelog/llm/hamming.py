@@ -79,19 +79,28 @@ def near_groups(
     blocks: int,
     agree: int,
     n_pivots: int,
-    verify: Callable[[DataFrame], DataFrame] | None = None,
-    keyed: Column | None = None,
+    prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
+    keyed: bool = False,
+    ratio: float = 0.0,
+    limit: Callable[[Column, Column], Column] = lambda x, y: F.lit(1.0 * (1 << 40)),
 ) -> DataFrame:
     """Rows (node, root) for the nodes (id, fp), both long, that have a link.
 
-    A link is a pair that meets under a block key, lies within ``distance`` bits
-    and passes ``verify`` (edges (a, b) in, those confirmed out). ids are unique.
-    With ``agree <= blocks - distance`` no pair within the distance is missed. Pairs that
-    meet are discarded by the pivot tables first, and their bits are counted after.
-    ``keyed`` is an array of other keys under which nodes meet, instead of blocks.
+    A link is a pair that meets under a block key, lies within ``distance`` bits and is
+    confirmed, where ``prepare`` is given: it takes the ids that meet another one and gives
+    a function that takes edges (a, b) and adds lo and hi, bounds of a distance that obeys
+    the triangle inequality, and near, whether it is a link. ids are unique. With
+    ``agree <= blocks - distance`` no pair within the distance is missed. Pairs that meet
+    are discarded by the pivot tables first, and their bits are counted after.
+
+    With ``keyed`` the nodes bring an array ``keys`` under which they meet, instead of
+    blocks of fp, and a ``width``; pairs whose widths' ratio is under ``ratio`` are no links,
+    nor are those whose distances to their bucket's leader differ by more than
+    ``limit(width, other width)``.
     """
-    keyed = F.array(*block_keys(F.col("fp"), blocks, agree)) if keyed is None else keyed
-    keys = nodes.select(F.explode(keyed).alias("key"), "id", "fp")
+    if not keyed:
+        nodes = nodes.select("id", "fp", F.array(*block_keys(F.col("fp"), blocks, agree)).alias("keys"), F.lit(0).alias("width"))
+    keys = nodes.select(F.explode("keys").alias("key"), "id", "fp")
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.max("id").alias("tail"), F.min_by("fp", "id").alias("fp"), F.bit_xor("fp").alias("differ"))
     # Most buckets have one member, and most of the others two that happen to meet; neither goes further.
@@ -99,25 +108,45 @@ def near_groups(
     close = (F.col("n") == 2) & pivots_allow("x", "y", n_pivots, distance) & (F.bit_count("differ") <= distance)
     buckets = cut(two.where((F.col("n") > 2) | close).select("key", "n", "head", "tail", F.col("fp").alias("head_fp")))
     many = small_side(buckets.where("n > 2").select("key", "head", "head_fp"), F.lit(24))
-    rows = cut(with_pivot_table(keys.join(many, "key").select("key", "id", "fp", "head", "head_fp"), n_pivots, "fp", "x"))
+    rows = keys.join(many, "key").select("key", "id", "fp", "head", "head_fp")
+    rows = cut(with_pivot_table(rows, n_pivots, "fp", "x"))
 
     led = with_pivot_table(rows.where("id <> head"), n_pivots, "head_fp", "y").where(pivots_allow("x", "y", n_pivots, distance) & (apart("fp", "head_fp") <= distance))
-    edges = led.select(F.col("id").alias("a"), F.col("head").alias("b")).union(buckets.where("n = 2").select(F.col("tail").alias("a"), F.col("head").alias("b"))).distinct()
-    first = cut(connected(verify(edges) if verify else edges))
+    pairs = buckets.where("n = 2").select(F.col("tail").alias("a"), F.col("head").alias("b"))
+    edges = led.select(F.col("id").alias("a"), F.col("head").alias("b")).union(pairs).distinct()
+    confirm = None
+    if prepare:
+        confirm = prepare(rows.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct())
+        edges = cut(confirm(edges))
+    first = cut(connected(edges.where("near").select("a", "b") if prepare else edges))
 
     wide = rows.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("team", F.coalesce("root", "id")).drop("root")
     wide = wide.join(first.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left")
     table = [f"x{i}" for i in range(n_pivots)]
-    wide = cut(wide.select("key", "id", "fp", "team", F.coalesce("head_root", "head").alias("head_team"), *table))
+    wide = wide.select("key", "id", "fp", "team", F.coalesce("head_root", "head").alias("head_team"), "head", *table)
+    # Buckets of one team are closed; members of the others bring their keys, to meet each other once only.
+    still_open = cut(wide.where("team <> head_team").select("key").distinct())
+    wide = wide.join(small_side(still_open, F.lit(16)), "key")
+    wide = wide.join(nodes.select("id", "keys", "width"), "id")
+    if prepare:
+        to_head = edges.select(F.col("a").alias("id"), F.col("b").alias("head"), "lo", "hi")
+        wide = wide.join(to_head, ["id", "head"], "left")
+    else:
+        wide = wide.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
+    wide = cut(wide)
     outer = wide.where("team <> head_team")
-    others = wide.select(*(F.col(c).alias(f"o_{c}") for c in ("key", "id", "fp", "team")), *(F.col(c).alias(f"y{i}") for i, c in enumerate(table)))
+    others = wide.select(*(F.col(c).alias(f"o_{c}") for c in ("key", "id", "fp", "team", "keys", "width", "lo", "hi")), *(F.col(c).alias(f"y{i}") for i, c in enumerate(table)))
+    place = F.array_position(F.col("keys"), F.col("key")).cast("int") - 1
     met = (
         (F.col("key") == F.col("o_key"))
         & (F.col("team") != F.col("o_team"))
+        & (F.least("width", "o_width") >= ratio * F.greatest("width", "o_width"))
         & pivots_allow("x", "y", n_pivots, distance)
         & (apart("fp", "o_fp") <= distance)
+        & F.coalesce(F.greatest(F.col("lo") - F.col("o_hi"), F.col("o_lo") - F.col("hi")) <= limit(F.col("width"), F.col("o_width")), F.lit(True))
+        & ~F.arrays_overlap(F.slice("keys", F.lit(1), place), F.slice("o_keys", F.lit(1), place))
     )
     more = outer.join(others, met).select(F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")).distinct()
-    if verify:
-        more = verify(more)
+    if confirm:
+        more = confirm(more).where("near").select("a", "b")
     return connected(more.union(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))

@@ -9,7 +9,7 @@ words discards most chance meetings before texts are compared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +32,8 @@ CHUNK, TEXT_CHARS = 8000, 1 << 20
 FUZZY_WORDS, FUZZY_CHARS, GRAM = 5, 20, 3
 # A pair that shares a part s of its distinct words agrees in no block with chance (1 - s**SAMPLE) ** BLOCKS: 0.5 % at 0.8.
 BLOCKS, SAMPLE = 10, 4
-FACTORS = np.random.default_rng(42).integers(1 << 63, size=(BLOCKS, SAMPLE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-COMMON_WORD = np.uint64(1 << 63)
+FACTORS = np.random.default_rng(42).integers(1 << 31, size=(BLOCKS, SAMPLE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+COMMON_WORD = np.uint32(1 << 31)
 
 
 def normal_words(line: str) -> list[bytes]:
@@ -94,11 +94,15 @@ def sampled_blocks(h: np.ndarray, common: np.ndarray, first: np.ndarray) -> np.n
 
     Words of at most three bytes are sampled only where a line lacks longer ones.
     """
-    late, keys = np.where(common, COMMON_WORD, np.uint64(0)), np.empty((len(first), BLOCKS), np.uint64)
+    late, keys = np.where(common, COMMON_WORD, np.uint32(0)), np.empty((len(first), BLOCKS), np.uint64)
+    h = (h >> np.uint64(32)).astype(np.uint32)
     for block, factors in enumerate(FACTORS):
         key = np.full(len(first), np.uint64(block))
         for factor in factors:
-            key = key * STEP + np.minimum.reduceat((h * factor >> np.uint64(1)) | late, first)
+            value = h * factor
+            value >>= np.uint32(1)
+            value |= late
+            key = key * STEP + np.minimum.reduceat(value, first)
         keys[:, block] = mixed(key)
     return keys.view(np.int64)
 
@@ -147,13 +151,21 @@ def line_table(texts: list[str | None]) -> Lines:
         line, h, size = (np.concatenate(two) for two in ((line[rest], at[part]), (h[rest], part_h), (size[rest], part_size)))
         order = np.argsort(line, kind="stable")
         line, h, size = line[order], h[order], size[order]
+    # Copies of a line are looked at once.
+    _, some, copy = np.unique(ident, return_index=True, return_inverse=True)
+    kind = np.full(len(which), -1)
+    kind[some] = np.arange(len(some))
+    good = kind[line] >= 0
+    h, size, line = h[good], size[good], kind[line[good]]
+    order = np.argsort(line, kind="stable")
+    h, size, line = h[order], size[order], line[order]
     _, once = np.unique(mixed(h ^ (line.astype(np.uint64) * STEP)), return_index=True)
     once.sort()
     h, common, line = h[once], size[once] <= 3, line[once]
-    first = np.searchsorted(line, np.arange(len(which)))
-    prints = simhashes(h, np.where(common, 1, 2).astype(np.uint64), first, np.append(first[1:], len(h)))
+    first = np.searchsorted(line, np.arange(len(some)))
+    prints = simhashes(h, np.where(common, 1, 2).astype(np.uint64), first, np.append(first[1:], len(h)))[copy]
     number = which - (np.cumsum(n_lines) - n_lines)[text]
-    return Lines(text, number, ident, prints, own, chars, (own >= FUZZY_WORDS) | dense, sampled_blocks(h, common, first))
+    return Lines(text, number, ident, prints, own, chars, (own >= FUZZY_WORDS) | dense, sampled_blocks(h, common, first)[copy])
 
 
 def edit_similarity(a: str, b: str) -> float:
@@ -195,16 +207,28 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - score / longest
 
 
+def edit_bounds(a: str, b: str, similarity: float) -> tuple[float, float]:
+    """Bounds of the Levenshtein distance, equal unless they tell whether the similarity holds.
+
+    Word-by-word replacement often proves it, and lengths often rule it out, without the recurrence.
+    """
+    longest, x, y = max(len(a), len(b)), a.split(" "), b.split(" ")
+    most = (1 - similarity) * longest
+    if abs(len(a) - len(b)) > most + 1e-9:
+        return abs(len(a) - len(b)), longest
+    if len(x) == len(y) and (replaced := sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q)) <= most:
+        return 0, replaced
+    exact = round((1 - edit_similarity(a, b)) * longest)
+    return exact, exact
+
+
 def alike(a: str, b: str, similarity: float) -> bool:
-    """Is the edit similarity at least ``similarity``? Word-by-word replacement often proves it without the recurrence."""
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= (1 - similarity) * max(len(a), len(b)):
-        return True
-    return edit_similarity(a, b) >= similarity
+    """Is the edit similarity at least ``similarity``?"""
+    return 1 - edit_bounds(a, b, similarity)[1] / max(1, len(a), len(b)) >= similarity
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_id, line_no, line_id, fp, keys) for the lines with a word.
+    """Rows (doc_id, text_id, line_no, line_id, fp, chars, keys) for the lines with a word.
 
     Equal normalised lines share line_id (a 64-bit hash of their words in order). ``keys``
     holds the line's blocks; it is null for lines that are only compared exactly, and for
@@ -229,10 +253,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
         # A null's slot holds no values: its offset is the next one's.
         offsets = pa.array(np.append(0, np.cumsum(new * BLOCKS)).astype(np.int32), mask=np.append(~new, False))
         keys = pa.ListArray.from_arrays(offsets, pa.array(t.keys[new].ravel()))
-        columns = [b.column(0).take(pa.array(t.text)), b.column(1).take(pa.array(t.text)), pa.array(t.number.astype(np.int32)), pa.array(t.ident.view(np.int64)), pa.array(t.prints.view(np.int64)), keys]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "line_no", "line_id", "fp", "keys"])
+        columns = [b.column(0).take(pa.array(t.text)), b.column(1).take(pa.array(t.text)), pa.array(t.number.astype(np.int32)), pa.array(t.ident.view(np.int64)), pa.array(t.prints.view(np.int64)), pa.array(t.chars.astype(np.int32)), keys]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "line_no", "line_id", "fp", "chars", "keys"])
 
-    return named(docs).mapInArrow(run, "doc_id long, text_id long, line_no int, line_id long, fp long, keys array<long>")
+    return named(docs).mapInArrow(run, "doc_id long, text_id long, line_no int, line_id long, fp long, chars int, keys array<long>")
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -241,7 +265,7 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
 
 
-def repeated_lines(docs: DataFrame, similarity: float = 0.8, distance: int = 24) -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = 0.8, distance: int = 20) -> DataFrame:
     """Rows (doc_id, text_id, line_no): the line occurrences that repeat an earlier one.
 
     Equal normalised lines are one class first. Classes that agree in a block and whose
@@ -252,31 +276,24 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, distance: int = 24)
     """
     lines = written(lines_of(docs))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "text_id")
-    classes = written(lines.groupBy("line_id").agg(F.min(place).alias("at"), F.first("fp").alias("fp"), F.first("keys", ignorenulls=True).alias("keys"), F.count("*").alias("n")))
-
-    def confirmed(edges: DataFrame) -> DataFrame:
-        return similar(docs, classes, edges, similarity)
+    classes = written(lines.groupBy("line_id").agg(F.min(place).alias("at"), F.first("fp").alias("fp"), F.first("chars").alias("chars"), F.first("keys", ignorenulls=True).alias("keys"), F.count("*").alias("n")))
 
-    nodes = classes.where("keys is not null").select(F.col("line_id").alias("id"), "fp", "keys")
-    roots = near_groups(nodes, distance, 0, 0, 0, confirmed, F.col("keys"))
-    grouped = classes.drop("keys", "fp").join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("group", F.coalesce("root", "line_id"))
+    nodes = classes.where("keys is not null").select(F.col("line_id").alias("id"), "fp", "keys", F.col("chars").alias("width"))
+    roots = near_groups(nodes, distance, 0, 0, 0, lambda ids: similar(docs, classes, ids, similarity), keyed=True, ratio=similarity, limit=lambda x, y: (1 - similarity) * F.greatest(x, y) + 1e-6)
+    grouped = classes.drop("keys", "fp", "chars").join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("group", F.coalesce("root", "line_id"))
     first = grouped.groupBy("group").agg(F.min("at").alias("first"), F.sum("n").alias("size")).where("size > 1")
     many = grouped.join(first, "group").select("line_id", "first")
-    again = lines.drop("keys", "fp").join(many, "line_id").where(place != F.col("first"))
+    again = lines.drop("keys", "fp", "chars").join(many, "line_id").where(place != F.col("first"))
     return again.select("doc_id", "text_id", "line_no")
 
 
-def similar(docs: DataFrame, classes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) between line classes whose normalised texts are similar enough.
+def similar(docs: DataFrame, classes: DataFrame, ids: DataFrame, similarity: float) -> Callable[[DataFrame], DataFrame]:
+    """A function that bounds the edit distance of edges (a, b) between line classes and tells whether the texts are similar enough.
 
-    Texts are fetched for the classes named by an edge only, from the document of
-    each class's first occurrence.
+    Texts are fetched once, for the classes in ``ids`` only, from the document of each
+    class's first occurrence.
     """
-    edges = cut(edges)
-    if edges.isEmpty():
-        return edges
-    ends = edges.select(F.col("a").alias("line_id")).union(edges.select("b")).distinct()
-    wanted = classes.join(ends, "line_id").select("line_id", F.col("at.doc_id").alias("at_doc"), F.col("at.text_id").alias("at_text"), F.col("at.line_no").alias("at_line"))
+    wanted = classes.join(ids.withColumnRenamed("id", "line_id"), "line_id").select("line_id", F.col("at.doc_id").alias("at_doc"), F.col("at.text_id").alias("at_text"), F.col("at.line_no").alias("at_line"))
     by_doc = cut(wanted.groupBy("at_doc", "at_text").agg(F.collect_list(F.struct("at_line", "line_id")).alias("wanted")))  # bounded by one document's lines
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,16 +311,16 @@ def similar(docs: DataFrame, classes: DataFrame, edges: DataFrame, similarity: f
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int64()), pa.array([t for _, t in some], pa.string())], names=["line_id", "line"])
 
     joined = named(docs).join(small_side(by_doc, 48 + 32 * F.size("wanted")), F.col("text_id").eqNullSafe(F.col("at_text")) & F.col("doc_id").eqNullSafe(F.col("at_doc"))).select("text", "wanted")
-    texts = cut(joined.mapInArrow(pick, "line_id long, line string").dropDuplicates(["line_id"]))
+    texts = written(joined.mapInArrow(pick, "line_id long, line string").dropDuplicates(["line_id"]))
 
-    @F.pandas_udf("boolean")
-    def enough(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([alike(p, q, similarity) for p, q in zip(x, y, strict=True)], dtype=bool)
+    @F.pandas_udf("lo double, hi double, near boolean")
+    def measured(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        bounds = [edit_bounds(p, q, similarity) for p, q in zip(x, y, strict=True)]
+        near = [1 - hi / max(1, len(p), len(q)) >= similarity for (_, hi), p, q in zip(bounds, x, y, strict=True)]
+        return pd.DataFrame({"lo": [float(lo) for lo, _ in bounds], "hi": [float(hi) for _, hi in bounds], "near": near})
 
     x, y = texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), texts.select(F.col("line_id").alias("b"), F.col("line").alias("y"))
-    pairs = edges.join(x, "a").join(y, "b")
-    near = F.least(F.length("x"), F.length("y")) >= similarity * F.greatest(F.length("x"), F.length("y"))
-    return cut(pairs.where(near).where(enough("x", "y")).select("a", "b"))
+    return lambda edges: cut(cut(edges).join(x, "a").join(y, "b").select("a", "b", measured("x", "y").alias("m")).select("a", "b", "m.*"))
 
 
 def dedup_lines(docs: DataFrame, lines: str = "__lines", removed: str = "__removed", **parameters) -> DataFrame:

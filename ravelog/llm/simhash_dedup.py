@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -166,22 +166,18 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     marked = texts.mapInArrow(run, "doc_id long, text_id long, id long, n int, keys array<long>")
     nodes = written(marked.groupBy("id").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
-    @F.pandas_udf("boolean")
-    def enough(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([set_similarity(p, q) >= similarity for p, q in zip(x, y, strict=True)], dtype=bool)
-
-    def confirmed(edges: DataFrame) -> DataFrame:
-        size = nodes.select("id", "n")
-        sized = edges.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
-        # No sets of such sizes are similar enough otherwise; empty sets are one node.
-        edges = cut(sized.where(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity).select("a", "b"))
-        ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-        wanted = cut(nodes.join(ends, "id").select("id", F.col("at.doc_id").alias("at_doc"), F.col("at.text_id").alias("at_text")))
+    @F.pandas_udf("double")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([set_similarity(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    def confirmed(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        wanted = cut(nodes.join(ids, "id").select("id", F.col("at.doc_id").alias("at_doc"), F.col("at.text_id").alias("at_text")))
         found = texts.join(small_side(wanted), (F.col("text_id") == F.col("at_text")) & F.col("doc_id").eqNullSafe(F.col("at_doc")))
-        sets = cut(found.select("id", "text").mapInArrow(pack, "id long, own binary").dropDuplicates(["id"]))
-        pairs = edges.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        return cut(pairs.where(enough("x", "y")).select("a", "b"))
+        sets = written(found.select("id", "text").mapInArrow(pack, "id long, own binary").dropDuplicates(["id"]))
+        x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+        return lambda edges: cut(cut(edges).join(x, "a").join(y, "b").select("a", "b", alike("x", "y").alias("s")).select("a", "b", (1 - F.col("s")).alias("lo"), (1 - F.col("s")).alias("hi"), (F.col("s") >= similarity).alias("near")))
 
-    roots = near_groups(nodes.select("id", F.col("id").alias("fp"), "keys"), 64, 0, 0, 0, confirmed, F.col("keys"))
+    wide = nodes.select("id", F.col("id").alias("fp"), "keys", F.col("n").alias("width"))
+    roots = near_groups(wide, 64, 0, 0, 0, confirmed, keyed=True, ratio=similarity, limit=lambda x, y: F.lit(1 - similarity + 1e-9))
     of = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     return first_of_groups(docs, of.select("at.doc_id", "at.text_id", "root"))
