@@ -265,7 +265,7 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
 
 
-def repeated_lines(docs: DataFrame, similarity: float = 0.8, distance: int = 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = 0.8, distance: int = 16) -> DataFrame:
     """Rows (doc_id, text_id, line_no): the line occurrences that repeat an earlier one.
 
     Equal normalised lines are one class first. Classes that agree in a block and whose
