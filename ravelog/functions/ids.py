@@ -80,3 +80,9 @@ def month_days(month: Column) -> Column:
 def first_instant(*fields: Column) -> Column:
     """First of a record's time fields that parses."""
     return F.coalesce(*(instant(f) for f in fields))
+
+
+def metadata_score(cwd: Column, agent: Column, wanted_cwd: Column, wanted_agent: Column) -> Column:
+    """1.5 for a record's directory and 1 for its agent, where they are asked for and the same."""
+    same = lambda asked, own: F.coalesce((asked != "") & (asked == own), F.lit(False))
+    return F.when(same(wanted_cwd, cwd), 1.5).otherwise(0.0) + F.when(same(wanted_agent, agent), 1.0).otherwise(0.0)

@@ -13,6 +13,9 @@ TOOL_ECHO = r"(?i)^\[(tool_output|tool_result)\]\s*(\[|Script completed|Chunk ID
 HEARTBEAT = "<heartbeat>"
 # CJK range and the token classes of the retrieval index.
 CJK = r"[一-鿿]"
+WIDE_CJK = r"[\u3400-\u9FFF]"
+# Marks of injected text, in any of the first 200 characters of what a user says.
+INJECTED_MARKS = ("<environment_context", "<app-context", "# agents.md instructions", "<collaboration_mode", "<heartbeat", "<system-reminder", "[tool_output]", "[tool_result]")
 SEGMENT = r"[A-Za-z0-9_./:-]+|[一-鿿]+"
 SPACE = r"(?U)\s+"
 # Words by which a clause claims a state.
@@ -69,13 +72,13 @@ def useful(text: Column) -> Column:
 
 
 def intent(text: Column, limit: int = 200) -> Column:
-    """Squeezed user intent, '' for noise and for texts too short to mean something."""
+    """Squeezed user intent, '' for injected text and for texts too short to mean something."""
     t = squeeze(text)
-    low, head = F.lower(t), F.lower(F.substring(t, 1, limit))
-    noise = head.contains(HEARTBEAT) | t.rlike(TOOL_ECHO)
-    for p in NOISE_PREFIXES:
-        noise = noise | low.startswith(p)
-    enough = (F.char_length(t) >= 3) | (F.regexp_count(t, F.lit(CJK)) >= 2)
+    head = F.lower(F.substring(t, 1, limit))
+    noise = F.lit(False)
+    for mark in INJECTED_MARKS:
+        noise = noise | head.contains(mark)
+    enough = (F.char_length(t) >= 3) | (F.regexp_count(t, F.lit(WIDE_CJK)) >= 2)
     return F.when(enough & ~noise, F.substring(t, 1, limit)).otherwise("")
 
 

@@ -18,7 +18,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_rounds: int = 200) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Rows (hub_id, start, node): every node that each start (hub_id, start) reaches by one edge or more.
 
     Frontier joins; each round looks only at pairs that are new, and the pairs seen
@@ -26,20 +26,18 @@ def reach(edges: DataFrame, starts: DataFrame, max_rounds: int = 200) -> DataFra
     """
     step = cut(edges.select("hub_id", F.col("src").alias("at"), F.col("dst").alias("node")).distinct())
     seen = frontier = cut(starts.select("hub_id", "start", F.col("start").alias("at")).join(step, ["hub_id", "at"]).select("hub_id", "start", "node").distinct())
-    for _ in range(max_rounds):
-        if frontier.isEmpty():
-            break
+    while not frontier.isEmpty():
         found = frontier.withColumnRenamed("node", "at").join(step, ["hub_id", "at"]).select("hub_id", "start", "node").distinct()
         frontier = cut(found.join(seen, ["hub_id", "start", "node"], "left_anti"))
         seen = cut(seen.union(frontier))
     return seen
 
 
-def trimmed(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def trimmed(edges: DataFrame) -> DataFrame:
     """Edges that may lie on a cycle: ends without a way in or out are dropped until none is left."""
     left = cut(edges.select(*EDGE).where("src is not null and dst is not null").distinct())
     size = left.count()
-    for _ in range(max_rounds):
+    while True:  # until nothing is dropped
         outs, ins = left.select("hub_id", F.col("src").alias("n")).distinct(), left.select("hub_id", F.col("dst").alias("n")).distinct()
         both = cut(outs.intersect(ins))
         kept = left.join(both.withColumnRenamed("n", "src"), ["hub_id", "src"], "left_semi").join(both.withColumnRenamed("n", "dst"), ["hub_id", "dst"], "left_semi")

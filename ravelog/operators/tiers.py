@@ -137,3 +137,29 @@ def archivable(months: DataFrame, today: F.Column, grace_days: int = 7) -> DataF
 def unchanged(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Groups whose fingerprint did not change between packing and deletion; only these may be dropped."""
     return before.join(after.select(*keys, F.col("fingerprint").alias("__now")), keys).where("fingerprint = __now").select(*keys)
+
+
+# Remarks on archives that were checked, or could not be.
+ARCHIVE_FLAGS = {"ok": "", "not_checked": "", "unverified": " (unverified)", "no_index": " (no index)", "corrupt": " (CORRUPT — quarantined)"}
+
+
+def archived_months(archives: DataFrame, limit: int = 12) -> DataFrame:
+    """The newest ``limit`` archives of each hub (hub_id, month, days, status) with a remark and their file. The limit is the feature."""
+    newest = Window.partitionBy("hub_id").orderBy(F.desc("month"))
+    remark = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in ARCHIVE_FLAGS.items() for x in pair)), F.col("status")), F.lit(" ?"))
+    ref = F.concat(F.lit("archive/"), F.substring("month", 1, 4), F.lit("/"), F.col("month"), F.lit(".tar.gz"))
+    return archives.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= limit).select("hub_id", "month", "days", "status", remark.alias("flag"), ref.alias("ref"))
+
+
+def month_status(hot: DataFrame, eligible: DataFrame, pending: DataFrame, archives: DataFrame, today: Column) -> DataFrame:
+    """One row per month of either tier: where it is, why it is still recent, and its days that wait for a report.
+
+    hot and pending have hub_id and day; eligible and archives have hub_id and month.
+    """
+    month = F.date_format("day", "yyyy-MM")
+    recent = hot.groupBy("hub_id", month.alias("month")).agg(F.count_distinct("day").alias("days"))
+    open_days = pending.groupBy("hub_id", month.alias("month")).agg(F.array_join(F.array_sort(F.collect_set(F.col("day").cast("string"))), ",").alias("pending"))  # at most 31
+    rows = recent.join(archives.select("hub_id", "month", F.lit(True).alias("archived")), ["hub_id", "month"], "full").join(open_days, ["hub_id", "month"], "left")
+    rows = rows.join(eligible.select("hub_id", "month").distinct().withColumn("__may", F.lit(True)), ["hub_id", "month"], "left")
+    reason = F.when(F.col("days").isNull(), "archived").when(F.col("month") == F.date_format(today, "yyyy-MM"), "current").when(F.col("__may"), "eligible").otherwise("grace window")
+    return rows.select("hub_id", "month", F.coalesce("days", F.lit(0)).alias("days"), F.coalesce("archived", F.lit(False)).alias("archived"), reason.alias("reason"), F.coalesce("pending", F.lit("")).alias("pending"))

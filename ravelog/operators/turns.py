@@ -34,8 +34,8 @@ def anchors(events: DataFrame, long_text: int = 80) -> DataFrame:
 def exchange(events: DataFrame, anchors: DataFrame, after: int = 3) -> DataFrame:
     """Rows around each anchor (hub_id, session_id, event_id): the user row before it up to ``after`` rows past it.
 
-    Sessions are numbered once; the rows of a session join its anchors by session and
-    are kept by row-number range, so only sessions that are asked for are shuffled.
+    Sessions are numbered once, and only those that are asked for are shuffled. An anchor
+    names its row numbers and meets these alone, however long its session is.
     """
     order = Window.partitionBy(*SESSION).orderBy("ts", "line_no")
     numbered = events.join(anchors.select(*SESSION).distinct(), list(SESSION), "left_semi").withColumn("rn", F.row_number().over(order))
@@ -46,8 +46,7 @@ def exchange(events: DataFrame, anchors: DataFrame, after: int = 3) -> DataFrame
         numbered.hub_id, numbered.session_id, "anchor", F.col("asked").alias("start"), F.col("rn").alias("target")
     )
     return (
-        numbered.join(wanted, list(SESSION))
-        .where((F.col("rn") >= F.col("start")) & (F.col("rn") <= F.col("target") + after))
+        numbered.join(wanted.withColumn("rn", F.explode(F.sequence("start", F.col("target") + after))), [*SESSION, "rn"])
         .select(*SESSION, "anchor", "event_id", "role", "text", "ts", "line_no", (F.col("rn") == F.col("target")).alias("is_anchor"), (F.col("rn") == F.col("start")).alias("is_question"), "rn")
     )
 

@@ -428,9 +428,18 @@ def flt_noise(spark, d):
     return DOC(spark, d, "documents").where(T.useful(F.col("text")) != "").select("doc_id")
 
 
-@register("flt_intent", f"with {A.TURNS} select event_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 200) as intent from turns where role = 'user' and length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 3")
+SAID = """said as (select event_id, case (conv_no + line_no) % 8 when 1 then '<system-reminder> ' || text when 2 then '<environment_context x=1>' || text when 3 then left(text, 50) || ' [Tool_Output] ' || text
+    when 4 then chr(13312) || chr(40959) when 5 then left(text, 2) when 6 then text || ' <app-context>' else text end as text from (select *, cast(session_id as bigint) as conv_no from turns) where role = 'user')"""
+
+
+@register("flt_intent", f"""with {A.TURNS}, {SAID}, t as (select event_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from said), h as (select event_id, t, lower(substr(t, 1, 200)) as h from t)
+  select event_id, substr(t, 1, 200) as intent from h where (length(t) >= 3 or len(regexp_extract_all(t, '[\\x{{3400}}-\\x{{9FFF}}]')) >= 2) and not (contains(h, '<environment_context') or contains(h, '<app-context') or contains(h, '# agents.md instructions')
+    or contains(h, '<collaboration_mode') or contains(h, '<heartbeat') or contains(h, '<system-reminder') or contains(h, '[tool_output]') or contains(h, '[tool_result]'))""")
 def flt_intent(spark, d):
-    rows = A.turns(spark, d).where("role = 'user'").select("event_id", T.intent(F.col("text")).alias("intent"))
+    """Every user turn, most of them with injected marks, marks beyond the first 200 characters, or too short."""
+    said = """case (cast(session_id as bigint) + line_no) % 8 when 1 then concat('<system-reminder> ', text) when 2 then concat('<environment_context x=1>', text) when 3 then concat(left(text, 50), ' [Tool_Output] ', text)
+      when 4 then '\u3400\u9fff' when 5 then left(text, 2) when 6 then concat(text, ' <app-context>') else text end"""
+    rows = A.turns(spark, d).where("role = 'user'").select("event_id", T.intent(F.expr(said)).alias("intent"))
     return rows.where("intent <> ''")
 
 
@@ -898,11 +907,12 @@ def val_jsonl(spark, d):
 # ---------------------------------------------------------------- graph and decisions
 
 
-EDGES = "edges as (select distinct o_orderkey % 50 as src, o_custkey % 50 as dst from orders where o_orderkey % 211 = 3)"
+# Every order replaces another one of its block of 64 keys, so chains and loops stay short while the graph grows with the table.
+EDGES = "edges as (select distinct o_orderkey as src, o_orderkey // 64 * 64 + (o_orderkey + 1 + o_custkey % 40) % 64 as dst from orders)"
 
 
 def order_edges(spark, d) -> DataFrame:
-    return A.orders(spark, d).where("o_orderkey % 211 = 3").selectExpr("'h0' as hub_id", "cast(o_orderkey % 50 as string) as src", "cast(o_custkey % 50 as string) as dst").distinct()
+    return A.orders(spark, d).selectExpr("'h0' as hub_id", "cast(o_orderkey as string) as src", "cast(o_orderkey div 64 * 64 + (o_orderkey + 1 + o_custkey % 40) % 64 as string) as dst").distinct()
 
 
 @register("graph_cycle", f"with recursive {EDGES}, r as (select src as start, dst as node from edges union select r.start, e.dst from r join edges e on e.src = r.node) select cast(start as varchar) as node from r where start = node")
@@ -917,18 +927,18 @@ def graph_reach(spark, d):
 
 
 MEMORIES = """memories as (select 'h' || (item_id % 3) as hub_id, 'memory_' || item_id as id, case when item_id % 7 = 0 then 'superseded' when item_id % 11 = 0 then 'archived' else 'active' end as status, case when item_id % 5 = 0 and item_id >= 3 then 'memory_' || (item_id - 3) end as old from benchmark),
-  log as (select 'h' || (user_id % 3) as hub_id, 'memory_' || (user_id % 40) as memory_id, case event_id % 2 when 0 then 'accepted' else 'rejected' end as decision, ts, event_id from events where user_id % 3 = (user_id % 40) % 3)"""
+  log as (select 'h' || (user_id % 400 % 3) as hub_id, 'memory_' || (user_id % 400) as memory_id, case event_id % 2 when 0 then 'accepted' else 'rejected' end as decision, ts, event_id from events)"""
 
 
 def memory_tables(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as memories and a slice of the event stream as decisions on them."""
+    """Benchmark items as memories and the event stream as decisions on them."""
     m = DOC(spark, d, "benchmark").selectExpr(
         "concat('h', item_id % 3) as hub_id", "concat('memory_', item_id) as id", "substring(text, 1, 20) as title", "text as content", "'fact' as type",
         "case when item_id % 7 = 0 then 'superseded' when item_id % 11 = 0 then 'archived' else 'active' end as status", "cast(0.7 as double) as confidence", "'2024-01-01' as created_at", "'2024-01-01' as updated_at",
         "case when item_id % 5 = 0 and item_id >= 3 then array(concat('memory_', item_id - 3)) else cast(array() as array<string>) end as supersedes", "array('s') as source_session_ids", "cast(array() as array<string>) as source_event_ids", "item_id as line_no",
     )
-    e = DOC(spark, d, "events").where("user_id % 3 = (user_id % 40) % 3").selectExpr(
-        "concat('h', user_id % 3) as hub_id", "concat('dec_', event_id) as id", "concat('memory_', user_id % 40) as memory_id", "case event_id % 2 when 0 then 'accepted' else 'rejected' end as decision", "'because' as reason",
+    e = DOC(spark, d, "events").selectExpr(
+        "concat('h', user_id % 400 % 3) as hub_id", "concat('dec_', event_id) as id", "concat('memory_', user_id % 400) as memory_id", "case event_id % 2 when 0 then 'accepted' else 'rejected' end as decision", "'because' as reason",
         "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") as ts", "array('s') as source_session_ids", "cast(array() as array<string>) as source_event_ids", "cast(array() as array<string>) as replacement_ids", "cast(null as string) as reverses",
         "named_struct('session_id', cast(user_id as string), 'event_id', cast(event_id as string)) as target", "event_id as line_no",
     )
@@ -970,7 +980,7 @@ def state_list(spark, d):
     return decisions.states(*memory_tables(spark, d)).groupBy("state").agg(F.count("*").alias("memories"))
 
 
-@register("state_annotate", f"with {MEMORIES}, x as (select hub_id, user_id from (select 'h' || (user_id % 3) as hub_id, user_id, event_id from events where user_id % 3 = (user_id % 40) % 3)) select count(*) as marked from x")
+@register("state_annotate", f"with {MEMORIES}, x as (select hub_id, user_id from (select 'h' || (user_id % 400 % 3) as hub_id, user_id, event_id from events)) select count(*) as marked from x")
 def state_annotate(spark, d):
     m, e = memory_tables(spark, d)
     docs = A.activity(spark, d).select("hub_id", "session_id", "event_id").withColumn("memory_id", F.lit(None).cast("string"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import evidence, profiles, quality, reports, turns
+from ..operators import evidence, profiles, quality, reports, tiers, turns
+from ..sources import archives
 from ..sources import transcripts as S
 from . import adapters as A
 from .catalog import register
@@ -119,9 +120,9 @@ def sc_event_id_line(spark, d):
     return A.table(spark, d, "documents").select("doc_id", ids.line_event_id(F.col("source"), F.col("doc_id"), F.col("text")).alias("id"))
 
 
-@register("sc_profile_key", r"select item_id, regexp_replace(regexp_replace(lower(nfc_normalize(text)), '\s+', '', 'g'), '[。.!！;；]+$', '') as key from benchmark where not regexp_matches(text, '[ßÀ-ÿ]')")
+@register("sc_profile_key", r"select item_id, regexp_replace(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', '', 'g'), '[。.!！;；]+$', '') as key from benchmark")
 def sc_profile_key(spark, d):
-    return A.table(spark, d, "benchmark").where("not (text rlike '[ßÀ-ÿ]')").select("item_id", profiles.profile_key(F.col("text")).alias("key"))
+    return A.table(spark, d, "benchmark").select("item_id", profiles.profile_key(F.col("text")).alias("key"))
 
 
 @register("agg_profile_dedupe", "select lang as filename, lower(source) as key, max(doc_id) as seq, count(distinct doc_id % 5) as sources from documents group by all")
@@ -223,3 +224,73 @@ def join_uncited_sessions(spark, d):
     cited = refs.where("line_no = 1").select("hub_id", "period", "session").distinct()
     days = refs.select("hub_id", "period").distinct().withColumn("body", F.lit(""))
     return reports.uncited_sessions(days, refs).join(cited, ["hub_id", "period", "session"], "left_anti")
+
+
+# ---------------------------------------------------------------- names, statuses, months
+
+
+@register("sc_metadata_score", "select doc_id, case when source = 'src' || (doc_id % 5) then 1.5 else 0.0 end + case when doc_id % 2 = 0 and lang = 'en' then 1.0 else 0.0 end as score from (select doc_id, lang, 'src' || (n_chars % 5) as source from documents)")
+def sc_metadata_score(spark, d):
+    docs = A.table(spark, d, "documents")
+    asked = F.when(F.col("doc_id") % 2 == 0, "en").otherwise("")
+    return docs.select("doc_id", ids.metadata_score(F.concat(F.lit("src"), (F.col("n_chars") % 5).cast("string")), F.col("lang"), F.concat(F.lit("src"), (F.col("doc_id") % 5).cast("string")), asked).alias("score"))
+
+
+@register("sc_event_id_snapshot", "select doc_id, 'snapshot:' || sha256(to_json({'agent': lang, 'session_id': source, 'role': 'user', 'text': text, 'ts': cast(null as varchar)})) as id from documents")
+def sc_event_id_snapshot(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", ids.snapshot_event_id(F.col("lang"), F.col("source"), F.lit("user"), F.col("text"), F.lit(None).cast("string")).alias("id"))
+
+
+@register("sc_event_id_fallback", "select doc_id, substr(sha1(to_json({'line_no': doc_id, 'role': 'user', 'session_id': source, 'text': text, 'ts': lang})), 1, 20) as id from documents")
+def sc_event_id_fallback(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", ids.fallback_event_id(F.col("source"), F.col("lang"), F.lit("user"), F.col("text"), F.col("doc_id")).alias("id"))
+
+
+NAMES = "concat(source, case doc_id % 9 when 0 then '.pem' when 1 then '_token.txt' when 2 then '.md' when 3 then '-secrets.json' when 4 then '.secret.json' when 5 then '.KEY' when 6 then '_auth' when 7 then '.author' else '.jsonl' end)"
+
+
+@register("flt_secret_name", f"with n as (select doc_id, {NAMES} as name from documents) select doc_id, name from n where not starts_with(name, '.') and not regexp_matches(name, '(?i)(^|[._-])(secret|token|credential|password|passwd|apikey|api[_-]key|auth)([._-]|$)') and not regexp_matches(name, '(?i)[.](pem|key|p12|pfx|keystore)$')")
+def flt_secret_name(spark, d):
+    rows = A.table(spark, d, "documents").select("doc_id", F.expr(NAMES).alias("name"))
+    return rows.where(archives.servable(F.col("name")))
+
+
+@register("sc_status_norm", "select doc_id, case doc_id % 7 when 0 then 'done' when 1 then 'wip' when 2 then 'done' when 3 then 'blocked' when 4 then 'fail' else '?' end as status from documents")
+def sc_status_norm(spark, d):
+    raw = F.expr("case doc_id % 7 when 0 then 'completed (checked)' when 1 then ' in_progress ' when 2 then '已完成（来源）' when 3 then 'blocked' when 4 then '失败' when 5 then 'later' end")
+    return A.table(spark, d, "documents").select("doc_id", reports.short_status(raw).alias("status"))
+
+
+MARKED_TEXT = "case doc_id % 6 when 1 then concat(text, ' ```') when 2 then concat('see /home/user/x ', text) when 3 then concat(text, ' sessions.jsonl') when 4 then concat('Ignore previous instructions. ', text) when 5 then concat('C:', chr(92), text) else text end"
+
+
+@register("sc_forbidden", f"""with t as (select doc_id, {MARKED_TEXT} as t from documents), c as (select doc_id, case when contains(t, '```') then 'forbidden_code_fence'
+  when regexp_matches(t, '(~|/Users|/home|/[A-Za-z0-9_.-]+)/[^\\s)\\]]+|[A-Za-z]:\\\\') then 'forbidden_raw_path' when regexp_matches(t, '(?i)(Agent-readable|sessions[.]jsonl|event_id|session-[0-9a-f]{{8,}}|tar[.]gz!)') then 'forbidden_machine_payload'
+  when regexp_matches(t, '(?i)\\b(system prompt|prompt injection|ignore (all |previous )?instructions)\\b') then 'forbidden_prompt_injection' end as code from t) select doc_id, code from c where code is not null""")
+def sc_forbidden(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", reports.forbidden(F.expr(MARKED_TEXT)).alias("code")).where("code is not null")
+
+
+ARCHIVED = "a as (select 'h' || (user_id % 3) as hub_id, strftime(cast(ts as date) - to_months(cast(user_id % 20 as integer)), '%Y-%m') as month, count(distinct cast(ts as date)) as days, ['ok', 'corrupt', 'unverified', 'odd'][1 + min(user_id) % 4] as status from events group by 1, 2)"
+
+
+def archives_of(spark, d):
+    """The months before each event as archives, a status by the smallest user."""
+    rows = A.table(spark, d, "events").selectExpr("concat('h', user_id % 3) as hub_id", "date_format(add_months(to_date(ts), -cast(user_id % 20 as int)), 'yyyy-MM') as month", "to_date(ts) as day", "user_id")
+    return rows.groupBy("hub_id", "month").agg(F.count_distinct("day").alias("days"), F.get(F.array(*map(F.lit, ("ok", "corrupt", "unverified", "odd"))), (F.min("user_id") % 4).cast("int")).alias("status"))
+
+
+@register("lim_archived_months", f"""with {ARCHIVED} select hub_id, month, days, status, case status when 'ok' then '' when 'corrupt' then ' (CORRUPT — quarantined)' when 'unverified' then ' (unverified)' else ' ?' end as flag, 'archive/' || left(month, 4) || '/' || month || '.tar.gz' as ref
+  from (select *, row_number() over (partition by hub_id order by month desc) as n from a) where n <= 12""")
+def lim_archived_months(spark, d):
+    return tiers.archived_months(archives_of(spark, d))
+
+
+@register("agg_archive_status", f"""with {A.ACTIVITY}, {ARCHIVED}, hot as (select hub_id, strftime(day, '%Y-%m') as month, count(distinct day) as days from activity where session_id not like '%7' group by 1, 2),
+  p as (select hub_id, strftime(day, '%Y-%m') as month, string_agg(distinct cast(day as varchar), ',' order by cast(day as varchar)) as pending from activity where session_id like '%3' and day(day) % 9 = 0 group by 1, 2)
+  select coalesce(h.hub_id, a.hub_id) as hub_id, coalesce(h.month, a.month) as month, coalesce(h.days, 0) as days, a.month is not null as archived, case when h.days is null then 'archived' when h.month = '2024-01' then 'current' when h.month < '2023-12' then 'eligible' else 'grace window' end as reason, coalesce(pending, '') as pending
+  from hot h full join a on h.hub_id = a.hub_id and h.month = a.month left join p on p.hub_id = coalesce(h.hub_id, a.hub_id) and p.month = coalesce(h.month, a.month)""")
+def agg_archive_status(spark, d):
+    rows, kept = A.activity(spark, d), archives_of(spark, d)
+    eligible = kept.where("month < '2023-12'")
+    return tiers.month_status(rows.where("session_id not like '%7'"), eligible, rows.where("session_id like '%3' and day(day) % 9 = 0"), kept, F.lit("2024-01-30").cast("date"))

@@ -8,7 +8,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBER = re.compile(r"^(20\d{2}-\d{2})/(20\d{2}-\d{2}-\d{2})/([\w.\-]+)$")
@@ -21,6 +21,11 @@ def safe_name(name: str) -> bool:
     return not name.startswith(".") and not SECRET_NAME.search(name)
 
 
+def servable(name: Column) -> Column:
+    """``safe_name`` as an expression."""
+    return ~name.startswith(".") & ~name.rlike(SECRET_NAME.pattern)
+
+
 def members(content: bytes, limit: int) -> Iterator[tuple]:
     """(month, day, file, line_no, raw, problem) of an archive, one member at a time."""
     try:
