@@ -907,12 +907,12 @@ def val_jsonl(spark, d):
 # ---------------------------------------------------------------- graph and decisions
 
 
-# Every order replaces another one of its block of 64 keys, so chains and loops stay short while the graph grows with the table.
-EDGES = "edges as (select distinct o_orderkey as src, o_orderkey // 64 * 64 + (o_orderkey + 1 + o_custkey % 40) % 64 as dst from orders)"
+# Every order replaces another one of its block of 16 keys, so chains and loops stay short while the graph grows with the table.
+EDGES = "edges as (select distinct o_orderkey as src, o_orderkey // 16 * 16 + (o_orderkey + 1 + o_custkey % 12) % 16 as dst from orders)"
 
 
 def order_edges(spark, d) -> DataFrame:
-    return A.orders(spark, d).selectExpr("'h0' as hub_id", "cast(o_orderkey as string) as src", "cast(o_orderkey div 64 * 64 + (o_orderkey + 1 + o_custkey % 40) % 64 as string) as dst").distinct()
+    return A.orders(spark, d).selectExpr("'h0' as hub_id", "cast(o_orderkey as string) as src", "cast(o_orderkey div 16 * 16 + (o_orderkey + 1 + o_custkey % 12) % 16 as string) as dst").distinct()
 
 
 @register("graph_cycle", f"with recursive {EDGES}, r as (select src as start, dst as node from edges union select r.start, e.dst from r join edges e on e.src = r.node) select cast(start as varchar) as node from r where start = node")
