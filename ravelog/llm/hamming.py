@@ -102,19 +102,24 @@ def near_groups(
         nodes = nodes.select("id", "fp", F.array(*block_keys(F.col("fp"), blocks, agree)).alias("keys"), F.lit(0).alias("width"))
     keys = nodes.select(F.explode("keys").alias("key"), "id", "fp")
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    # Each bucket draws its own leader, so a node that one leader is too far from meets others elsewhere.
-    drawn = F.xxhash64("key", "id")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.min_by("id", drawn).alias("head"), F.min_by("fp", drawn).alias("fp"), F.bit_xor("fp").alias("differ"))
+    # Each bucket draws its own leader, the smallest id under a mask of its own, so a node that one leader is too far from
+    # meets others elsewhere. With two members, sums of bits give the second one.
+    drawn = F.col("id").bitwiseXOR(F.col("key"))
+    found = [F.count("*").alias("n"), F.min(drawn).alias("drawn"), F.bit_xor("id").alias("both"), F.bit_xor("fp").alias("differ")]
+    buckets = keys.groupBy("key").agg(*found, *([F.min_by("fp", drawn).alias("head_fp")] if n_pivots else []))
     # Most buckets have one member, and most of the others two that happen to meet; neither goes further.
-    two = with_pivot_table(with_pivot_table(buckets, n_pivots, "fp", "x"), n_pivots, F.col("fp").bitwiseXOR(F.col("differ")), "y")
-    close = (F.col("n") == 2) & pivots_allow("x", "y", n_pivots, distance) & (F.bit_count("differ") <= distance)
-    buckets = cut(two.where((F.col("n") > 2) | close).select("key", "n", "head", "least", "most", F.col("fp").alias("head_fp")))
-    many = small_side(buckets.where("n > 2").select("key", "head", "head_fp"), F.lit(24))
-    rows = keys.join(many, "key").select("key", "id", "fp", "head", "head_fp")
-    rows = cut(with_pivot_table(rows, n_pivots, "fp", "x"))
-
-    led = with_pivot_table(rows.where("id <> head"), n_pivots, "head_fp", "y").where(pivots_allow("x", "y", n_pivots, distance) & (apart("fp", "head_fp") <= distance))
-    pairs = buckets.where("n = 2").select(F.col("most").alias("a"), F.col("least").alias("b"))
+    close = (F.col("n") == 2) & (F.bit_count("differ") <= distance)
+    if n_pivots:
+        buckets = with_pivot_table(with_pivot_table(buckets, n_pivots, "head_fp", "x"), n_pivots, F.col("head_fp").bitwiseXOR(F.col("differ")), "y")
+        close = close & pivots_allow("x", "y", n_pivots, distance)
+    head = F.col("drawn").bitwiseXOR(F.col("key"))
+    buckets = cut(buckets.where((F.col("n") > 2) | close).select("key", "n", head.alias("head"), F.col("both").bitwiseXOR(head).alias("other")))
+    many = small_side(buckets.where("n > 2").select("key", "head"), F.lit(16))
+    rows = cut(with_pivot_table(keys.join(many, "key").select("key", "id", "fp", "head"), n_pivots, "fp", "x"))
+
+    heads = rows.where("id = head").select("key", F.col("fp").alias("head_fp"))
+    led = with_pivot_table(rows.where("id <> head").join(heads, "key"), n_pivots, "head_fp", "y").where(pivots_allow("x", "y", n_pivots, distance) & (apart("fp", "head_fp") <= distance))
+    pairs = buckets.where("n = 2").select(F.greatest("head", "other").alias("a"), F.least("head", "other").alias("b"))
     edges = led.select(F.col("id").alias("a"), F.col("head").alias("b")).union(pairs).distinct()
     confirm = None
     if prepare:

@@ -30,8 +30,8 @@ SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder
 CHUNK, TEXT_CHARS = 8000, 1 << 20
 # Lines of so many words, or so many code points (Chinese or Thai lines have few spaces), are compared with similar ones.
 FUZZY_WORDS, FUZZY_CHARS, GRAM = 5, 20, 3
-# A pair that shares a part s of its distinct words agrees in no block with chance (1 - s**SAMPLE) ** BLOCKS: 0.5 % at 0.8.
-BLOCKS, SAMPLE = 10, 4
+# A pair that shares a part s of its distinct words agrees in no block with chance (1 - s**SAMPLE) ** BLOCKS: 1.5 % at 0.8.
+BLOCKS, SAMPLE = 8, 4
 FACTORS = np.random.default_rng(42).integers(1 << 31, size=(BLOCKS, SAMPLE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 COMMON_WORD = np.uint32(1 << 31)
 
