@@ -4,14 +4,16 @@ Blocks of a 64-bit fingerprint: two fingerprints with at most ``distance``
 differing bits agree on at least ``blocks - distance`` whole blocks, so every
 such pair meets under one of the C(blocks, agree) keys (pigeonhole principle).
 
-Two rounds find the connected groups:
+Three rounds find the connected groups:
 
 1. each member of a bucket is compared with the bucket's leader only, which
    joins dense groups of near copies with as many rows as members;
-2. members that are not in their leader's group yet are compared with the rest
-   of their bucket. Pairs inside one group are never formed, so a group of
-   thousands of near copies costs no quadratic output, and no link between two
-   groups is lost.
+2. where a comparison costs a look at the texts, members that are not in their
+   leader's group yet are compared with ``LEADERS`` further members of their
+   bucket, which joins most groups of which one leader saw only a part;
+3. members that are still apart are compared with the rest of their bucket.
+   Pairs inside one group are never formed, so a group of thousands of near
+   copies costs no quadratic output, and no link between two groups is lost.
 """
 
 from __future__ import annotations
@@ -73,6 +75,16 @@ def key_blocks(n: int, distance: int) -> int:
     return blocks
 
 
+LEADERS = 8
+
+
+def more_leaders(rows: DataFrame) -> DataFrame:
+    """Rows (key, id): up to ``LEADERS`` members of each bucket, each the smallest id under a mask of the bucket's own."""
+    masks = [F.xxhash64("key", F.lit(i)) for i in range(LEADERS)]
+    drawn = rows.groupBy("key").agg(*(F.min(F.col("id").bitwiseXOR(m)).alias(f"drawn{i}") for i, m in enumerate(masks)))
+    return drawn.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"drawn{i}").bitwiseXOR(m) for i, m in enumerate(masks))))).alias("id"))
+
+
 def near_groups(
     nodes: DataFrame,
     distance: int,
@@ -141,19 +153,33 @@ def near_groups(
     else:
         wide = wide.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
     wide = cut(wide)
-    outer = wide.where("team <> head_team")
-    others = wide.select(*(F.col(c).alias(f"o_{c}") for c in ("key", "id", "fp", "team", "keys", "width", "lo", "hi")), *(F.col(c).alias(f"y{i}") for i, c in enumerate(table)))
     place = F.array_position(F.col("keys"), F.col("key")).cast("int") - 1
-    met = (
+    may_link = (
         (F.col("key") == F.col("o_key"))
         & (F.col("team") != F.col("o_team"))
         & (F.least("width", "o_width") >= ratio * F.greatest("width", "o_width"))
         & pivots_allow("x", "y", n_pivots, distance)
         & (apart("fp", "o_fp") <= distance)
         & F.coalesce(F.greatest(F.col("lo") - F.col("o_hi"), F.col("o_lo") - F.col("hi")) <= limit(F.col("width"), F.col("o_width")), F.lit(True))
-        & ~F.arrays_overlap(F.slice("keys", F.lit(1), place), F.slice("o_keys", F.lit(1), place))
     )
-    more = outer.join(others, met).select(F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")).distinct()
+    once = ~F.arrays_overlap(F.slice("keys", F.lit(1), place), F.slice("o_keys", F.lit(1), place))
+    pair = [F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")]
+
+    def other(rows: DataFrame) -> DataFrame:
+        return rows.select(*(F.col(c).alias(f"o_{c}") for c in ("key", "id", "fp", "team", "keys", "width", "lo", "hi")), *(F.col(c).alias(f"y{i}") for i, c in enumerate(table)))
+
+    links = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if confirm:
+        leaders = cut(other(wide.join(more_leaders(wide), ["key", "id"])))
+        led = wide.where("team <> head_team").join(small_side(leaders, F.lit(160)), may_link)
+        led = led.groupBy(*pair).agg(F.first("team").alias("team"), F.first("o_team").alias("o_team"))
+        led = cut(led.join(edges.select("a", "b"), ["a", "b"], "left_anti"))
+        joined = cut(led.join(confirm(led.select("a", "b")).where("near"), ["a", "b"]).select(F.col("team").alias("a"), F.col("o_team").alias("b")).distinct())
+        teams = cut(connected(joined))
+        for c in ("team", "head_team"):
+            wide = wide.join(small_side(teams.select(F.col("node").alias(c), "root"), F.lit(16)), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        wide, links = cut(wide), links.union(joined)
+    more = wide.where("team <> head_team").join(other(wide), may_link & once).select(*pair).distinct()
     if confirm:
-        more = confirm(more).where("near").select("a", "b")
-    return connected(more.union(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        more = confirm(more.join(led.select("a", "b"), ["a", "b"], "left_anti")).where("near").select("a", "b")
+    return connected(more.union(links))
