@@ -179,7 +179,9 @@ def near_groups(
         for c in ("team", "head_team"):
             wide = wide.join(small_side(teams.select(F.col("node").alias(c), "root"), F.lit(16)), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
         wide, links = cut(wide), links.union(joined)
-    more = wide.where("team <> head_team").join(other(wide), may_link & once).select(*pair).distinct()
+    # Rows of one key have one head: two members that are both apart from it are paired from one side only.
+    one_side = (F.col("o_team") == F.col("head_team")) | (F.col("id") > F.col("o_id"))
+    more = wide.where("team <> head_team").join(other(wide), may_link & once & one_side).select(*pair).distinct()
     if confirm:
         more = confirm(more.join(led.select("a", "b"), ["a", "b"], "left_anti")).where("near").select("a", "b")
     return connected(more.union(links))
