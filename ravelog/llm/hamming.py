@@ -91,7 +91,7 @@ def near_groups(
     blocks: int,
     agree: int,
     n_pivots: int,
-    prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
+    prepare: Callable[[DataFrame], Callable[..., DataFrame]] | None = None,
     keyed: bool = False,
     ratio: float = 0.0,
     limit: Callable[[Column, Column], Column] = lambda x, y: F.lit(1.0 * (1 << 40)),
@@ -101,7 +101,8 @@ def near_groups(
     A link is a pair that meets under a block key, lies within ``distance`` bits and is
     confirmed, where ``prepare`` is given: it takes the ids that meet another one and gives
     a function that takes edges (a, b) and adds lo and hi, bounds of a distance that obeys
-    the triangle inequality, and near, whether it is a link. ids are unique. With
+    the triangle inequality, and near, whether it is a link; its second argument is False
+    where only near is of use. ids are unique. With
     ``agree <= blocks - distance`` no pair within the distance is missed. Pairs that meet
     are discarded by the pivot tables first, and their bits are counted after.
 
@@ -174,7 +175,7 @@ def near_groups(
         led = wide.where("team <> head_team").join(small_side(leaders, F.lit(160)), may_link)
         led = led.groupBy(*pair).agg(F.first("team").alias("team"), F.first("o_team").alias("o_team"))
         led = cut(led.join(edges.select("a", "b"), ["a", "b"], "left_anti"))
-        joined = cut(led.join(confirm(led.select("a", "b")).where("near"), ["a", "b"]).select(F.col("team").alias("a"), F.col("o_team").alias("b")).distinct())
+        joined = cut(led.join(confirm(led.select("a", "b"), False).where("near"), ["a", "b"]).select(F.col("team").alias("a"), F.col("o_team").alias("b")).distinct())
         teams = cut(connected(joined))
         for c in ("team", "head_team"):
             wide = wide.join(small_side(teams.select(F.col("node").alias(c), "root"), F.lit(16)), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
@@ -183,5 +184,5 @@ def near_groups(
     one_side = (F.col("o_team") == F.col("head_team")) | (F.col("id") > F.col("o_id"))
     more = wide.where("team <> head_team").join(other(wide), may_link & once & one_side).select(*pair).distinct()
     if confirm:
-        more = confirm(more.join(led.select("a", "b"), ["a", "b"], "left_anti")).where("near").select("a", "b")
+        more = confirm(more.join(led.select("a", "b"), ["a", "b"], "left_anti"), False).where("near").select("a", "b")
     return connected(more.union(links))

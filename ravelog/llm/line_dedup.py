@@ -9,6 +9,7 @@ words discards most chance meetings before texts are compared.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -207,10 +208,17 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - score / longest
 
 
-def edit_bounds(a: str, b: str, similarity: float) -> tuple[float, float]:
+def bag_distance(a: str, b: str) -> int:
+    """A lower bound of the Levenshtein distance: an edit takes away or adds one code point at most."""
+    x, y = Counter(a), Counter(b)
+    return max((x - y).total(), (y - x).total())
+
+
+def edit_bounds(a: str, b: str, similarity: float, exact: bool = True) -> tuple[float, float]:
     """Bounds of the Levenshtein distance, equal unless they tell whether the similarity holds.
 
     Word-by-word replacement often proves it, and lengths often rule it out, without the recurrence.
+    So do the texts' code points in any order, looked at where no ``exact`` distance is of use.
     """
     longest, x, y = max(len(a), len(b)), a.split(" "), b.split(" ")
     most = (1 - similarity) * longest
@@ -218,8 +226,10 @@ def edit_bounds(a: str, b: str, similarity: float) -> tuple[float, float]:
         return abs(len(a) - len(b)), longest
     if len(x) == len(y) and (replaced := sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q)) <= most:
         return 0, replaced
-    exact = round((1 - edit_similarity(a, b)) * longest)
-    return exact, exact
+    if not exact and (bag := bag_distance(a, b)) > most + 1e-9:
+        return bag, longest
+    distance = round((1 - edit_similarity(a, b)) * longest)
+    return distance, distance
 
 
 def alike(a: str, b: str, similarity: float) -> bool:
@@ -287,7 +297,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, distance: int = 20)
     return again.select("doc_id", "text_id", "line_no")
 
 
-def similar(docs: DataFrame, classes: DataFrame, ids: DataFrame, similarity: float) -> Callable[[DataFrame], DataFrame]:
+def similar(docs: DataFrame, classes: DataFrame, ids: DataFrame, similarity: float) -> Callable[..., DataFrame]:
     """A function that bounds the edit distance of edges (a, b) between line classes and tells whether the texts are similar enough.
 
     Texts are fetched once, for the classes in ``ids`` only, from the document of each
@@ -314,13 +324,13 @@ def similar(docs: DataFrame, classes: DataFrame, ids: DataFrame, similarity: flo
     texts = written(joined.mapInArrow(pick, "line_id long, line string").dropDuplicates(["line_id"]))
 
     @F.pandas_udf("lo double, hi double, near boolean")
-    def measured(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        bounds = [edit_bounds(p, q, similarity) for p, q in zip(x, y, strict=True)]
+    def measured(x: pd.Series, y: pd.Series, exact: pd.Series) -> pd.DataFrame:
+        bounds = [edit_bounds(p, q, similarity, e) for p, q, e in zip(x, y, exact, strict=True)]
         near = [1 - hi / max(1, len(p), len(q)) >= similarity for (_, hi), p, q in zip(bounds, x, y, strict=True)]
         return pd.DataFrame({"lo": [float(lo) for lo, _ in bounds], "hi": [float(hi) for _, hi in bounds], "near": near})
 
     x, y = texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), texts.select(F.col("line_id").alias("b"), F.col("line").alias("y"))
-    return lambda edges: cut(cut(edges).join(x, "a").join(y, "b").select("a", "b", measured("x", "y").alias("m")).select("a", "b", "m.*"))
+    return lambda edges, exact=True: cut(cut(edges).join(x, "a").join(y, "b").select("a", "b", measured("x", "y", F.lit(exact)).alias("m")).select("a", "b", "m.*"))
 
 
 def dedup_lines(docs: DataFrame, lines: str = "__lines", removed: str = "__removed", **parameters) -> DataFrame:

@@ -170,12 +170,12 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([set_similarity(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    def confirmed(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def confirmed(ids: DataFrame) -> Callable[..., DataFrame]:
         wanted = cut(nodes.join(ids, "id").select("id", F.col("at.doc_id").alias("at_doc"), F.col("at.text_id").alias("at_text")))
         found = texts.join(small_side(wanted), (F.col("text_id") == F.col("at_text")) & F.col("doc_id").eqNullSafe(F.col("at_doc")))
         sets = written(found.select("id", "text").mapInArrow(pack, "id long, own binary").dropDuplicates(["id"]))
         x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-        return lambda edges: cut(cut(edges).join(x, "a").join(y, "b").select("a", "b", alike("x", "y").alias("s")).select("a", "b", (1 - F.col("s")).alias("lo"), (1 - F.col("s")).alias("hi"), (F.col("s") >= similarity).alias("near")))
+        return lambda edges, exact=True: cut(cut(edges).join(x, "a").join(y, "b").select("a", "b", alike("x", "y").alias("s")).select("a", "b", (1 - F.col("s")).alias("lo"), (1 - F.col("s")).alias("hi"), (F.col("s") >= similarity).alias("near")))
 
     wide = nodes.select("id", F.col("id").alias("fp"), "keys", F.col("n").alias("width"))
     roots = near_groups(wide, 64, 0, 0, 0, confirmed, keyed=True, ratio=similarity, limit=lambda x, y: F.lit(1 - similarity + 1e-9))

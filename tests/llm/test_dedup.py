@@ -42,6 +42,9 @@ def test_edit_similarity_is_levenshtein():
         assert line_dedup.edit_similarity(a, b) == pytest.approx(expected)
         lo, hi = line_dedup.edit_bounds(a, b, 0.8)
         assert lo <= levenshtein(a, b) <= hi
+        lo, hi = line_dedup.edit_bounds(a, b, 0.8, exact=False)
+        assert lo <= levenshtein(a, b) <= hi
+        assert (1 - hi / longest >= 0.8) == (1 - levenshtein(a, b) / longest >= 0.8)
         assert line_dedup.alike(a, b, 0.8) == (line_dedup.edit_similarity(a, b) >= 0.8)
 
 
