@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, decontaminate, html_extract, licenses, line_dedup, mixing, pii, simhash_dedup, toxicity
+from . import ann, chat_format, collocations, conversation_repair, decontaminate, html_extract, language_id, licenses, line_dedup, mixing, pii, simhash_dedup, toxicity
 from .common import table
 
 # Fixed value: the added conversation, full of the template's own control strings.
@@ -59,6 +59,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_nearest, op3_main_text, op4_simhash_dedup, op5_decontaminate, op6_personal_data, op7_mix_sources, op8_toxicity, op9_licenses, op10_chat_format, pipeline)
+    own = (op1_line_dedup, op2_nearest, op3_main_text, op4_simhash_dedup, op5_decontaminate, op6_personal_data, op7_mix_sources, op8_toxicity, op9_licenses, op10_chat_format, op11_collocations, op12_conversation_repair, op13_language, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -91,6 +103,42 @@ ORACLES = {
         else 9 + 7 + length(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</', '<\/')) end as head from c)
       select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
         sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(head + body + 7) as bigint) as formatted_chars from e group by conv_id""",
+    "op11_collocations": r"""with pieces as (select doc_id, coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+      words as (select lang, regexp_extract_all(piece, '[^ \t]+') as w from pieces),
+      sizes as (select lang, cast(sum(len(w)) as bigint) as n from words group by 1),
+      grams as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from words, range(1, 5) t(m) where len(w) >= m)),
+      f as (select lang, m, phrase, count(*) as a from grams group by all having count(*) >= 30),
+      cand as (select lang, m, phrase, a, string_split(phrase, ' ') as w from f where m >= 2),
+      cuts as (select lang, phrase, a, k, array_to_string(w[:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail from cand, range(1, 4) t(k) where k < m),
+      scores as (select cuts.lang, cuts.phrase, cuts.a, k, p.a as l, s.a as r, cast(cuts.a::hugeint * 2000000 // (p.a + s.a) as bigint) as score from cuts join f p on p.lang = cuts.lang and p.phrase = head join f s on s.lang = cuts.lang and s.phrase = tail),
+      best as (select * from scores qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+      inner_ as (select lang, array_to_string(w[i:i + j - 1], ' ') as phrase, max(a) as most from (select lang, w, a, j, unnest(range(1, m - j + 2)) as i from cand, range(2, 4) t(j) where j < m) group by all),
+      kept as (select best.* from best left join inner_ using (lang, phrase) where most is null or 100 * most::hugeint < 80 * best.a::hugeint),
+      ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+      select lang, rank, phrase, a, l, r, n, score from ranked join sizes using (lang) where rank <= 2000""",
+    "op12_conversation_repair": r"""with recursive tab as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+      raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda c: cast(ord(c) as bigint)) as b from conversations),
+      kinds as (select raw.* exclude (b), xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 as kind from raw, tab),
+      hurt as (select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) from kinds),
+      seq as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from hurt),
+      flawed as (select *, substr(role, 1, 1) as f, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 3 else 0 end as flaw from seq),
+      pairs as (select conv_id, lag(f) over (partition by conv_id order by i) || f as p from flawed),
+      stats as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (flaw = 1) as blank, count(*) filter (flaw = 2) as duplicate, count(*) filter (flaw = 3) as truncated from flawed group by 1),
+      bad as (select conv_id, count(*) filter (p not in ('su', 'ua', 'au')) as illegal from pairs group by 1),
+      lists as (select conv_id, list({'role': role, 'text': text, 'f': f, 'flaw': flaw} order by i) as l from flawed group by 1),
+      ins(s, k, z, o) as (values (0, 0, 0, ''), (1, 0, 1, ''), (2, 0, 2, ''), (3, 0, 3, ''), (0, 1, 2, 'user:'), (1, 1, 2, 'user:'), (3, 1, 2, 'user:'), (2, 1, 3, 'assistant:'),
+        (0, 2, 3, 'user:|assistant:'), (1, 2, 3, 'user:|assistant:'), (3, 2, 3, 'user:|assistant:')),
+      w(conv_id, i, s, cost, audit, lines) as (select conv_id, 0, 0, 0, '', []::varchar[] from lists
+        union all select conv_id, i, s, b.cost, b.audit, b.lines from (select conv_id, i + 1 as i, z2 as s, min({'cost': cost, 'audit': audit, 'lines': lines}) as b from (
+          select g.conv_id, g.i, case op when 'D' then z when 'K' then case r.f when 's' then 1 when 'u' then 2 else 3 end else case z when 2 then 3 else 2 end end as z2,
+            cost + case op when 'D' then 3 when 'R' then 2 else 0 end + case when op <> 'D' and r.flaw = 3 then 1 else 0 end as cost, audit || op as audit,
+            case op when 'D' then lines when 'K' then list_append(lines, r.role || ':' || r.text) else list_append(lines, case z when 2 then 'assistant:' else 'user:' end || r.text) end as lines
+          from (select w.conv_id, w.i, ins.z, cost + 2 * k as cost, audit || repeat('I', k) as audit, case k when 0 then lines else list_concat(lines, string_split(o, '|')) end as lines, l[w.i + 1] as r
+              from w join ins using (s) join lists using (conv_id) where w.i < len(l)) g, (values ('D'), ('K'), ('R')) ops(op)
+          where op = 'D' or r.flaw not in (1, 2) and (op = 'R' or r.f = 's' and z = 0 or r.f = 'u' and z <> 2 or r.f = 'a' and z = 2)) group by all)),
+      done as (select conv_id, min({'cost': cost + 2 * k, 'audit': audit || repeat('I', k), 'lines': case k when 0 then lines else list_concat(lines, string_split(o, '|')) end}) as b from w join ins using (s) join lists using (conv_id) where i = len(l) and z in (0, 3) group by 1)
+      select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(b.cost, 0) as bigint) as cost, coalesce(b.audit, '') as audit,
+        sha256(coalesce(array_to_string(b.lines, chr(10)), '')) as repaired_sha256 from (select distinct conv_id from conversations) c left join stats using (conv_id) left join bad using (conv_id) left join done using (conv_id)""",
 }
 
 
