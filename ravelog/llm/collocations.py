@@ -33,10 +33,10 @@ SCALE = 2_000_000
 
 LONGEST = 4
 CHUNK = 8 << 20  # bytes of text that are counted together
-FILTER_WORDS = 1 << 21  # of 64 bits, 16 MB
+FILTER_WORDS = 1 << 19  # of 64 bits, 4 MB
 PROBES = 4
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + PIECE_ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"." * len(PIECE_ENDS))
-COUNTS = "lang string, phrase string, m int, mark long, a long"
+COUNTS = "lang string, phrase string, a long"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -66,11 +66,33 @@ class Known:
         return self.words[(marks >> np.uint64(32)) % np.uint64(len(self.words))] & need == need
 
 
-def known(marks: DataFrame, before: np.ndarray, size: int = FILTER_WORDS) -> np.ndarray:
-    """The filter ``before`` with the marks of ``marks`` added; at most ``size`` rows of two numbers reach the driver."""
+def word_marks(lang: str, hashes: np.ndarray) -> np.ndarray:
+    return mixed(hashes ^ np.uint64(xxhash.xxh64_intdigest(lang, 1)))
+
+
+def marked(phrases: DataFrame) -> DataFrame:
+    """mark of each row (lang, phrase)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [p.encode().split(b" ") for p in b.column(1).to_pylist()]
+            hashes = np.zeros((len(words), LONGEST), np.uint64)
+            for i, own in enumerate(words):
+                hashes[i, : len(own)] = [xxhash.xxh64_intdigest(w) for w in own]
+            seeds = np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in b.column(0).to_pylist()), np.uint64, len(words))
+            sizes, out = np.array([len(own) for own in words], int), mixed(hashes[:, 0] ^ seeds)
+            for m in range(1, LONGEST):
+                out = np.where(sizes > m, joined(out, hashes[:, m]), out)
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["mark"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "mark long")
+
+
+def known(phrases: DataFrame, before: np.ndarray, size: int = FILTER_WORDS) -> np.ndarray:
+    """The filter ``before`` with the given phrases added; at most ``size`` rows of two numbers reach the driver."""
     bits = F.expr(" | ".join(f"shiftleft(1L, cast(shiftright(mark, {6 * i}) & 63 as int))" for i in range(PROBES)))
     at = F.shiftrightunsigned("mark", 32) % size
-    rows = marks.select(at.alias("at"), bits.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = marked(phrases).select(at.alias("at"), bits.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = before.copy() if len(before) or not len(rows) else np.zeros(size, np.uint64)
     out[rows["at"].to_numpy(np.int64)] |= rows["bits"].to_numpy(np.int64).view(np.uint64)
     return out
@@ -102,8 +124,8 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
     yield from flush()
 
 
-def tallied(lang: str, tokens: list[bytes], now: Known, before: Known, first: bool) -> Iterator[tuple[list[bytes], int, np.ndarray, np.ndarray]]:
-    """(phrases, words in each, marks, counts) of a chunk: words in the first pass, longer phrases whose parts ``now`` knows and ``before`` did not.
+def tallied(lang: str, tokens: list[bytes], now: Known, before: Known, first: bool) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(phrases, counts) of a chunk: words in the first pass, longer phrases whose parts ``now`` knows and ``before`` did not.
 
     Within a chunk a phrase is a number: that of its first words and that of its last word
     in one integer, numbered anew for each length. ``heads`` has the number of the phrase
@@ -114,10 +136,10 @@ def tallied(lang: str, tokens: list[bytes], now: Known, before: Known, first: bo
     at = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
     names = list(ids)
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
-    marks = mixed(hashes ^ np.uint64(xxhash.xxh64_intdigest(lang, 1)))
+    marks = word_marks(lang, hashes)
     a = np.bincount(at, minlength=len(names))
     if first:
-        yield names[1:], 1, marks[1:], a[1:]
+        yield names[1:], a[1:]
     built: list[tuple[np.ndarray, np.ndarray]] = []  # of each length: number of the first words, last word
 
     def spelled(m: int, which: np.ndarray) -> list[bytes]:
@@ -139,39 +161,40 @@ def tallied(lang: str, tokens: list[bytes], now: Known, before: Known, first: bo
         marks = joined(marks[left], hashes[last])
         fresh = np.flatnonzero(~(was_known[left] & was_known[heads[place[index] + 1]]))
         if len(fresh):
-            yield spelled(m, fresh), m, marks[fresh], a[fresh]
+            yield spelled(m, fresh), a[fresh]
         is_known, was_known = now.holds(marks), before.holds(marks)
         heads = np.full(len(at), -1)
         heads[place] = np.where(is_known[inverse], inverse, -1)
 
 
 def counted(texts: DataFrame, now: np.ndarray, before: np.ndarray, first: bool, at_least: int) -> DataFrame:
-    """lang, phrase, m (words), mark, a: exact counts of what a pass counts and finds ``at_least`` times, as a written table.
+    """lang, phrase, a, m (words): exact counts of what a pass counts and finds ``at_least`` times, as a written table.
 
     Chunks are summed in the task, then by Spark before its shuffle, so a frequent word or
-    a common language is a row a chunk and none of its occurrences travels. ``n`` of a
-    language is the row of phrase null, m 0.
+    a common language is a row a chunk and none of its occurrences travels. The first pass
+    also gives n of a language, in the row of phrase null and m 0.
     """
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast((now, before))
+    shared = texts.sparkSession.sparkContext.broadcast((now, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before = map(Known, shared.value)
         for lang, tokens in chunks(batches):
-            for phrases, m, marks, a in tallied(lang, tokens, now, before, first):
-                if m == 1:
-                    yield batch(lang, [None], 0, np.zeros(1, np.uint64), a.sum(keepdims=True))
+            words = first
+            for phrases, a in tallied(lang, tokens, now, before, first):
+                if words:
+                    yield batch(lang, [None], a.sum(keepdims=True))
+                    words = False
                 for i in range(0, len(phrases), 20_000):
-                    yield batch(lang, phrases[i : i + 20_000], m, marks[i : i + 20_000], a[i : i + 20_000])
+                    yield batch(lang, phrases[i : i + 20_000], a[i : i + 20_000])
 
-    def batch(lang: str, phrases: list[bytes | None], m: int, marks: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
-        k = len(phrases)
-        columns = [pa.array([lang] * k, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array([m] * k, pa.int32()), pa.array(marks.view(np.int64)), pa.array(a, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "m", "mark", "a"])
+    def batch(lang: str, phrases: list[bytes | None], a: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(a, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
 
-    rows = texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "m", "mark").agg(F.sum("a").alias("a"))
-    out = written(rows.where((F.col("a") >= at_least) | (F.col("m") == 0)))
-    shared.unpersist()
+    rows = texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    m = F.when(F.col("phrase").isNull(), 0).otherwise(F.size(F.split("phrase", " ", -1)))
+    out = written(rows.where((F.col("a") >= at_least) | F.col("phrase").isNull()).withColumn("m", m))
+    shared.destroy()
     return out
 
 
@@ -210,7 +233,7 @@ def phrase_counts(docs: DataFrame, at_least: int = 30, share: int = 16, slack: f
     sample = texts.where(F.pmod(F.xxhash64("lang", "text"), F.lit(share)) == 0)
     proposed = closed(sample, np.empty(0, np.uint64), lowered)
     seed = known(extendable(proposed), np.empty(0, np.uint64))
-    return closed(texts, seed, at_least).drop("mark")
+    return closed(texts, seed, at_least)
 
 
 def scored(frequent: DataFrame) -> DataFrame:
