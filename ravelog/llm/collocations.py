@@ -4,23 +4,27 @@ A sample of the documents proposes frequent phrases. One pass over all documents
 them together with their negative border: every phrase that is not proposed, but both of
 whose longest parts (without the last, without the first word) are. No part of a frequent
 phrase is rarer than the phrase, so the sample missed something only if a border phrase
-turns out frequent; then the border moves out and a further pass counts what is new,
-until no border phrase is frequent. All counts that leave this module are exact.
+turns out frequent; then the border moves out to its closure and a further pass counts
+what is new. All counts that leave this module are exact.
 
 The border is never listed: a task counts a phrase where it meets it, if a filter holds
 both its parts. That filter is a Bloom filter of fixed size, so what is broadcast does not
 grow with the data; a false hit makes a phrase be counted that need not be, which costs
-time but changes no result.
+time but changes no result. These passes count 64-bit marks of phrases, since most of a
+border is rare and its texts need not travel; marks that two phrases share only raise a
+count. A last pass counts the texts of all phrases whose mark reached the threshold, and
+what it finds below the threshold goes.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import count
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,11 +36,12 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 SCALE = 2_000_000
 
 LONGEST = 4
-CHUNK = 8 << 20  # bytes of text that are counted together
+CHUNK = 4 << 20  # bytes of text that are counted together
 FILTER_WORDS = 1 << 19  # of 64 bits, 4 MB
 PROBES = 4
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + PIECE_ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"." * len(PIECE_ENDS))
-COUNTS = "lang string, phrase string, a long"
+BATCH = 20_000
+EXTENDABLE = f"mark & 3 < {LONGEST - 1}"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -46,9 +51,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def joined(left: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The mark of a phrase from that of all but its last word and the last word's hash."""
-    return mixed(left * np.uint64(0x9E3779B97F4A7C15) + word)
+def mark(x: np.ndarray, m: int) -> np.ndarray:
+    """The mark of phrases of ``m`` words; its lowest two bits are m - 1."""
+    return (mixed(x) & ~np.uint64(3)) | np.uint64(m - 1)
 
 
 class Known:
@@ -62,50 +67,28 @@ class Known:
             return np.zeros(len(marks), bool)
         need = np.zeros(len(marks), np.uint64)
         for i in range(PROBES):
-            need |= np.uint64(1) << ((marks >> np.uint64(6 * i)) & np.uint64(63))
+            need |= np.uint64(1) << ((marks >> np.uint64(6 * i + 8)) & np.uint64(63))
         return self.words[(marks >> np.uint64(32)) % np.uint64(len(self.words))] & need == need
 
 
-def word_marks(lang: str, hashes: np.ndarray) -> np.ndarray:
-    return mixed(hashes ^ np.uint64(xxhash.xxh64_intdigest(lang, 1)))
-
-
-def marked(phrases: DataFrame) -> DataFrame:
-    """mark of each row (lang, phrase)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [p.encode().split(b" ") for p in b.column(1).to_pylist()]
-            hashes = np.zeros((len(words), LONGEST), np.uint64)
-            for i, own in enumerate(words):
-                hashes[i, : len(own)] = [xxhash.xxh64_intdigest(w) for w in own]
-            seeds = np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in b.column(0).to_pylist()), np.uint64, len(words))
-            sizes, out = np.array([len(own) for own in words], int), mixed(hashes[:, 0] ^ seeds)
-            for m in range(1, LONGEST):
-                out = np.where(sizes > m, joined(out, hashes[:, m]), out)
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["mark"])
-
-    return phrases.select("lang", "phrase").mapInArrow(run, "mark long")
-
-
-def known(phrases: DataFrame, before: np.ndarray, size: int = FILTER_WORDS) -> np.ndarray:
-    """The filter ``before`` with the given phrases added; at most ``size`` rows of two numbers reach the driver."""
-    bits = F.expr(" | ".join(f"shiftleft(1L, cast(shiftright(mark, {6 * i}) & 63 as int))" for i in range(PROBES)))
+def known(found: DataFrame, before: np.ndarray, size: int = FILTER_WORDS) -> np.ndarray:
+    """The filter ``before`` with the marks of ``found`` added; at most ``size`` rows of two numbers reach the driver."""
+    bits = F.expr(" | ".join(f"shiftleft(1L, cast(shiftright(mark, {6 * i + 8}) & 63 as int))" for i in range(PROBES)))
     at = F.shiftrightunsigned("mark", 32) % size
-    rows = marked(phrases).select(at.alias("at"), bits.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = found.select(at.alias("at"), bits.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = before.copy() if len(before) or not len(rows) else np.zeros(size, np.uint64)
     out[rows["at"].to_numpy(np.int64)] |= rows["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """(language, words and piece ends in order) in chunks of about ``CHUNK`` bytes; chunks end where a piece does."""
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(language, words and piece ends in order, spaced) in chunks of about ``CHUNK`` bytes; chunks end where a piece does."""
     held: dict[str, list[bytes]] = defaultdict(list)
     size = 0
 
-    def flush() -> Iterator[tuple[str, list[bytes]]]:
+    def flush() -> Iterator[tuple[str, bytes]]:
         for lang, parts in held.items():
-            yield lang, b".".join(parts).translate(TABLE).replace(b".", b" . ").split()
+            yield lang, b".".join([b"", *parts, b""]).translate(TABLE).replace(b".", b" . ").strip()
         held.clear()
 
     for b in batches:
@@ -124,33 +107,44 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
     yield from flush()
 
 
-def tallied(lang: str, tokens: list[bytes], now: Known, before: Known, first: bool) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(phrases, counts) of a chunk: words in the first pass, longer phrases whose parts ``now`` knows and ``before`` did not.
+@dataclass
+class Level:
+    """Distinct phrases of ``m`` words in a chunk: marks, counts, whether no earlier pass counted them, and their texts by number."""
 
-    Within a chunk a phrase is a number: that of its first words and that of its last word
-    in one integer, numbered anew for each length. ``heads`` has the number of the phrase
-    that starts at a place, or -1.
+    m: int
+    marks: np.ndarray
+    a: np.ndarray
+    fresh: np.ndarray
+    texts: Callable[[np.ndarray], list[str]]
+
+
+def levels(lang: str, chunk: bytes, now: Known, before: Known, ahead: bool = False) -> Iterator[Level]:
+    """The words of a chunk, then its longer phrases both of whose parts ``now`` knows.
+
+    ``fresh`` are those whose parts ``before`` did not know both, so that no earlier pass
+    counted them; ``ahead`` takes them for parts as well. Within a chunk a phrase is a
+    number: that of its first words and that of its last word in one integer, numbered
+    anew for each length. ``heads`` has the number of the phrase that starts at a place,
+    or -1.
     """
-    ids: defaultdict = defaultdict(count(1).__next__)
-    ids[b"."] = 0
-    at = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
-    names = list(ids)
+    whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(chunk)], np.int64)), pa.py_buffer(chunk)])
+    coded = pc.ascii_split_whitespace(whole).values.dictionary_encode()
+    at, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    words = np.array([i for i, w in enumerate(names) if w != "."], np.int64)
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
-    marks = word_marks(lang, hashes)
-    a = np.bincount(at, minlength=len(names))
-    if first:
-        yield names[1:], a[1:]
+    marks = mark(hashes ^ np.uint64(xxhash.xxh64_intdigest(lang, 1)), 1)
     built: list[tuple[np.ndarray, np.ndarray]] = []  # of each length: number of the first words, last word
 
-    def spelled(m: int, which: np.ndarray) -> list[bytes]:
+    def texts(m: int, which: np.ndarray) -> list[str]:
         if m == 1:
             return [names[i] for i in which.tolist()]
         left, last = built[m - 2]
-        return [p + b" " + names[j] for p, j in zip(spelled(m - 1, left[which]), last[which].tolist(), strict=True)]
+        return [f"{p} {names[j]}" for p, j in zip(texts(m - 1, left[which]), last[which].tolist(), strict=True)]
 
-    is_known, was_known = now.holds(marks), before.holds(marks)
-    is_known[0] = was_known[0] = False
-    heads = np.where(is_known[at], at, -1)
+    yield Level(1, marks[words], np.bincount(at, minlength=len(names))[words], np.ones(len(words), bool), lambda which: texts(1, words[which]))
+    is_word = np.zeros(len(names), bool)
+    is_word[words] = True
+    heads = np.where((now.holds(marks) & is_word)[at], at, -1)
     for m in range(2, LONGEST + 1):
         place = np.flatnonzero((heads[:-1] >= 0) & (heads[1:] >= 0))
         if not len(place):
@@ -158,66 +152,81 @@ def tallied(lang: str, tokens: list[bytes], now: Known, before: Known, first: bo
         numbers, index, inverse, a = np.unique(heads[place] * len(names) + at[place + m - 1], return_index=True, return_inverse=True, return_counts=True)
         left, last = numbers // len(names), numbers % len(names)
         built.append((left, last))
-        marks = joined(marks[left], hashes[last])
-        fresh = np.flatnonzero(~(was_known[left] & was_known[heads[place[index] + 1]]))
-        if len(fresh):
-            yield spelled(m, fresh), a[fresh]
-        is_known, was_known = now.holds(marks), before.holds(marks)
+        fresh = ~(before.holds(marks[left]) & before.holds(marks[heads[place[index] + 1]]))
+        marks = mark(marks[left] * np.uint64(0x9E3779B97F4A7C15) + hashes[last], m)
+        yield Level(m, marks, a, fresh, lambda which, m=m: texts(m, which))
+        part = now.holds(marks) | (fresh & ahead)
         heads = np.full(len(at), -1)
-        heads[place] = np.where(is_known[inverse], inverse, -1)
+        heads[place] = np.where(part[inverse], inverse, -1)
 
 
 def counted(texts: DataFrame, now: np.ndarray, before: np.ndarray, first: bool, at_least: int) -> DataFrame:
-    """lang, phrase, a, m (words): exact counts of what a pass counts and finds ``at_least`` times, as a written table.
+    """mark, a of what a pass counts and finds ``at_least`` times, as a written table.
 
-    Chunks are summed in the task, then by Spark before its shuffle, so a frequent word or
-    a common language is a row a chunk and none of its occurrences travels. The first pass
-    also gives n of a language, in the row of phrase null and m 0.
+    The first pass counts words and all phrases whose parts ``now`` knows. A later one
+    counts the phrases that it did not, ``ahead``: with parts that it counts itself. Chunks
+    are summed in the task, then by Spark before its shuffle, so a frequent word is a row a
+    chunk and no occurrence travels.
     """
     shared = texts.sparkSession.sparkContext.broadcast((now, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before = map(Known, shared.value)
-        for lang, tokens in chunks(batches):
-            words = first
-            for phrases, a in tallied(lang, tokens, now, before, first):
-                if words:
-                    yield batch(lang, [None], a.sum(keepdims=True))
-                    words = False
-                for i in range(0, len(phrases), 20_000):
-                    yield batch(lang, phrases[i : i + 20_000], a[i : i + 20_000])
-
-    def batch(lang: str, phrases: list[bytes | None], a: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(a, pa.int64())]
+        for lang, chunk in chunks(batches):
+            for level in levels(lang, chunk, now, before, not first):
+                if level.m > 1 or first:
+                    marks, a = level.marks[level.fresh], level.a[level.fresh]
+                    for i in range(0, len(marks), 10 * BATCH):
+                        part = slice(i, i + 10 * BATCH)
+                        yield pa.RecordBatch.from_arrays([pa.array(marks[part].view(np.int64)), pa.array(a[part])], names=["mark", "a"])
+
+    rows = texts.mapInArrow(run, "mark long, a long").groupBy("mark").agg(F.sum("a").alias("a"))
+    out = written(rows.where(F.col("a") >= at_least))
+    shared.destroy()
+    return out
+
+
+def spelled(texts: DataFrame, wanted: np.ndarray, at_least: int) -> DataFrame:
+    """lang, phrase, a, m (words): exact counts of the phrases that ``wanted`` knows, ``at_least`` or more; n of a language at m 0."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = Known(shared.value)
+        for lang, chunk in chunks(batches):
+            for level in levels(lang, chunk, wanted, Known(np.empty(0, np.uint64))):
+                if level.m == 1:
+                    yield batch(lang, [None], level.a.sum(keepdims=True))
+                own = np.flatnonzero(wanted.holds(level.marks))
+                for i in range(0, len(own), BATCH):
+                    part = own[i : i + BATCH]
+                    yield batch(lang, level.texts(part), level.a[part])
+
+    def batch(lang: str, phrases: list[str | None], a: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(a, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "a"])
 
-    rows = texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    rows = texts.mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
     m = F.when(F.col("phrase").isNull(), 0).otherwise(F.size(F.split("phrase", " ", -1)))
     out = written(rows.where((F.col("a") >= at_least) | F.col("phrase").isNull()).withColumn("m", m))
     shared.destroy()
     return out
 
 
-def closed(texts: DataFrame, seed: np.ndarray, at_least: int) -> DataFrame:
-    """Every phrase found ``at_least`` times in ``texts``, with its exact count (and n, as ``counted`` has it).
+def closed(texts: DataFrame, seed: np.ndarray, at_least: int) -> tuple[np.ndarray, DataFrame]:
+    """(filter, marks): every phrase whose mark is found ``at_least`` times in ``texts``; the filter knows those that can be part of a longer one.
 
-    The first pass counts what ``seed`` knows and its border; while frequent phrases change
-    the filter, so it did not know them all, the border moves out and another pass counts
-    what lies between the two. Each pass settles one more length at least, so there are
-    at most ``LONGEST`` of them.
+    The first pass counts what ``seed`` knows and its border. If frequent phrases change the
+    filter, so it did not know them all, the border moves out until it is closed: one more
+    pass counts what lies between, and what hangs on that. A frequent phrase has frequent
+    parts, which the first pass counted and found or the second counts, so none is missed.
     """
-    before, now = np.empty(0, np.uint64), seed
-    out = found = counted(texts, now, before, True, at_least)
-    while not np.array_equal(after := known(extendable(found), now), now):
-        before, now = now, after
-        found = counted(texts, now, before, False, at_least)
-        out = out.union(found)
-    return out
-
-
-def extendable(found: DataFrame) -> DataFrame:
-    """The phrases that can be part of a longer one."""
-    return found.where(F.col("m").between(1, LONGEST - 1))
+    nothing = np.empty(0, np.uint64)
+    found = counted(texts, seed, nothing, True, at_least)
+    now = known(found.where(EXTENDABLE), seed)
+    if np.array_equal(now, seed):
+        return now, found
+    more = counted(texts, now, seed, False, at_least)
+    return known(more.where(EXTENDABLE), now), found.union(more)
 
 
 def phrase_counts(docs: DataFrame, at_least: int = 30, share: int = 16, slack: float = 1.0) -> DataFrame:
@@ -231,9 +240,9 @@ def phrase_counts(docs: DataFrame, at_least: int = 30, share: int = 16, slack: f
     expected = at_least / share
     lowered = max(2, int(expected - slack * expected**0.5))
     sample = texts.where(F.pmod(F.xxhash64("lang", "text"), F.lit(share)) == 0)
-    proposed = closed(sample, np.empty(0, np.uint64), lowered)
-    seed = known(extendable(proposed), np.empty(0, np.uint64))
-    return closed(texts, seed, at_least)
+    seed, _ = closed(sample, np.empty(0, np.uint64), lowered)
+    parts, frequent = closed(texts, seed, at_least)
+    return spelled(texts, known(frequent, parts), at_least)
 
 
 def scored(frequent: DataFrame) -> DataFrame:
