@@ -142,10 +142,16 @@ def clause_status(clause: Column) -> Column:
     )
 
 
+def last_claim(text: Column) -> Column:
+    """State of the last deciding clause of a text; null where none decides."""
+    clauses = F.split(F.lower(text), "[。！？!?\n；;]")
+    stated = F.filter(F.transform(clauses, clause_status), lambda s: s.isNotNull())
+    return F.element_at(F.when(F.size(stated) > 0, stated), -1)
+
+
 def claimed_status(texts: Column) -> Column:
     """State of the latest deciding clause of an ordered array of texts; 'in_progress' without one."""
-    clauses = F.flatten(F.transform(texts, lambda t: F.split(F.lower(t), "[。！？!?\n；;]")))
-    stated = F.filter(F.transform(clauses, clause_status), lambda s: s.isNotNull())
+    stated = F.filter(F.transform(texts, last_claim), lambda s: s.isNotNull())
     return F.coalesce(F.element_at(F.when(F.size(stated) > 0, stated), -1), F.lit("in_progress"))
 
 

@@ -7,11 +7,12 @@ source_event_ids, replacement_ids, reverses, target STRUCT<session_id, event_id>
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from .graph import cycle_nodes, would_close
+from ..sources import versions
+from .graph import cut, cycle_nodes, trimmed
 
 # Enumerations of the log and of memories.
 DECISIONS = ("accepted", "rejected", "superseded")
@@ -187,7 +188,12 @@ def annotate(docs: DataFrame, memories: DataFrame, events: DataFrame, cutoff: Co
 
 
 def check_marks(marks: DataFrame, memories: DataFrame, events: DataFrame) -> DataFrame:
-    """Candidate marks with ``problem``: shape, unknown or doubled targets, self or cyclic replacement, unknown ``reverses``."""
+    """Candidate marks with ``problem``: shape, unknown or doubled targets, self or cyclic replacement, unknown ``reverses``.
+
+    Marks are taken in the order of ``line_no``: one that was accepted before counts as
+    the latest event of its memory for those after it.
+    """
+    rows = cut(marks.withColumn("__mark", F.monotonically_increasing_id()))  # numbered once: later branches read the written rows
     known = latest_memories(memories).select("hub_id", F.col("id").alias("__id"))
     twice = duplicated(memories).select("hub_id", F.col("id").alias("__id"))
     has = lambda df, name: df.withColumn(name, F.lit(True))
@@ -201,22 +207,101 @@ def check_marks(marks: DataFrame, memories: DataFrame, events: DataFrame) -> Dat
         .when(F.coalesce(F.array_contains("replacement_ids", F.col("memory_id")), F.lit(False)), "self supersession")
         .when(F.col("ts").isNotNull() & ids.instant(F.col("ts")).isNull(), "ts")
     )
-    rows = marks.withColumn("__mark", F.monotonically_increasing_id()).withColumn("problem", shape)
+    rows = rows.withColumn("problem", shape)
     for df, name in ((known, "__known"), (twice, "__twice")):
         rows = rows.join(has(df.withColumnRenamed("__id", "memory_id"), name), ["hub_id", "memory_id"], "left")
-    named = rows.select("hub_id", "__mark", F.col("memory_id").alias("src"), F.explode("replacement_ids").alias("dst"))
+    named = rows.select("hub_id", "__mark", F.explode("replacement_ids").alias("dst"))
     named = named.join(has(known.withColumnRenamed("__id", "dst"), "__k"), ["hub_id", "dst"], "left").join(has(twice.withColumnRenamed("__id", "dst"), "__t"), ["hub_id", "dst"], "left")
-    loops = has(would_close(edges_of(memories, events), named.select("hub_id", "src", "dst").distinct()), "__loop")
-    named = named.join(loops, ["hub_id", "src", "dst"], "left")
-    worst = named.groupBy("__mark").agg(F.max(F.when(F.col("__t"), 3).when(F.col("__k").isNull(), 2).when(F.col("__loop"), 1)).alias("__worst"))
+    worst = named.groupBy("__mark").agg(F.max(F.when(F.col("__t"), 2).when(F.col("__k").isNull(), 1)).alias("__worst"))
     stored = has(events.select("hub_id", F.col("id").alias("reverses")).distinct(), "__stored")
     rows = rows.join(worst, "__mark", "left").join(stored, ["hub_id", "reverses"], "left")
     later = (
         F.when(F.col("__twice"), "ambiguous target").when(F.col("__known").isNull(), "unknown target")
-        .when(F.col("__worst") == 3, "ambiguous replacement").when(F.col("__worst") == 2, "unknown replacement").when(F.col("__worst") == 1, "cycle")
+        .when(F.col("__worst") == 2, "ambiguous replacement").when(F.col("__worst") == 1, "unknown replacement")
         .when(F.col("reverses").isNotNull() & F.col("__stored").isNull(), "unknown reverses")
     )
-    return rows.withColumn("problem", F.coalesce("problem", later)).select(*marks.columns, "problem")
+    rows = cut(rows.withColumn("problem", F.coalesce("problem", later)).select(*marks.columns, "__mark", "problem"))
+    loops = has(closing_marks(rows.where("problem is null"), memories, events), "__loop")
+    rows = rows.join(loops, "__mark", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("__loop"), "cycle")))
+    return rows.select(*marks.columns, "problem")
+
+
+def closing_marks(marks: DataFrame, memories: DataFrame, events: DataFrame) -> DataFrame:
+    """``__mark`` of the marks that close a loop of replacements with what holds when their turn comes.
+
+    An edge of the log holds until the next accepted mark on its memory. Rounds decide all
+    marks at once where they can: one that closes no loop even if every open mark before it
+    is accepted (and revokes nothing) is accepted, one that closes a loop even if no open
+    mark before it adds an edge (and each revokes) is refused. The first open mark of every
+    loop is always decided, so rounds go on until none is open; two do where loops do not
+    hang together.
+    """
+    turn = F.struct(F.col("line_no").cast("long").alias("line"), F.col("__mark").alias("n"))
+    rows = cut(marks.select("hub_id", "__mark", turn.alias("turn"), "memory_id", "decision", "replacement_ids"))
+    none = F.array().cast("array<string>")
+    start, end = (F.struct(F.lit(x).cast("long").alias("line"), F.lit(x).cast("long").alias("n")) for x in (-(1 << 62), 1 << 62))
+    fixed = structural_edges(memories).select("hub_id", "src", "dst", start.alias("since"), end.alias("until"))
+    old = latest_events(events).where("decision = 'superseded'").select("hub_id", "memory_id", start.alias("since"), F.coalesce("replacement_ids", none).alias("to"))
+    state = cut(rows.select("__mark", F.lit("open").alias("state")))
+    while not state.where("state = 'open'").isEmpty():
+        now = rows.join(state, "__mark")
+        decided = {}
+        for hopeful in (True, False):
+            adds = now.where("state in ('open', 'accepted')" if hopeful else "state = 'accepted'")
+            ends = now.where("state = 'accepted'" if hopeful else "state in ('open', 'accepted')").select("hub_id", "memory_id", F.col("turn").alias("at"), F.lit(False).alias("edge"), none.alias("to"))
+            own = adds.where("decision = 'superseded'").select("hub_id", "memory_id", F.col("turn").alias("since"), F.coalesce("replacement_ids", none).alias("to"))
+            spans = old.union(own).select("hub_id", "memory_id", F.col("since").alias("at"), F.lit(True).alias("edge"), "to").union(ends)
+            # an edge ends with the next mark on its memory; in this order a mark's edges come before its own end
+            order = Window.partitionBy("hub_id", "memory_id").orderBy(F.desc("at"), F.desc("edge"))
+            spans = spans.withColumn("next", F.min(F.when(~F.col("edge"), F.col("at"))).over(order.rowsBetween(Window.unboundedPreceding, -1))).where("edge")
+            edges = spans.select("hub_id", F.col("memory_id").alias("src"), F.explode("to").alias("dst"), F.col("at").alias("since"), F.coalesce("next", end).alias("until"))
+            open_ = now.where("state = 'open' and decision = 'superseded'").select("hub_id", "__mark", "turn", F.col("memory_id").alias("home"), F.explode("replacement_ids").alias("node"))
+            decided[hopeful] = returning(open_, cut(fixed.union(edges)))
+        maybe, surely = (decided[h].select("__mark", F.lit(True).alias(n)) for h, n in ((True, "__maybe"), (False, "__surely")))
+        new = F.when(F.col("state") != "open", F.col("state")).when(F.col("__maybe").isNull(), "accepted").when(F.col("__surely"), "refused").otherwise("open")
+        state = cut(state.join(maybe, "__mark", "left").join(surely, "__mark", "left").select("__mark", new.alias("state")))
+    return state.where("state = 'refused'").select("__mark")
+
+
+def returning(open_: DataFrame, edges: DataFrame) -> DataFrame:
+    """``__mark`` of the rows (hub_id, __mark, turn, home, node) from whose node a way leads to ``home`` over edges that hold at ``turn``."""
+    both = cut(trimmed(edges.select("hub_id", "src", "dst").union(open_.select("hub_id", F.col("home").alias("src"), F.col("node").alias("dst"))).distinct()))
+    core = cut(edges.join(both, ["hub_id", "src", "dst"], "left_semi"))
+    seen = frontier = cut(open_.join(both.select("hub_id", F.col("src").alias("node")).distinct(), ["hub_id", "node"], "left_semi").distinct())
+    while not frontier.isEmpty():
+        step = frontier.where("node <> home").withColumnRenamed("node", "src").join(core, ["hub_id", "src"])
+        found = step.where((F.col("since") < F.col("turn")) & (F.col("turn") <= F.col("until"))).select(*open_.columns[:4], F.col("dst").alias("node")).distinct()
+        frontier = cut(found.join(seen, ["__mark", "node"], "left_anti").select(*seen.columns))
+        seen = cut(seen.union(frontier))
+    return seen.where("node = home").select("__mark").distinct()
+
+
+EVENT = "hub_id string, id string, memory_id string, decision string, reason string, ts string, source_session_ids array<string>, source_event_ids array<string>, replacement_ids array<string>, reverses string, target struct<session_id:string,event_id:string>, line_no long"
+
+
+def stored_events(spark: SparkSession, root: str, without: str | None = None) -> DataFrame:
+    """The decision log in ``root``; ``without`` leaves one batch out."""
+    if not versions.exists(spark, f"{root}/decision_events"):
+        return spark.createDataFrame([], EVENT)
+    rows = spark.read.schema(EVENT + ", batch string").parquet(f"{root}/decision_events")
+    return (rows if without is None else rows.where(F.col("batch") != without)).drop("batch")
+
+
+def record_marks(marks: DataFrame, memories: DataFrame, root: str, batch: str) -> DataFrame:
+    """Check a batch of marks in order and append the accepted ones, with ids, to the log in ``root``; returns all with ``problem`` and ``id``.
+
+    ``batch`` names the batch: run again after a stop, it replaces what it wrote and is
+    checked against the log as it was before it. Marks without an instant get the time
+    of the run.
+    """
+    spark = marks.sparkSession
+    before = cut(stored_events(spark, root, batch))
+    checked = cut(check_marks(marks, memories, before))
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    named = cut(mark_ids(checked.where("problem is null"), before))
+    out = named.withColumn("ts", F.coalesce("ts", stamp)).withColumn("batch", F.lit(batch))
+    out.select(*(c.split()[0] for c in EVENT.split(", ")), "batch").coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{root}/decision_events")
+    return named.unionByName(checked.where("problem is not null"), allowMissingColumns=True)
 
 
 def mark_ids(marks: DataFrame, events: DataFrame) -> DataFrame:

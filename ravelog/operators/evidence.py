@@ -2,59 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
+from .numbering import numbered
 
 EVERY_CLAIM = tuple(w for words in T.CLAIM.values() for w in words)
 
 
+# How many texts of each kind a record keeps, at evenly spaced ranks.
+KEPT = {"goal": 5, "action": 12, "result": 8, "step": 5}
+MOST_FILES = 80
+
+
+def evenly(rank: Column, n: Column, limit: Column) -> Column:
+    """Whether row ``rank`` (from 1) of ``n`` is one of ``limit`` evenly spaced ones, first and last included (half rounds to even)."""
+    at = F.transform(F.sequence(F.lit(0), limit - 1), lambda i: F.bround(i * (n - 1) / (limit - 1).cast("double")) + 1)
+    return (n <= limit) | F.array_contains(at, rank.cast("double"))
+
+
 def build_evidence(events: DataFrame, by: tuple[str, ...] = ("hub_id", "day", "session_id")) -> DataFrame:
     """Goals, actions, results, next steps, status, tools, files and sources of each session and day.
 
-    Texts are clipped before they are gathered, so one group holds at most a session's
-    clipped texts. Statuses are claims of the source, never verified: the latest
-    deciding clause in order of the raw timestamp wins. Rows without an id get one from their fields.
+    Texts are chosen by rank before any is gathered, so a session of any size gives at most
+    30 clipped texts and 80 files; only the ids of its events are listed whole. Statuses are
+    claims of the source, never verified: the latest deciding clause in order of the raw
+    timestamp wins. Rows without an id get one from their fields.
     """
     useful = T.useful(F.col("text"))
+    said = F.when((F.col("role") == "assistant") & (useful != ""), T.clip(useful, 700))
     row = events.select(
         *by,
         F.struct("line_no", "event_id").alias("at"),
         F.coalesce("ts_raw", F.lit("")).alias("stamp"),
-        "role",
         F.when((F.col("role") == "user") & (useful != ""), T.clip(useful, 500)).alias("goal"),
-        F.when((F.col("role") == "assistant") & (useful != ""), T.clip(useful, 700)).alias("said"),
+        said.alias("said"),
         "agent", "model", "cwd", "ts_raw", "source_file",
         F.coalesce(F.when(F.col("event_id") != "", F.col("event_id")), ids.fallback_event_id(F.col("session_id"), F.col("ts_raw"), F.col("role"), F.col("text"), F.col("line_no"))).alias("id"),
         F.transform(F.coalesce("tool_uses", F.array()), lambda t: t["name"]).alias("tool_names"),
         F.flatten(F.transform(F.coalesce("tool_uses", F.array()), lambda t: T.file_tokens(t["input_summary"]))).alias("tool_files"),
     )
-    ordered = lambda value, *key: F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(*key, F.col(value).alias("v"))))), lambda x: x["v"])
+    keys = list(by)
+    low = F.lower("said")
+    uses = {"goal": F.col("goal").isNotNull(), "action": F.length("said") >= 60, "result": T.contains_any(low, EVERY_CLAIM), "step": T.contains_any(low, T.CLAIM["in_progress"])}
+    limits = F.create_map(*(F.lit(x) for pair in KEPT.items() for x in pair))
+    kinds = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in uses.items())), lambda k: k.isNotNull())
+    texts = numbered(row.select(*by, "at", F.coalesce("goal", "said").alias("text"), F.explode(kinds).alias("kind")), [*by, "kind"], [F.col("at")], "rank")
+    sizes = texts.groupBy(*by, "kind").agg(F.max("rank").alias("n"))
+    chosen = texts.join(sizes, [*by, "kind"]).where(evenly(F.col("rank"), F.col("n"), F.element_at(limits, F.col("kind"))))
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "text")))), lambda x: x["text"])
+    lists = chosen.groupBy(*by).agg(of("goal").alias("goals"), of("action").alias("actions"), of("result").alias("results"), of("step").alias("next_steps"))
+    shown = chosen.where("kind = 'goal'").select(*by, F.explode(T.file_tokens(F.col("text"))).alias("file"))
+    files = shown.union(row.select(*by, F.explode(T.file_tokens(F.col("said"))))).union(row.select(*by, F.explode("tool_files"))).distinct()
+    first = Window.partitionBy(*by).orderBy("file")
+    files = files.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= MOST_FILES).groupBy(*by).agg(F.array_sort(F.collect_list("file")).alias("files"))
+    claims = row.where("said is not null").select(*by, "stamp", "at", T.last_claim(F.col("said")).alias("claim")).where("claim is not null")
+    status = claims.groupBy(*by).agg(F.max_by("claim", F.struct("stamp", "at")).alias("status"))
     grouped = row.groupBy(*by).agg(
-        ordered("goal", "at").alias("all_goals"),
-        ordered("said", "at").alias("texts"),
-        ordered("said", "stamp", "at").alias("claims"),
-        ordered("id", "at").alias("source_event_ids"),
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("source_event_ids"),
         F.min_by("agent", "at").alias("agent"), F.min_by("model", "at").alias("model"), F.min_by("cwd", "at").alias("cwd"), F.min_by("source_file", "at").alias("source_file"),
         F.min("ts_raw").alias("started_at"), F.max("ts_raw").alias("ended_at"),
-        F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list("tool_names")), lambda n: n.isNotNull() & (n != "")))).alias("tools"),
-        F.flatten(F.collect_list("tool_files")).alias("tool_files"),
     )
-    low = lambda t: F.lower(t)
-    goals = T.spread(F.col("all_goals"), 5)
-    actions = T.spread(F.filter("texts", lambda t: F.length(t) >= 60), 12)
-    results = T.spread(F.filter("texts", lambda t: T.contains_any(low(t), EVERY_CLAIM)), 8)
-    steps = T.spread(F.filter("texts", lambda t: T.contains_any(low(t), T.CLAIM["in_progress"])), 5)
-    out = grouped.withColumns({"goals": goals, "actions": actions, "results": results, "next_steps": steps, "status": T.claimed_status(F.col("claims"))})
-    files = F.concat(F.flatten(F.transform(F.concat("goals", "texts"), T.file_tokens)), F.col("tool_files"))
+    tools = row.select(*by, F.explode("tool_names").alias("tool")).where("tool <> ''").groupBy(*by).agg(F.array_sort(F.collect_set("tool")).alias("tools"))
+    out = grouped
+    for part in (lists, files, status, tools):
+        out = out.join(part, keys, "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("goals", "actions", "results", "next_steps", "files", "tools")}).withColumn("status", F.coalesce("status", F.lit("in_progress")))
     period = F.col("day").cast("string") if "day" in by else F.lit(None).cast("string")
     return out.select(
         ids.evidence_id(period, F.col("session_id"), F.col("source_event_ids")).alias("id"), *by,
         "agent", "model", "cwd", "started_at", "ended_at", "goals", "actions", "results", "next_steps", "status",
         F.lit("latest_source_claim_unverified").alias("status_basis"), F.lit(False).alias("semantic_verified"),
-        "tools", F.slice(F.array_sort(F.array_distinct(files)), 1, 80).alias("files"), "source_event_ids", "source_file",
+        "tools", "files", "source_event_ids", "source_file",
         F.when((F.size("goals") > 0) & (F.size("actions") > 0), 0.65).otherwise(0.45).alias("confidence"),
     )
 

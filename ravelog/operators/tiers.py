@@ -7,9 +7,11 @@ other content are conflicts and never merged silently.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 FILE = ("hub_id", "day", "file")
 
 
@@ -58,10 +60,9 @@ def prefix_merge(archived: DataFrame, arriving: DataFrame) -> DataFrame:
     named = have.union(fresh.select(*FILE, "event_id", "__digest")).where("event_id <> ''")
     clash = named.groupBy(*FILE, "event_id").agg(F.count_distinct("__digest").alias("n")).where("n > 1").select(*FILE).distinct().withColumn("__clash", F.lit(True))
     top = archived.groupBy(*FILE).agg(F.max("line_no").alias("__top"))
-    order = Window.partitionBy(*FILE).orderBy("line_no")
-    fresh = fresh.join(clash, list(FILE), "left").join(top, list(FILE), "left")
-    fresh = fresh.withColumn("line_no", F.when(F.col("__clash"), F.col("line_no")).otherwise(F.coalesce("__top", F.lit(0)) + F.row_number().over(order)))
-    fresh = fresh.withColumn("state", F.when(F.col("__clash"), "conflict").otherwise("appended")).drop("__digest", "__clash", "__top")
+    fresh = numbered(fresh.join(clash, list(FILE), "left").join(top, list(FILE), "left"), list(FILE), [F.col("line_no"), F.col("__digest")], "__nth")
+    fresh = fresh.withColumn("line_no", F.when(F.col("__clash"), F.col("line_no")).otherwise(F.coalesce("__top", F.lit(0)) + F.col("__nth")))
+    fresh = fresh.withColumn("state", F.when(F.col("__clash"), "conflict").otherwise("appended")).drop("__digest", "__clash", "__top", "__nth")
     return archived.withColumn("state", F.lit("archived")).unionByName(fresh)
 
 
@@ -128,7 +129,7 @@ def report_text(hot: DataFrame, cold: DataFrame) -> DataFrame:
     return both.select(*FILE, F.coalesce("h", "c").alias("body"), F.when(F.col("h").isNotNull(), "hot").otherwise("cold").alias("tier"), overlay.alias("overlay"), F.when(overlay, F.col("c")).alias("cold_body"))
 
 
-def archivable(months: DataFrame, today: F.Column, grace_days: int = 7) -> DataFrame:
+def archivable(months: DataFrame, today: Column, grace_days: int = 7) -> DataFrame:
     """Months (hub_id, month 'yyyy-MM') that ended more than ``grace_days`` ago and are not the current one."""
     end = F.last_day(F.to_date(F.concat("month", F.lit("-01"))))
     return months.where((F.col("month") < F.date_format(today, "yyyy-MM")) & (F.date_add(end, grace_days) < today))

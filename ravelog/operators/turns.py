@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .activity import with_priority
+from .numbering import numbered
 
 SESSION = ("hub_id", "session_id")
 
@@ -58,8 +59,8 @@ def round_robin(events: DataFrame) -> DataFrame:
     base = base.withColumn("__first", first)
     queue = Window.partitionBy("hub_id", "day", "agent", "session_id").orderBy(F.desc("priority"), "ts", "line_no")
     base = base.withColumn("pass", F.row_number().over(queue))
-    order = Window.partitionBy("hub_id", "day").orderBy("pass", "__first", "agent", "session_id")
-    return base.withColumn("turn_order", F.row_number().over(order)).drop("__first")
+    order = [F.col("pass"), F.col("__first"), F.col("agent"), F.col("session_id")]
+    return numbered(base, ["hub_id", "day"], order, "turn_order").drop("__first")
 
 
 def fill_forward(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

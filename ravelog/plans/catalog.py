@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import text as T
 from ..operators import activity as act
-from ..operators import decisions, evidence, graph, quality, reports, retention, tiers, turns
+from ..operators import decisions, evidence, graph, packing, quality, reports, retention, tiers, turns
 from . import adapters as A
 from . import retrieval as R
+from . import stored_index as X
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,7 +106,7 @@ def sc_locator(spark, d):
 
 @register("sc_row_cost", f"""with {A.TURNS} select event_id, cast(least(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 400) + coalesce(length(tool), 0) + 80 as bigint) as cost from turns""")
 def sc_row_cost(spark, d):
-    return A.turns(spark, d).select("event_id", reports.row_cost(F.col("text"), F.col("tool_uses")).alias("cost"))
+    return A.turns(spark, d).select("event_id", packing.row_cost(F.col("text"), F.col("tool_uses")).alias("cost"))
 
 
 @register("sc_priority", f"""with {A.TURNS} select event_id, cast(case when trim(text) = '' and tool is null then 0 when role = 'assistant' and length(trim(text)) >= 80 then 4 when role = 'user' and trim(text) <> '' then 3 when tool is not null then 2 else 1 end as bigint) as priority from turns""")
@@ -162,7 +165,8 @@ LEXICAL = f"""{A.ASKED}, {A.QUERY_TOKENS}, {A.TOKENS}, nd as (select count(*) as
 
 
 def lexical(spark, d) -> DataFrame:
-    return R.lexical(A.corpus(spark, d, dated=False), R.prepared(A.asked(spark, d)), synonyms=False)
+    docs, q = A.corpus(spark, d, dated=False), R.prepared(A.asked(spark, d))
+    return R.lexical(R.index_of(docs), q, R.phrase_hits(docs, q), synonyms=False)
 
 
 @register("ret_bm25", f"with {LEXICAL} select query_id, doc_id, round(lexical, 4) as lexical from scored qualify row_number() over (partition by query_id order by round(lexical, 4) desc, doc_id) <= 20")
@@ -250,12 +254,29 @@ def ret_delivery(spark, d):
     return rows.groupBy("query_id", "delivery").agg(F.count("*").alias("hits"))
 
 
-@register("ret_parity", "select 'none' as side, 0 as query_id where false")
+OLD = "doc_id % 7 <> 3"
+STALE_SEARCH = re.sub(r"\bdocuments\b", "old_documents", SEARCH)
+
+
+@register("ret_parity", f"""with now as (with {SEARCH} select query_id, cast(rank as bigint) as rank, doc_id, score from ranked where rank <= 8),
+  then_ as (with old_documents as (select * from documents where {OLD}), {STALE_SEARCH} select query_id, cast(rank as bigint) as rank, doc_id, score from ranked where rank <= 8)
+  select 'first' as side, * from (select * from now except all select * from then_) union all select 'second', * from (select * from then_ except all select * from now)""")
 def ret_parity(spark, d):
-    docs, q = A.corpus(spark, d, dated=False), A.asked(spark, d)
-    scan = R.search(docs, q, synonyms=False)
-    indexed = R.search(docs, q, synonyms=False, use_postings=graph.cut(R.postings(docs)))
-    return R.parity(scan, indexed).select("side", F.col("query_id").cast("int").alias("query_id"))
+    """What a search through an index that missed its last refresh gives differently from a scan."""
+    docs, q, root = A.corpus(spark, d, dated=False), A.asked(spark, d), f"{graph.shared_folder(spark)}/stale-{uuid.uuid4().hex}"
+    R.refresh_index(docs.where(OLD), root)
+    stale = R.search(docs.where(OLD), q, synonyms=False, index=X.opened(spark, root))
+    rows = R.parity(R.search(docs, q, synonyms=False), stale)
+    return rows.select("side", "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+@register("ret_indexed", f"with {SEARCH} select query_id, cast(rank as bigint) as rank, doc_id, score from ranked where rank <= 8")
+def ret_indexed(spark, d):
+    """Search through a stored index that was built without the newest rows and refreshed since."""
+    docs, q, root = A.corpus(spark, d, dated=False), A.asked(spark, d), f"{graph.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    R.refresh_index(docs.where(OLD), root)
+    R.refresh_index(docs, root)
+    return R.search(docs, q, synonyms=False, index=X.opened(spark, root)).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 def recency_rows(spark, d, kind, half_life=None, symmetric=None) -> DataFrame:
@@ -279,12 +300,8 @@ def ret_recency(spark, d):
 def ret_scope(spark, d):
     q = A.asked(spark, d).withColumn("cwd", F.concat(F.lit("src"), F.col("query_id") % 20)).withColumn("agent", F.lit("en"))
     rows = R.search(A.corpus(spark, d, dated=False), q.withColumn("lim", F.lit(1 << 30)), synonyms=False)
-    hits = R.phrase_hits(A.corpus(spark, d), A.asked(spark, d).withColumn("phrase", F.col("text")))
-    full = hits.join(A.corpus(spark, d, dated=False), ["hub_id", "doc_id"]).join(q.select("hub_id", "query_id", F.col("cwd").alias("q_cwd")), ["hub_id", "query_id"])
-    same = F.col("cwd") == F.col("q_cwd")
-    scored = rows.select("query_id", "doc_id", "scope", F.col("explain.scope_agent").alias("bonus"))
-    plain = full.select("query_id", "doc_id", F.when(same, "cwd").otherwise("cross_project").alias("scope0"), (F.when(same, 3.0).otherwise(0.0) + F.when(F.col("agent") == "en", 1.0).otherwise(0.0)).alias("bonus0"))
-    return plain.join(scored, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("scope", "scope0").alias("scope"), F.coalesce("bonus", "bonus0").alias("bonus"))
+    hits = R.phrase_hits(A.corpus(spark, d), A.asked(spark, d).withColumn("phrase", F.col("text"))).drop("hub_id")
+    return hits.join(rows, ["query_id", "doc_id"]).select("query_id", "doc_id", "scope", F.col("explain.scope_agent").alias("bonus"))
 
 
 @register("join_scope_fallback", f"""with {SEARCH}, c as (select r.query_id, r.doc_id, r.path, coverage, score from ranked r), s as (select *, path = 'src' || (query_id % 20) as own, round(score + case when path = 'src' || (query_id % 20) then 3.0 * 0.7 * case when delivery = 'planned' and (coverage >= 0.5 or phrase > 0) then 0.7 else 1.0 end else 0.0 end, 3) as total from (select r.*, 1 as one_ from ranked r)),
@@ -332,7 +349,7 @@ def ret_echo(spark, d):
     t = A.turns(spark, d)
     q = t.where("role = 'user'").select(T.squeeze(F.col("text")).alias("one")).where("one <> ''").distinct()
     rows = t.withColumn("one", T.squeeze(F.col("text"))).join(q, "one")
-    return rows.where(R.is_echo(F.col("role"), F.lit("session"), F.col("text"), F.col("one"))).select("event_id")
+    return rows.where(R.is_echo(F.col("role"), F.lit("session"), F.sha1("one"), F.col("one"))).select("event_id")
 
 
 @register("ret_sufficiency", f"with {SEARCH} select query_id, case when delivery = 'planned' then 'thin' when coverage >= 0.65 then 'sufficient' else 'thin' end as sufficiency from ranked where rank = 1")
@@ -405,19 +422,32 @@ def src_corpus(spark, d):
     return R.corpus(spark, session=session, report=report, memory=memory).groupBy("source").agg(F.count("*").alias("documents"), F.count_distinct("path").alias("paths"))
 
 
-@register("sink_index_refresh", "select cast(date '2024-01-01' + cast(doc_id % 60 as integer) as varchar) as day, count(*) as documents from documents where doc_id % 60 in (select doc_id % 60 from documents where doc_id % 600 = 7) group by 1")
+BEFORE = "doc_id % 600 <> 7 and doc_id % 60 <> 3"
+AFTER = "doc_id % 60 <> 5"
+DAYS = """p as (select doc_id % 60 as k, doc_id, term, tf from postings right join documents using (doc_id)),
+  sizes as (select k, count(distinct doc_id) as documents, count(term) as postings, cast(coalesce(sum(tf), 0) as bigint) as tokens from p where k <> 5 group by 1),
+  moves as (select doc_id % 60 as k, case when doc_id % 60 = 3 then 'new' when doc_id % 60 = 5 then 'removed' when bool_or(doc_id % 600 = 7) then 'changed' else 'kept' end as state from documents group by 1)"""
+
+
+def refreshed(spark, d) -> tuple[DataFrame, str]:
+    """An index of the corpus as it was, brought up to what it is: one day is new, one is gone, some have grown."""
+    docs, root = A.corpus(spark, d), f"{graph.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    R.refresh_index(docs.where(BEFORE), root)
+    return R.refresh_index(docs.where(AFTER), root), root
+
+
+@register("sink_index_refresh", f"""with {A.TOKENS}, {DAYS} select cast(date '2024-01-01' + cast(k as integer) as varchar) as day, state, coalesce(documents, 0) as documents, coalesce(postings, 0) as postings, coalesce(tokens, 0) as tokens from moves left join sizes using (k)""")
 def sink_index_refresh(spark, d):
-    docs = A.corpus(spark, d)
-    now = tiers.fingerprint(docs, ["hub_id", "day"], ["doc_id", "text"])
-    before = docs.where("doc_id % 600 <> 7")
-    changed = R.changed_buckets(now, tiers.fingerprint(before, ["hub_id", "day"], ["doc_id", "text"]))
-    rebuilt = R.index_status(R.postings(docs.join(changed.select("hub_id", "day"), ["hub_id", "day"], "left_semi")))
-    return rebuilt.select(day().alias("day"), F.col("documents"))
+    return refreshed(spark, d)[0].select(day().alias("day"), "state", "documents", "postings", "tokens")
 
 
-@register("agg_index_status", f"with {A.TOKENS} select cast(date '2024-01-01' + cast(doc_id % 60 as integer) as varchar) as day, count(distinct doc_id) as documents, count(*) as postings, cast(sum(tf) as bigint) as tokens from postings group by 1")
+@register("agg_index_status", f"""with {A.TOKENS}, pd as (select date '2024-01-01' + cast(doc_id % 60 as integer) as day, * from postings join lengths using (doc_id) where doc_id % 60 <> 5)
+  select cast(day as varchar) as day, term, count(*) as df, cast(sum(tf) as bigint) as tf, cast(sum(length) as bigint) as lengths from pd group by all""")
 def agg_index_status(spark, d):
-    return R.index_status(R.postings(A.corpus(spark, d))).select(day().alias("day"), "documents", "postings", "tokens")
+    """The stored postings after a refresh, by day and term: read back, beside the frequencies that the index keeps of them."""
+    index = X.opened(spark, refreshed(spark, d)[1])
+    rows = index.postings.where("term is not null").groupBy("day", "term").agg(F.sum("tf").alias("tf"), F.sum("length").alias("lengths"))
+    return rows.join(index.terms.groupBy("day", "term").agg(F.sum("df").alias("df")), ["day", "term"], "full_outer").select(day().alias("day"), "term", "df", "tf", "lengths")
 
 
 # ---------------------------------------------------------------- filters
@@ -783,11 +813,23 @@ def records(spark, d) -> DataFrame:
     return evidence.build_evidence(A.turns(spark, d))
 
 
-@register("agg_evidence", f"""with {A.TURNS} select hub_id, cast(day as varchar) as day, session_id, cast(least(5, count(*) filter (role = 'user' and trim(text) <> '')) as bigint) as goals,
-  cast(least(12, count(*) filter (role = 'assistant' and length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 60)) as bigint) as actions, count(*) as sources, count(distinct tool) as tools from turns group by 1, 2, 3""")
+RECORDS = rf"""{A.TURNS}, said as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as one from turns where trim(text) <> ''),
+  rows_ as (select hub_id, day, session_id, line_no, event_id, 'goals' as kind, 5 as most, case when length(one) <= 500 then one else substr(one, 1, 500) || '…' end as t from said where role = 'user'
+    union all select hub_id, day, session_id, line_no, event_id, kind, most, t from (select *, case when length(one) <= 700 then one else substr(one, 1, 700) || '…' end as t from said where role = 'assistant'),
+      (values ('actions', 12), ('results', 8), ('next_steps', 5)) k(kind, most)
+      where kind = 'actions' and length(t) >= 60 or kind = 'results' and regexp_matches(lower(t), 'blocked|todo') or kind = 'next_steps' and contains(lower(t), 'todo')),
+  ranked_ as (select *, row_number() over (partition by hub_id, day, session_id, kind order by line_no, event_id) - 1 as r, count(*) over (partition by hub_id, day, session_id, kind) as n from rows_),
+  chosen_ as (select * from ranked_ where n <= most or list_contains(list_transform(range(most), lambda i: round_even(i * (n - 1) / (most - 1), 0)), r))"""
+
+
+@register("agg_evidence", rf"""with {RECORDS}, texts as (select hub_id, day, session_id, kind, string_agg(t, chr(10) order by r) as body from chosen_ group by all),
+  sides as (select hub_id, day, session_id, string_agg(event_id, ',' order by line_no, event_id) as sources, coalesce(array_to_string(list_sort(list_distinct(list(tool))), ','), '') as tools, min(ts) as started, max(ts) as ended from turns group by 1, 2, 3)
+  select s.hub_id, cast(s.day as varchar) as day, s.session_id, coalesce(max(body) filter (kind = 'goals'), '') as goals, coalesce(max(body) filter (kind = 'actions'), '') as actions, coalesce(max(body) filter (kind = 'results'), '') as results,
+    coalesce(max(body) filter (kind = 'next_steps'), '') as next_steps, any_value(sources) as sources, any_value(tools) as tools, strftime(any_value(started), '%Y-%m-%dT%H:%M:%S') as started_at, strftime(any_value(ended), '%Y-%m-%dT%H:%M:%S') as ended_at
+  from sides s left join texts t on s.hub_id = t.hub_id and s.day = t.day and s.session_id = t.session_id group by 1, 2, 3""")
 def agg_evidence(spark, d):
-    n = lambda c: F.size(c).cast("long").alias(c)
-    return records(spark, d).select("hub_id", day().alias("day"), "session_id", n("goals"), n("actions"), F.size("source_event_ids").cast("long").alias("sources"), n("tools"))
+    text = lambda c, by="\n": F.array_join(c, by).alias(c)
+    return records(spark, d).select("hub_id", day().alias("day"), "session_id", *(text(c) for c in ("goals", "actions", "results", "next_steps")), F.array_join("source_event_ids", ",").alias("sources"), text("tools", ","), "started_at", "ended_at")
 
 
 @register("sink_evidence", f"with {A.TURNS} select count(*) as records from (select distinct hub_id, day, session_id from turns where day = date '2024-01-05')")
@@ -847,7 +889,7 @@ def rep_work_items(spark, d):
 
 
 def packed(spark, d) -> DataFrame:
-    return reports.pack(A.turns(spark, d))
+    return packing.pack(A.turns(spark, d))
 
 
 @register("pack_fair")

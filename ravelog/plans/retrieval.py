@@ -13,13 +13,15 @@ a class is joined to the corpus by hub and day, never by a cross product.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import stored_index as X
+from .stored_index import NO_DAY
 
 # Weights of the score.
 K1, B = 1.2, 0.75
@@ -57,8 +59,6 @@ NOT_DONE = (
     r"(?i)(?:尚未|还没|并未|未曾|未|没有)(?:完成|生成|创建|交付|保存|写好)"
     r"|\b(?:not|never|isn't|wasn't)\s+(?:yet\s+)?(?:completed|done|created|generated|delivered|saved)\b"
 )
-# Sentinel day of rows without a day; every class sees it.
-NO_DAY = "0001-01-01"
 CLASS = ("hub_id", "as_of", "ref_day", "days", "f_agent", "f_source", "f_date", "exclude_session")
 
 
@@ -86,24 +86,22 @@ def corpus(spark: SparkSession, **tables: DataFrame) -> DataFrame:
 # ---- tokens and statistics
 
 
-def postings(docs: DataFrame, tokenizer: Callable[[Column], Column] = T.tokenize) -> DataFrame:
-    """hub_id, day, doc_id, term, tf, length. Counted inside each row, so nothing is shuffled."""
-    tokens = docs.select("hub_id", "day", "doc_id", tokenizer(F.col("text")).alias("tokens"))
-    terms = tokens.select("hub_id", "day", "doc_id", F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("term"))
-    return terms.groupBy("hub_id", "day", "doc_id", "term", "length").agg(F.count("*").alias("tf")).select("hub_id", "day", "doc_id", "term", "tf", "length")
+def postings(docs: DataFrame) -> DataFrame:
+    """hub_id, day, doc_id, term, tf, length. Counted where a document is read, so nothing is shuffled."""
+    return X.posted(docs).where("term is not null").select("hub_id", F.nullif("day", F.lit(NO_DAY).cast("date")).alias("day"), "doc_id", "term", "tf", "length")
 
 
-def document_lengths(docs: DataFrame, tokenizer: Callable[[Column], Column] = T.tokenize) -> DataFrame:
-    return docs.select("hub_id", "day", "doc_id", F.size(tokenizer(F.col("text"))).cast("long").alias("length"))
+def document_lengths(docs: DataFrame) -> DataFrame:
+    return X.posted(docs).where("term is null").select("hub_id", F.nullif("day", F.lit(NO_DAY).cast("date")).alias("day"), "doc_id", "length")
 
 
-def query_terms(queries: DataFrame, synonyms: bool = True, tokenizer: Callable[[Column], Column] = T.tokenize) -> DataFrame:
+def query_terms(queries: DataFrame, synonyms: bool = True) -> DataFrame:
     """hub_id, query_id, term, weight (how often the query holds it, synonyms added), strong (no single CJK character)."""
-    own = queries.select("hub_id", "query_id", F.explode(tokenizer(F.col("text"))).alias("term"))
+    own = queries.select("hub_id", "query_id", F.explode(T.tokenize(F.col("text"))).alias("term"))
     if synonyms:
         spark = queries.sparkSession
         words = spark.createDataFrame([(w, s) for w, more in SYNONYMS.items() for s in more], "word string, adds string")
-        hooks = words.select(F.explode(F.array_distinct(tokenizer(F.col("word")))).alias("term"), "adds")
+        hooks = words.select(F.explode(F.array_distinct(T.tokenize(F.col("word")))).alias("term"), "adds")
         own = own.union(own.join(F.broadcast(hooks), "term").select("hub_id", "query_id", F.col("adds").alias("term")))
     strong = (F.length("term") >= 2) | ~F.col("term").rlike("^" + T.CJK)
     return own.groupBy("hub_id", "query_id", "term").agg(F.count("*").alias("weight")).withColumn("strong", strong)
@@ -119,25 +117,44 @@ def classes(queries: DataFrame) -> DataFrame:
     return q.withColumn("class_id", key)
 
 
-def eligible(docs: DataFrame, classed: DataFrame) -> DataFrame:
-    """hub_id, class_id, doc_id of the documents that each class may see.
+def class_days(classed: DataFrame, last: DataFrame) -> DataFrame:
+    """Each class with every day it may see: window start to the hub's last day, and the sentinel of undated rows.
 
-    A class lists its days (window start to the corpus's last day, and the sentinel of
-    undated rows), so the join is on hub and day. An instant must lie before the
-    cutoff; a row with a day only must be of an earlier day; timeless rows stay.
+    ``last`` has hub_id and __last. Every class sees ``NO_DAY``.
     """
     one = classed.select("class_id", *CLASS).distinct()
-    last = docs.groupBy("hub_id").agg(F.max("day").alias("__last"))
     start = F.date_sub("ref_day", F.greatest(F.col("days") - 1, F.lit(0)))
     stop = F.greatest(F.col("__last"), start)
-    spans = one.join(last, "hub_id").withColumn("__day", F.explode(F.concat(F.sequence(start, stop), F.array(F.lit(NO_DAY).cast("date")))))
-    d = docs.select("hub_id", "doc_id", F.coalesce("day", F.lit(NO_DAY).cast("date")).alias("__day"), "day", "instant", "agent", "source", "session_id")
-    same = lambda f, c: F.col(f).isNull() | F.coalesce(F.col(c) == F.col(f), F.lit(False))
-    d = d.withColumnsRenamed({"agent": "d_agent", "source": "d_source", "session_id": "d_session"})
-    in_time = F.col("as_of").isNull() | F.when(F.col("instant").isNotNull(), F.col("instant") < F.col("as_of")).when(F.col("day").isNull(), True).otherwise(F.col("day") < F.to_date("as_of"))
-    on_day = F.col("f_date").isNull() | F.coalesce(F.col("day").cast("string") == F.col("f_date"), F.lit(False))
-    other = F.col("exclude_session").isNull() | ~F.coalesce(F.col("d_session") == F.col("exclude_session"), F.lit(False))
-    return d.join(spans, ["hub_id", "__day"]).where(in_time & same("f_agent", "d_agent") & same("f_source", "d_source") & on_day & other).select("hub_id", "class_id", "doc_id")
+    return one.join(last, "hub_id").withColumn("__day", F.explode(F.concat(F.sequence(start, stop), F.array(F.lit(NO_DAY).cast("date"))))).drop("__last")
+
+
+def admitted(instant: Column, day: Column, agent: Column, source: Column, session: Column) -> Column:
+    """Whether a class (its columns by name) may see a row of a day it lists.
+
+    An instant must lie before the cutoff; a row with a day only must be of an earlier
+    day; timeless rows stay.
+    """
+    same = lambda f, c: F.col(f).isNull() | F.coalesce(c == F.col(f), F.lit(False))
+    in_time = F.col("as_of").isNull() | F.when(instant.isNotNull(), instant < F.col("as_of")).when(day.isNull(), True).otherwise(day < F.to_date("as_of"))
+    on_day = F.col("f_date").isNull() | F.coalesce(day.cast("string") == F.col("f_date"), F.lit(False))
+    other = F.col("exclude_session").isNull() | ~F.coalesce(session == F.col("exclude_session"), F.lit(False))
+    return in_time & same("f_agent", agent) & same("f_source", source) & on_day & other
+
+
+def admits() -> Column:
+    """``admitted`` for rows of an index beside a class (the index's columns renamed by ``beside``)."""
+    return admitted(F.col("d_instant"), F.nullif("__day", F.lit(NO_DAY).cast("date")), F.col("d_agent"), F.col("d_source"), F.col("d_session"))
+
+
+def beside(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({"day": "__day", "instant": "d_instant", "agent": "d_agent", "source": "d_source", "session_id": "d_session"})
+
+
+def eligible(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """hub_id, class_id, doc_id of the documents that each class may see, joined on hub and day."""
+    last = docs.groupBy("hub_id").agg(F.max("day").alias("__last"))
+    d = beside(docs.select("hub_id", "doc_id", F.coalesce("day", F.lit(NO_DAY).cast("date")).alias("day"), "instant", "agent", "source", "session_id"))
+    return d.join(class_days(classed, last), ["hub_id", "__day"]).where(admits()).select("hub_id", "class_id", "doc_id")
 
 
 # ---- scoring parts
@@ -185,15 +202,34 @@ def _phrase_block(docs: DataFrame, rows: list[tuple], query_kind: str) -> DataFr
     return docs.select("hub_id", "doc_id", "text").mapInArrow(run, f"hub_id string, query_id {query_kind}, doc_id {kind}")
 
 
-def bm25(matches: DataFrame, stats: DataFrame) -> Column:
+def bm25() -> Column:
     """Value of one matched term (tf, length, df, n, average)."""
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
 
 
-def class_statistics(docs_eligible: DataFrame, lengths: DataFrame) -> DataFrame:
-    """class_id, n, average (at least 1) over the eligible documents."""
-    return docs_eligible.join(lengths.select("hub_id", "doc_id", "length"), ["hub_id", "doc_id"]).groupBy("class_id").agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("average"))
+def class_statistics(index: X.Index, spans: DataFrame) -> DataFrame:
+    """class_id, n, average (at least 1) over what each class may see, from the sums of days and never from pairs of class and document.
+
+    Days wholly before or after a cutoff count by their sums. Only the day of the cutoff
+    itself, and the session that a class leaves out, are looked up document by document.
+    """
+    cutoff, day = F.to_date("as_of"), F.nullif("__day", F.lit(NO_DAY).cast("date"))
+    anyone = F.lit(None).cast("string")
+    timeless = lambda: admitted(F.lit(None).cast("timestamp"), day, F.col("d_agent"), F.col("d_source"), anyone)
+    before = F.col("as_of").isNull() | F.col("at").isNull() | (F.col("at") < cutoff)
+    sums = index.sums.withColumnsRenamed({"day": "__day", "agent": "d_agent", "source": "d_source"})
+    whole = sums.join(spans, ["hub_id", "__day"]).where(before).withColumn("as_of", F.lit(None).cast("timestamp")).where(timeless())
+    parts = whole.select("class_id", "documents", "tokens")
+    one = beside(index.postings.where("bucket = -1")).select("hub_id", "__day", "d_instant", "d_agent", "d_source", "d_session", "length")
+    same_date = one.where("d_instant is not null").withColumn("at", F.to_date("d_instant")).join(spans.where("as_of is not null").withColumn("at", cutoff), ["hub_id", "__day", "at"])
+    seen = same_date.where(admitted(F.col("d_instant"), day, F.col("d_agent"), F.col("d_source"), anyone))
+    parts = parts.union(seen.select("class_id", F.lit(1).cast("long"), "length"))
+    theirs = one.join(spans.where("exclude_session is not null").withColumn("d_session", F.col("exclude_session")), ["hub_id", "__day", "d_session"])
+    left_out = theirs.where(admitted(F.col("d_instant"), day, F.col("d_agent"), F.col("d_source"), anyone))
+    parts = parts.union(left_out.select("class_id", F.lit(-1).cast("long"), -F.col("length")))
+    total = parts.groupBy("class_id").agg(F.sum("documents").alias("n"), F.sum("tokens").alias("tokens"))
+    return total.where("n > 0").select("class_id", "n", F.greatest(F.lit(1.0), F.col("tokens") / F.col("n")).alias("average"))
 
 
 def recency(instant: Column, day: Column, q: DataFrame | None = None) -> Column:
@@ -248,9 +284,9 @@ def delivery(status: Column, text: Column, role: Column) -> Column:
     return F.when(done | said, "delivered").when(t.rlike(TO_COME), "planned").when(F.coalesce(role.isin("user", "system"), F.lit(False)), "mentioned").otherwise("unknown")
 
 
-def is_echo(role: Column, source: Column, text: Column, question: Column) -> Column:
-    one = T.squeeze(text)
-    return F.coalesce(role.isin("user", "system") & source.isin("session", "evidence") & (one != "") & (one == T.squeeze(question)), F.lit(False))
+def is_echo(role: Column, source: Column, said: Column, question: Column) -> Column:
+    """Whether a user's or system's row says just the question; ``said`` is the digest of its words, null without any."""
+    return F.coalesce(role.isin("user", "system") & source.isin("session", "evidence") & (said == F.sha1(T.squeeze(question))), F.lit(False))
 
 
 # ---- the whole search
@@ -277,31 +313,52 @@ def prepared(queries: DataFrame, limit: int = 8) -> DataFrame:
     return classes(q)
 
 
-def lexical(docs: DataFrame, q: DataFrame, synonyms: bool = True, index: DataFrame | None = None) -> DataFrame:
+PLAIN = "as_of is null and f_agent is null and f_source is null and exclude_session is null"
+
+
+def reached(index: X.Index, asked: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of the terms asked for on the days asked for, and the document frequencies of those days.
+
+    Both filters are values, so day and bucket partitions that no query needs are not read.
+    """
+    day = F.col("__day")
+    lo, hi = spans.where(day != F.lit(NO_DAY).cast("date")).agg(F.min(day).cast("string"), F.max(day).cast("string")).first()
+    buckets = [r[0] for r in asked.select(X.bucket(F.col("term"), index.buckets).alias("b")).distinct().collect()]  # at most ``index.buckets``
+    on_days = (F.col("day") == F.lit(NO_DAY).cast("date")) | (F.col("day").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")) if lo is not None else F.lit(False))
+    needed = lambda df: df.where(on_days & F.col("bucket").isin(buckets)) if buckets else df.where("false")
+    return needed(index.postings), needed(index.terms)
+
+
+def lexical(index: X.Index, q: DataFrame, phrases: DataFrame, synonyms: bool = True) -> DataFrame:
     """One row per candidate (hub_id, query_id, doc_id): lexical score, coverage, phrase bonus, matched terms.
 
     A candidate hits a strong term or holds the phrase; a query without strong terms
-    takes every eligible document that it meets at all.
+    takes every eligible document that it meets at all. ``phrases`` are ``phrase_hits``.
+    Queries meet postings on hub, day and term, with their filters as conditions of the
+    join; no pair of class and document is formed without a common term.
     """
-    docs = complete(docs, DOC_DEFAULTS)
-    index = postings(docs) if index is None else index
-    ok = eligible(docs, q)
     terms = query_terms(q, synonyms)
-    need = terms.select("hub_id", "term").distinct()
-    found = index.drop("day").join(need, ["hub_id", "term"]).join(ok, ["hub_id", "doc_id"])
-    stats = class_statistics(ok, document_lengths(docs))
-    df = found.groupBy("hub_id", "class_id", "term").agg(F.count("*").alias("df"))
-    asked = terms.join(q.select("hub_id", "query_id", "class_id"), ["hub_id", "query_id"])
-    hits = found.join(df, ["hub_id", "class_id", "term"]).join(stats, "class_id").join(asked, ["hub_id", "class_id", "term"])
-    value = bm25(hits, stats) * F.col("weight")
+    last = index.sums.groupBy("hub_id").agg(F.nullif(F.max("day"), F.lit(NO_DAY).cast("date")).alias("__last"))
+    spans = class_days(q, last)
+    found, frequencies = reached(index, terms, spans)
+    found = beside(found).drop("bucket")
+    wanted = terms.join(q.select("hub_id", "query_id", "class_id"), ["hub_id", "query_id"])
+    asked = wanted.select("hub_id", "class_id", "term").distinct().join(spans, ["hub_id", "class_id"])
+    plain = frequencies.withColumnRenamed("day", "__day").join(asked.where(PLAIN + " and f_date is null"), ["hub_id", "__day", "term"]).select("class_id", "term", "df")
+    other = found.join(asked.where(f"not ({PLAIN} and f_date is null)"), ["hub_id", "__day", "term"]).where(admits()).select("class_id", "term", F.lit(1).cast("long").alias("df"))
+    df = plain.union(other).groupBy("class_id", "term").agg(F.sum("df").alias("df"))
+    weighed = wanted.join(df, ["class_id", "term"]).join(class_statistics(index, spans), "class_id")
+    hits = found.join(weighed.join(spans, ["hub_id", "class_id"]), ["hub_id", "__day", "term"]).where(admits())
+    value = bm25() * F.col("weight")
     by_term = hits.groupBy("hub_id", "query_id", "doc_id").agg(
         F.sum(F.when(F.col("strong"), value).otherwise(0.0)).alias("strong_score"),
         F.sum(F.when(~F.col("strong"), value).otherwise(0.0)).alias("weak_score"),
         F.sum(F.col("strong").cast("long")).alias("strong_hits"),
         F.array_sort(F.collect_set(F.when(F.col("strong"), F.col("term")))).alias("matched_terms"),
     )
-    said = phrase_hits(docs, q).withColumn("has_phrase", F.lit(True))
-    said = said.join(q.select("hub_id", "query_id", "class_id"), ["hub_id", "query_id"]).join(ok, ["hub_id", "class_id", "doc_id"], "left_semi").drop("class_id")
+    own = beside(index.postings.where("bucket = -1")).select("hub_id", "doc_id", "__day", "d_instant", "d_agent", "d_source", "d_session")
+    said = phrases.join(q.select("hub_id", "query_id", "class_id"), ["hub_id", "query_id"]).join(own, ["hub_id", "doc_id"]).join(spans, ["hub_id", "class_id", "__day"]).where(admits())
+    said = said.select("hub_id", "query_id", "doc_id", F.lit(True).alias("has_phrase"))
     strong = terms.groupBy("hub_id", "query_id").agg(F.sum(F.col("strong").cast("long")).alias("n_strong"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     rows = by_term.join(said, ["hub_id", "query_id", "doc_id"], "full_outer").join(strong, ["hub_id", "query_id"], "left")
@@ -313,19 +370,46 @@ def lexical(docs: DataFrame, q: DataFrame, synonyms: bool = True, index: DataFra
     return rows.select("hub_id", "query_id", "doc_id", "lexical", "coverage", "phrase_bonus", "n_strong", "matched_terms")
 
 
-def search(docs: DataFrame, queries: DataFrame, limit: int = 8, synonyms: bool = True, use_postings: DataFrame | None = None, home: str = "/hub") -> DataFrame:
+INDEXED = ("path", "cwd", "agent", "session_id", "instant", "source", "memory_id", "role", "status", "title", "body", "files", "text")
+
+
+def features(docs: DataFrame, home: str = "/hub") -> DataFrame:
+    """What ranking needs of a document, worked out once: its own columns, artifacts, delivery, digests of its head and of its words."""
+    d = complete(docs, DOC_DEFAULTS)
+    head = F.substring(T.squeeze(F.coalesce(F.nullif("title", F.lit("")), F.col("body"), F.col("text"))), 1, 240)
+    own = ("path", "cwd", "agent", "session_id", "instant", "source", "memory_id", "role")
+    made = (artifacts(F.col("text"), F.col("files"), F.col("cwd"), home).alias("artifacts"), delivery(F.col("status"), F.col("text"), F.col("role")).alias("delivery"))
+    return d.select("hub_id", "day", "doc_id", *own, *made, F.sha1(head).alias("head"), F.sha1(F.nullif(T.squeeze("text"), F.lit(""))).alias("said"))
+
+
+def index_of(docs: DataFrame, home: str = "/hub") -> X.Index:
+    """An index of ``docs`` for one plan."""
+    d = complete(docs, DOC_DEFAULTS)
+    return X.of_the_moment(d, features(d, home))
+
+
+def refresh_index(docs: DataFrame, root: str, home: str = "/hub", buckets: int = X.BUCKETS) -> DataFrame:
+    """Bring the stored index in ``root`` up to ``docs``; see ``stored_index.refresh``."""
+    d = complete(docs, DOC_DEFAULTS)
+    return X.refresh(d, features(d, home), root, INDEXED, buckets)
+
+
+def search(docs: DataFrame, queries: DataFrame, limit: int = 8, synonyms: bool = True, index: X.Index | None = None, home: str = "/hub") -> DataFrame:
     """Ranked hits (hub_id, query_id, rank, doc_id, score, ...) of every query.
 
-    ``use_postings`` takes a stored index in the shape of ``postings``; without it the
-    corpus is tokenised. Queries without a topic have no hits.
+    ``index`` is a stored index (``stored_index.opened``); without it one is made of
+    ``docs`` for this plan. Ranking reads the index alone (and ``decision`` of ``docs``,
+    where they have it); the other columns of ``docs`` are fetched for the hits. Queries
+    without a topic have no hits.
     """
     docs = complete(docs, DOC_DEFAULTS)
     q = prepared(queries, limit)
-    rows = lexical(docs, q, synonyms, use_postings).join(q, ["hub_id", "query_id"])
-    d = docs.withColumnsRenamed({"cwd": "d_cwd", "agent": "d_agent", "session_id": "d_session"})
-    d = d.join(rows.select("hub_id", "doc_id").distinct(), ["hub_id", "doc_id"], "left_semi")
-    d = d.withColumn("artifacts", artifacts(F.col("text"), F.col("files"), F.col("d_cwd"), home)).withColumn("delivery", delivery(F.col("status"), F.col("text"), F.col("role"))).withColumnRenamed("text", "d_text")
-    return rank(scored(rows.join(d, ["hub_id", "doc_id"])))
+    index = index_of(docs, home) if index is None else index
+    rows = lexical(index, q, phrase_hits(docs, q), synonyms).join(q, ["hub_id", "query_id"])
+    d = index.features.withColumnsRenamed({"cwd": "d_cwd", "agent": "d_agent", "session_id": "d_session", "said": "d_said"}).withColumn("day", F.nullif("day", F.lit(NO_DAY).cast("date")))
+    rows = rows.join(d, ["hub_id", "doc_id"]).join(docs.where("decision is not null").select("hub_id", "doc_id", "decision"), ["hub_id", "doc_id"], "left")
+    hits = rank(scored(rows))
+    return hits.join(docs.select("hub_id", "doc_id", "line_no", "event_id", "title", "files", "body", "status", F.col("text").alias("d_text")), ["hub_id", "doc_id"])
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -340,7 +424,7 @@ def scored(rows: DataFrame) -> DataFrame:
     made = F.when(topical & named, ARTIFACT).otherwise(0.0) + F.when(topical & named & (F.col("delivery") == "delivered"), DELIVERED).otherwise(0.0)
     planned = F.when(topical & (F.col("delivery") == "planned"), PLANNED).otherwise(1.0)
     weight = F.coalesce(F.element_at(F.create_map(*(x for k, v in SOURCE_WEIGHT.items() for x in (F.lit(k), F.lit(v)))), F.col("source")), F.lit(OTHER_SOURCE))
-    rows = rows.withColumn("echo", is_echo(F.col("role"), F.col("source"), F.col("d_text"), F.coalesce("raw", "text")))
+    rows = rows.withColumn("echo", is_echo(F.col("role"), F.col("source"), F.col("d_said"), F.coalesce("raw", "text")))
     timed = F.when(F.col("kind").isNotNull(), 0.25 + 0.75 * F.least(F.lit(1.0), F.col("recency.score") / RECENCY_TIMED)).otherwise(1.0)
     total = (F.col("lexical") + F.col("phrase_bonus") + extra + F.col("recency.score") + made) * weight * planned * timed * F.when(F.col("echo"), ECHO).otherwise(1.0)
     explain = F.struct(
@@ -356,8 +440,7 @@ def rank(rows: DataFrame) -> DataFrame:
     Demoted decisions come last, meaningful hits of the asked directory first, then by
     score, time, session and corpus order.
     """
-    head = F.substring(T.squeeze(F.coalesce(F.nullif("title", F.lit("")), F.col("body"), F.col("d_text"))), 1, 240)
-    key = F.when((F.col("source") == "memory") & F.col("memory_id").isNotNull(), F.concat(F.lit("id:"), F.col("memory_id"))).otherwise(F.sha1(head))
+    key = F.when((F.col("source") == "memory") & F.col("memory_id").isNotNull(), F.concat(F.lit("id:"), F.col("memory_id"))).otherwise(F.col("head"))
     first = Window.partitionBy("hub_id", "query_id", F.coalesce("path", F.lit("")), key).orderBy("doc_id")
     rows = rows.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
     historical = F.coalesce(~F.col("decision.recommended"), F.lit(False))
@@ -455,10 +538,5 @@ def parity(one: DataFrame, other: DataFrame, columns: tuple[str, ...] = ("hub_id
     return a.exceptAll(b).withColumn("side", F.lit("first")).union(b.exceptAll(a).withColumn("side", F.lit("second")))
 
 
-def changed_buckets(signatures: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("hub_id", "day")) -> DataFrame:
-    """Buckets whose signature is new or differs: only their postings are rebuilt."""
-    return signatures.join(stored.select(*keys, "fingerprint"), [*keys, "fingerprint"], "left_anti")
-
-
 def index_status(index: DataFrame) -> DataFrame:
     return index.groupBy("hub_id", "day").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("postings"), F.sum("tf").alias("tokens"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import os
 from collections.abc import Callable, Iterator
@@ -174,3 +175,78 @@ class Health(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         if event.exception:
             self.note(name=str(event.id), timestamp=None, input_rows=0, error=event.exception[:500])
+
+
+def ingest_tiers(rows: DataFrame, root: str, checkpoint: str, after: Callable[[int], None] = lambda batch: None, trigger: dict | None = None):
+    """Stream lines (``compaction.COLUMNS``) into the recent tier, those of compacted months too; the next compaction merges them.
+
+    A batch that is replayed, because the job stopped between its write and its commit,
+    finds its lines in either tier and adds nothing, even if a compaction ran between.
+    ``after`` is called with the batch's number once it is written.
+    """
+    from ..operators import compaction
+
+    def each(batch: DataFrame, number: int) -> None:
+        compaction.append(batch, root)
+        after(number)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "15 seconds"})).start()
+
+
+RETAINED = "hub_id string, session_id string, last_activity timestamp, events long, status string"
+HELD = "last_activity timestamp, events long, open boolean, logged array<date>"
+CONTROL = "hub_id string, session_id string, ts timestamp, kind string, day date, open boolean"
+
+
+class RetainedSession(StatefulProcessor):
+    """State of a session that goes ``hours`` after its last event, unless an open task holds it or the log lacks its last day.
+
+    Rows are of kind event, task (``open`` says whether a task holds the session now) or
+    logged (``day`` is in the event log). A session that is held when its timer ends waits
+    for the row that sets it free; a later event starts it anew.
+    """
+
+    def __init__(self, hours: int = 24):
+        self.wait = hours * 3_600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", HELD)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        last, events, held, logged = self.state.get() if self.state.exists() else (None, 0, False, [])
+        logged = set(logged or [])
+        for r in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
+            if r.kind == "event":
+                ts = r.ts.to_pydatetime()
+                last, events = ts if last is None or ts > last else last, events + 1
+            elif r.kind == "task":
+                held = bool(r.open)
+            elif r.kind == "logged":
+                logged.add(r.day if not hasattr(r.day, "date") else r.day.date())
+        # days before the last event decide nothing any more
+        logged = sorted(d for d in logged if last is None or d >= last.date())
+        self.state.update((last, events, held, logged))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if last is not None and not held and last.date() in logged:
+            end = int(last.replace(tzinfo=dt.UTC).timestamp() * 1000) + self.wait
+            self.handle.registerTimer(max(end, timer_values.getCurrentWatermarkInMs() + 1))
+        yield self.row(key, "held" if held else "live")
+
+    def handleExpiredTimer(self, key: tuple, timer_values, expired) -> Iterator[pd.DataFrame]:
+        yield self.row(key, "pruned")
+        self.state.clear()
+
+    def row(self, key: tuple, status: str) -> pd.DataFrame:
+        last, events, _, _ = self.state.get()
+        return pd.DataFrame([(*key, last, events, status)], columns=[c.split()[0] for c in RETAINED.split(", ")])
+
+    def close(self) -> None:
+        return None
+
+
+def retained_sessions(rows: DataFrame, hours: int = 24, delay: str = "0 seconds") -> DataFrame:
+    """Stream of session states and of their end (status pruned) from rows of ``CONTROL``, by event time."""
+    keyed = rows.select(*(c.split()[0] for c in CONTROL.split(", "))).withWatermark("ts", delay)
+    return keyed.groupBy("hub_id", "session_id").transformWithStateInPandas(RetainedSession(hours), RETAINED, "update", "EventTime")

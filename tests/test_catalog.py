@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from ravelog.plans import catalog, catalog_more  # noqa: F401
+from ravelog.plans import catalog, catalog_jobs, catalog_more  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -66,7 +66,7 @@ def test_time_hints(spark):
 def test_index_equals_scan_and_batches(spark):
     docs = corpus(spark)
     q = ask(spark).unionByName(ask(spark, query_id=2, text="lunch noise"))
-    one, two = R.search(docs, q), R.search(docs, q, use_postings=R.postings(docs))
+    one, two = R.search(docs, q), R.search(docs, q, index=R.index_of(docs))
     assert R.parity(one, two).count() == 0 and {r.query_id for r in one.collect()} == {1, 2}
 
 
