@@ -24,6 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+NARROW_ROWS = 200_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, of narrow rows, written and marked for broadcast if it has ``NARROW_ROWS`` at most; else Spark chooses the join."""
+    done = cut(df)
+    return F.broadcast(done) if done.count() <= NARROW_ROWS else done
+
+
 def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Rows (hub_id, start, node): every node that each start (hub_id, start) reaches by one edge or more.
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.graph import small_side
 from . import stored_index as X
 from .stored_index import NO_DAY
 
@@ -330,7 +331,7 @@ def reached(index: X.Index, asked: DataFrame, spans: DataFrame) -> tuple[DataFra
 
 
 def lexical(index: X.Index, q: DataFrame, phrases: DataFrame, synonyms: bool = True) -> DataFrame:
-    """One row per candidate (hub_id, query_id, doc_id): lexical score, coverage, phrase bonus, matched terms.
+    """One row per candidate (hub_id, query_id, doc_id): lexical score, coverage, phrase bonus.
 
     A candidate hits a strong term or holds the phrase; a query without strong terms
     takes every eligible document that it meets at all. ``phrases`` are ``phrase_hits``.
@@ -343,18 +344,17 @@ def lexical(index: X.Index, q: DataFrame, phrases: DataFrame, synonyms: bool = T
     found, frequencies = reached(index, terms, spans)
     found = beside(found).drop("bucket")
     wanted = terms.join(q.select("hub_id", "query_id", "class_id"), ["hub_id", "query_id"])
-    asked = wanted.select("hub_id", "class_id", "term").distinct().join(spans, ["hub_id", "class_id"])
+    asked = small_side(wanted.select("hub_id", "class_id", "term").distinct().join(spans, ["hub_id", "class_id"]))
     plain = frequencies.withColumnRenamed("day", "__day").join(asked.where(PLAIN + " and f_date is null"), ["hub_id", "__day", "term"]).select("class_id", "term", "df")
     other = found.join(asked.where(f"not ({PLAIN} and f_date is null)"), ["hub_id", "__day", "term"]).where(admits()).select("class_id", "term", F.lit(1).cast("long").alias("df"))
     df = plain.union(other).groupBy("class_id", "term").agg(F.sum("df").alias("df"))
     weighed = wanted.join(df, ["class_id", "term"]).join(class_statistics(index, spans), "class_id")
-    hits = found.join(weighed.join(spans, ["hub_id", "class_id"]), ["hub_id", "__day", "term"]).where(admits())
+    hits = found.join(small_side(weighed.join(spans, ["hub_id", "class_id"])), ["hub_id", "__day", "term"]).where(admits())
     value = bm25() * F.col("weight")
     by_term = hits.groupBy("hub_id", "query_id", "doc_id").agg(
         F.sum(F.when(F.col("strong"), value).otherwise(0.0)).alias("strong_score"),
         F.sum(F.when(~F.col("strong"), value).otherwise(0.0)).alias("weak_score"),
         F.sum(F.col("strong").cast("long")).alias("strong_hits"),
-        F.array_sort(F.collect_set(F.when(F.col("strong"), F.col("term")))).alias("matched_terms"),
     )
     own = beside(index.postings.where("bucket = -1")).select("hub_id", "doc_id", "__day", "d_instant", "d_agent", "d_source", "d_session")
     said = phrases.join(q.select("hub_id", "query_id", "class_id"), ["hub_id", "query_id"]).join(own, ["hub_id", "doc_id"]).join(spans, ["hub_id", "class_id", "__day"]).where(admits())
@@ -367,7 +367,7 @@ def lexical(index: X.Index, q: DataFrame, phrases: DataFrame, synonyms: bool = T
     rows = rows.withColumn("lexical", (zero("strong_score") + WEAK * zero("weak_score")) * F.when(F.col("n_strong") > 0, COVERAGE_FLOOR + (1 - COVERAGE_FLOOR) * F.col("coverage")).otherwise(1.0))
     rows = rows.withColumn("phrase_bonus", F.when(F.col("has_phrase"), PHRASE).otherwise(0.0))
     rows = rows.where((F.col("n_strong") == 0) | (zero("strong_score") > 0) | (F.col("phrase_bonus") > 0))
-    return rows.select("hub_id", "query_id", "doc_id", "lexical", "coverage", "phrase_bonus", "n_strong", "matched_terms")
+    return rows.select("hub_id", "query_id", "doc_id", "lexical", "coverage", "phrase_bonus", "n_strong")
 
 
 INDEXED = ("path", "cwd", "agent", "session_id", "instant", "source", "memory_id", "role", "status", "title", "body", "files", "text")
@@ -384,7 +384,7 @@ def features(docs: DataFrame, home: str = "/hub") -> DataFrame:
 
 def index_of(docs: DataFrame, home: str = "/hub") -> X.Index:
     """An index of ``docs`` for one plan."""
-    d = complete(docs, DOC_DEFAULTS)
+    d = X.spread(complete(docs, DOC_DEFAULTS))
     return X.of_the_moment(d, features(d, home))
 
 
@@ -405,11 +405,13 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 8, synonyms: bool =
     docs = complete(docs, DOC_DEFAULTS)
     q = prepared(queries, limit)
     index = index_of(docs, home) if index is None else index
-    rows = lexical(index, q, phrase_hits(docs, q), synonyms).join(q, ["hub_id", "query_id"])
+    rows = lexical(index, q, phrase_hits(X.spread(docs), q), synonyms).join(q, ["hub_id", "query_id"])
     d = index.features.withColumnsRenamed({"cwd": "d_cwd", "agent": "d_agent", "session_id": "d_session", "said": "d_said"}).withColumn("day", F.nullif("day", F.lit(NO_DAY).cast("date")))
     rows = rows.join(d, ["hub_id", "doc_id"]).join(docs.where("decision is not null").select("hub_id", "doc_id", "decision"), ["hub_id", "doc_id"], "left")
-    hits = rank(scored(rows))
-    return hits.join(docs.select("hub_id", "doc_id", "line_no", "event_id", "title", "files", "body", "status", F.col("text").alias("d_text")), ["hub_id", "doc_id"])
+    hits = rank(scored(rows)).join(docs.select("hub_id", "doc_id", "line_no", "event_id", "title", "files", "body", "status", F.col("text").alias("d_text")), ["hub_id", "doc_id"])
+    strong = query_terms(q, synonyms).where("strong").groupBy("hub_id", "query_id").agg(F.array_sort(F.collect_set("term")).alias("strong_terms"))
+    hits = hits.join(strong, ["hub_id", "query_id"], "left")
+    return hits.withColumn("matched_terms", F.array_intersect(F.coalesce("strong_terms", F.array().cast("array<string>")), T.tokenize(F.col("d_text")))).drop("strong_terms")
 
 
 def scored(rows: DataFrame) -> DataFrame:

@@ -59,6 +59,12 @@ def filled(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return docs.select("*", *(F.lit(None).cast(KINDS[c]).alias(c) for c in names if c not in docs.columns))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt over all cores where they come in fewer splits than that: working on a text costs more than moving it."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= 2 * cores else docs.repartition(2 * cores)
+
+
 def posted(docs: DataFrame) -> DataFrame:
     """hub_id, day, doc_id, filter columns, term, tf, length: a row for each term of a document and one with a null term.
 
