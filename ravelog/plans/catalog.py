@@ -842,6 +842,12 @@ def sink_evidence_backfill(spark, d):
     return evidence.build_evidence(A.turns(spark, d).where("day >= date '2024-01-10'")).groupBy(day().alias("day")).agg(F.count("*").alias("records"))
 
 
+@register("sc_confidence", rf"""with {RECORDS} select s.hub_id, cast(s.day as varchar) as day, s.session_id, case when count(*) filter (kind = 'goals') > 0 and count(*) filter (kind = 'actions') > 0 then 0.65 else 0.45 end::double as confidence
+  from (select distinct hub_id, day, session_id from turns) s left join chosen_ c on s.hub_id = c.hub_id and s.day = c.day and s.session_id = c.session_id group by 1, 2, 3""")
+def sc_confidence(spark, d):
+    return records(spark, d).select("hub_id", day().alias("day"), "session_id", F.col("confidence").cast("double").alias("confidence"))
+
+
 @register("agg_sets", f"with {A.TURNS} select hub_id, session_id, string_agg(distinct tool, ',' order by tool) as tools from turns where tool is not null group by all")
 def agg_sets(spark, d):
     return records(spark, d).where(F.size("tools") > 0).select("hub_id", "session_id", F.array_join("tools", ",").alias("tools"))

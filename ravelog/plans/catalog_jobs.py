@@ -149,6 +149,19 @@ def str_exactly_once(spark, d):
     return stored.groupBy(day().alias("day")).agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"), F.sum(F.col("event_id").cast("long")).alias("total"))
 
 
+@register("str_ingest", f"with {A.ACTIVITY} select cast(day as varchar) as day, agent, count(*) as events, cast(sum(tokens_out) as bigint) as tokens, min(ts) as first, max(line_no) as last_line from activity group by 1, 2")
+def str_ingest(spark, d):
+    """The event log by day and agent after two runs of the stream, the second over files that came meanwhile."""
+    path, log, checkpoint = place(spark, "source"), place(spark, "log"), place(spark, "checkpoint")
+    rows = events(spark, d)
+    for part in (0, 1):
+        rows.where(F.col("line_no") % 2 == part).repartition(2, "event_id").write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        jobs.ingest(stream, log, checkpoint, trigger={"availableNow": True}).awaitTermination()
+    stored = spark.read.parquet(log)
+    return stored.groupBy(day().alias("day"), "agent").agg(F.count("*").alias("events"), F.sum("tokens_out").alias("tokens"), F.min("ts").alias("first"), F.max("line_no").alias("last_line"))
+
+
 @register("str_dirty_days", "select cast(cast(ts as date) as varchar) as day, event_type as agent, count(*) as events from events where event_id % 3 <> 0 group by 1, 2 union all select cast(date '2030-01-01' as varchar), 'kept', 7")
 def str_dirty_days(spark, d):
     """A table by day, rebuilt by the stream for the days it touches; a day that it doesn't touch keeps what it has."""

@@ -10,7 +10,7 @@ import zstandard
 
 from ravelog.operators import quality
 from ravelog.sources import archives, transcripts
-from ravelog.sources.tail import TailSource
+from ravelog.sources.tail import TailReader, TailSource
 
 
 def lines(spark, rows, path="/log/rollout-2026-10-18T01-02-03-aaaaaaaa-bbbb-cccc-dddd-eeeeeeeeeeee.jsonl"):
@@ -124,6 +124,32 @@ def test_tail_reads_complete_lines_once(spark, tmp_path):
     assert got[2:] == [("a.jsonl", 3, 8, "three"), ("a.jsonl", 4, 14, "four"), ("b.jsonl", 1, 0, "über")]
 
 
+def test_tail_numbers_go_on_and_slices_meet(tmp_path):
+    """A batch reads its own bytes; a reader that starts anew takes up a file longer than a slice where it was left."""
+    path = tmp_path / "a.jsonl"
+    path.write_bytes(b"".join(b"line %d\n" % i for i in range(100)))
+    options = {"path": str(path), "maxBytesPerFile": "50"}
+    reader = TailReader(options)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    parts = reader.partitions(start, end)
+    rows = [r for p in parts for r in reader.read(p)]
+    assert len(parts) > 10 and [(r[2], r[3]) for r in rows] == [(i + 1, f"line {i}") for i in range(100)]
+    with path.open("ab") as f:
+        f.write(b"next\n" * 30 + b"unfinis")
+    again = TailReader(options)
+    more = [r for p in again.partitions(end, again.latestOffset()) for r in again.read(p)]
+    assert [(r[2], r[3]) for r in more] == [(101 + i, "next") for i in range(30)]
+    with path.open("ab") as f:
+        f.write(b"hed\n" + b"x" * 200 + b"\nlast\n")
+    middle = {"files": json.dumps(again.known)}
+    steps = []
+    while (offset := again.latestOffset()) != middle:
+        steps += [(p.start, r[2], r[3]) for p in again.partitions(middle, offset) for r in again.read(p)]
+        middle = offset
+    assert [x[1:] for x in steps] == [(131, "unfinished"), (132, "x" * 200), (133, "last")]
+    assert min(p for p, _, _ in steps) >= 100 * 8  # nothing before the offset is read
+
+
 def test_archives(spark, tmp_path):
     def member(tar, name, body):
         info = tarfile.TarInfo(name)
