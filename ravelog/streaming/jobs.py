@@ -94,7 +94,7 @@ class LiveSession(StatefulProcessor):
         self.state = handle.getValueState("session", STATE)
         self.turns = handle.getListState("turns", TURN)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "line_no"], kind="stable")
         old = self.state.get() if self.state.exists() else None
         agent, model, cwd, started, last, count, intent, last_user = old if old else (None, None, None, None, None, 0, None, None)
@@ -112,12 +112,12 @@ class LiveSession(StatefulProcessor):
         self.turns.put([(x,) for x in lines])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        now = timer_values.getCurrentProcessingTimeInMs()
+        now = timerValues.getCurrentProcessingTimeInMs()
         for wait in (IDLE_MS, STALE_MS, self.retention_ms):
             self.handle.registerTimer(now + wait)
         yield self.row(key, "active", lines)
 
-    def handleExpiredTimer(self, key: tuple, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         left = len(list(self.handle.listTimers()))
         if left == 0:
             self.state.clear()
@@ -125,8 +125,8 @@ class LiveSession(StatefulProcessor):
             return
         yield self.row(key, "idle" if left == 2 else "stale", [r[0] for r in self.turns.get()])
 
-    def handleInitialState(self, key: tuple, initial: pd.DataFrame, timer_values) -> None:
-        r = initial.iloc[0]
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        r = initialState.iloc[0]
         none = lambda v: None if pd.isna(v) else v
         self.state.update((none(r["agent"]), none(r["model"]), none(r["cwd"]), r["started_at"].to_pydatetime(), r["last_activity"].to_pydatetime(), int(r["message_count"]), none(r["intent"]), none(r["last_user"])))
         self.turns.put([(x,) for x in r["recent"]])
@@ -213,7 +213,7 @@ class RetainedSession(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("session", HELD)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, events, held, logged = self.state.get() if self.state.exists() else (None, 0, False, [])
         logged = set(logged or [])
         for r in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
@@ -231,10 +231,10 @@ class RetainedSession(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if last is not None and not held and last.date() in logged:
             end = int(last.replace(tzinfo=dt.UTC).timestamp() * 1000) + self.wait
-            self.handle.registerTimer(max(end, timer_values.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(max(end, timerValues.getCurrentWatermarkInMs() + 1))
         yield self.row(key, "held" if held else "live")
 
-    def handleExpiredTimer(self, key: tuple, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self.row(key, "pruned")
         self.state.clear()
 

@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from ravelog.operators import activity, evidence, quality
 from ravelog.streaming import jobs
 
@@ -74,3 +76,14 @@ def test_freshness(spark):
     now = dt.datetime(2026, 1, 1, 12)
     p = spark.createDataFrame([("a", now - dt.timedelta(seconds=30), 5, None), ("b", now - dt.timedelta(seconds=900), 1, None), ("c", now, 0, "boom")], "name string, timestamp timestamp, input_rows long, error string")
     assert {r.name: r.state for r in quality.freshness(p, F.lit(now)).collect()} == {"a": "ok", "b": "late", "c": "failed"}
+
+
+def test_retention_equals_its_sql_at_the_edges(spark, tmp_path):
+    """A session just past, at and just under 24 hours, one held by a task, one missing in the log, one with events on both sides."""
+    ends = {1: "2024-01-29 23:57:59.999", 2: "2024-01-29 23:58:00", 4: "2024-01-29 23:58:00.001", 5: "2024-01-02 00:00:00", 10: "2024-01-03 00:00:00", 6: "2024-01-28 00:00:00", 9: "2024-02-02 00:00:00"}
+    rows = [(10 * u + k, u, "view", t, 1.5, '{"k": 3}') for u, t in ends.items() for k, t in enumerate((t, "2024-01-01 08:00:00"))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in __spark_entry__.queries()["str_retention"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert got == sorted(con.execute(__spark_entry__.oracle_sql()["str_retention"]).fetchall()) == [("h0", "6", 2), ("h1", "1", 2), ("h2", "2", 2)]
