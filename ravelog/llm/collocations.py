@@ -121,8 +121,9 @@ class Level:
 def levels(lang: str, chunk: bytes, now: Known, before: Known, ahead: bool = False) -> Iterator[Level]:
     """The words of a chunk, then its longer phrases both of whose parts ``now`` knows.
 
-    ``fresh`` are those whose parts ``before`` did not know both, so that no earlier pass
-    counted them; ``ahead`` takes them for parts as well. Within a chunk a phrase is a
+    ``fresh`` are those that no earlier pass counted: it did not take both their parts for
+    parts, because ``before`` did not know one, or knew it by a false hit only and never
+    met it. ``ahead`` takes them for parts as well. Within a chunk a phrase is a
     number: that of its first words and that of its last word in one integer, numbered
     anew for each length. ``heads`` has the number of the phrase that starts at a place,
     or -1.
@@ -145,6 +146,7 @@ def levels(lang: str, chunk: bytes, now: Known, before: Known, ahead: bool = Fal
     is_word = np.zeros(len(names), bool)
     is_word[words] = True
     heads = np.where((now.holds(marks) & is_word)[at], at, -1)
+    parts_before = before.holds(marks) & is_word  # of each number: was it a part in the earlier pass?
     for m in range(2, LONGEST + 1):
         place = np.flatnonzero((heads[:-1] >= 0) & (heads[1:] >= 0))
         if not len(place):
@@ -152,10 +154,11 @@ def levels(lang: str, chunk: bytes, now: Known, before: Known, ahead: bool = Fal
         numbers, index, inverse, a = np.unique(heads[place] * len(names) + at[place + m - 1], return_index=True, return_inverse=True, return_counts=True)
         left, last = numbers // len(names), numbers % len(names)
         built.append((left, last))
-        fresh = ~(before.holds(marks[left]) & before.holds(marks[heads[place[index] + 1]]))
+        fresh = ~(parts_before[left] & parts_before[heads[place[index] + 1]])
         marks = mark(marks[left] * np.uint64(0x9E3779B97F4A7C15) + hashes[last], m)
         yield Level(m, marks, a, fresh, lambda which, m=m: texts(m, which))
         part = now.holds(marks) | (fresh & ahead)
+        parts_before = before.holds(marks) & ~fresh
         heads = np.full(len(at), -1)
         heads[place] = np.where(part[inverse], inverse, -1)
 

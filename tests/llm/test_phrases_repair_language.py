@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,17 @@ def test_filter_that_knows_everything_changes_no_count(spark, monkeypatch):
     assert got_phrases(collocations.collocations(frame(spark, [(*t, "x", 1, 2, 3) for t in texts]), at_least=12)) == brute_phrases(texts, 12)
 
 
+def test_false_hit_of_the_filter_loses_no_phrase(spark):
+    """The filter knows "a b" by chance but not "a", so the first pass never meets "a b c": the second has to count it."""
+    everything, nothing = collocations.Known(np.full(1, np.iinfo(np.uint64).max)), np.empty(0, np.uint64)
+    names = {}
+    for level in collocations.levels("en", b"a b c", everything, collocations.Known(nothing)):
+        names |= dict(zip(level.texts(np.arange(len(level.marks))), level.marks.view(np.int64).tolist(), strict=True))
+    seed = collocations.known(spark.createDataFrame([(names[p],) for p in ("b", "c", "a b", "b c")], "mark long"), nothing)
+    _, found = collocations.closed(spark.createDataFrame([("en", "a b c")] * 40, "lang string, text string"), seed, 30)
+    assert sorted((r.mark, r.a) for r in found.collect()) == sorted((m, 40) for m in names.values())
+
+
 def test_phrases_of_long_texts_and_empty_tables(spark, monkeypatch, no_docs):
     assert collocations.collocations(no_docs).collect() == []
     monkeypatch.setattr(collocations, "CHUNK", 64)
