@@ -18,6 +18,9 @@ CHUNK = 1 << 15
 # MinHash: values a band, bands, and one odd multiplier for each value. A pair of
 # similarity s shares no band with chance (1 - s**BAND) ** BANDS: 3e-6 at 0.8.
 BAND, BANDS = 5, 32
+# Differing bits of the SimHashes of two shingle sets. At a similarity of 0.8 a bit differs with chance 0.15 (0.19 at most,
+# for four of five shingles), so a pair lies further apart with chance 1e-8 (1e-6); of unrelated pairs 81 % do.
+SET_DISTANCE = 28
 FACTORS = np.random.default_rng(42).integers(1 << 63, size=BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -119,6 +122,14 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)], dtype=np.uint64))
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of a set of shingle hashes, each counted once: a bit is set if over half of them set it."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(own), CHUNK):
+        ones += np.unpackbits(own[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(own), bitorder="little").view("<u8")[0])
+
+
 def band_keys(own: np.ndarray) -> np.ndarray:
     """One signed 64-bit key for each band of MinHash values of a shingle set; a set without shingles has keys of its own."""
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
@@ -135,25 +146,27 @@ def set_similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = SET_DISTANCE, n_pivots: int = 8) -> DataFrame:
     """``docs`` with one row of each group linked by a shingle similarity (Jaccard) of ``similarity`` or more.
 
-    Equal shingle sets are one node first. Nodes that share a MinHash band are
-    candidates: a SimHash distance wide enough for 0.8 (some 17 bits) leaves no
-    blocks that tell texts apart. Each candidate pair is then compared exactly.
-    Texts without words are one group. The survivor is chosen as in
+    Equal shingle sets are one node first, with the SimHash of its distinct shingles. Nodes
+    that share a block are candidates; the blocks are MinHash bands, since a SimHash distance
+    wide enough for 0.8 leaves no blocks of its bits that tell texts apart. Candidates
+    whose distances to any reference fingerprint differ by more than ``distance`` are
+    discarded, then those with more differing bits, and what is left is compared exactly.
+    ``distance`` and the bands suit a ``similarity`` of 0.8 or more. Texts without words are one group. The survivor is chosen as in
     ``drop_near_duplicates``.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, keys = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.int32), []
+            ids, prints, sizes, keys = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.int32), []
             for i, t in enumerate(b.column(2)):
                 own = shingles(t.as_py(), shingle)
-                ids[i], sizes[i] = xxhash.xxh64_intdigest(own.tobytes()), len(own)
+                ids[i], prints[i], sizes[i] = xxhash.xxh64_intdigest(own.tobytes()), set_fingerprint(own), len(own)
                 keys.append(band_keys(own))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_id", "id", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_id", "id", "fp", "n", "keys"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,8 +176,8 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
-    marked = texts.mapInArrow(run, "doc_id long, text_id long, id long, n int, keys array<long>")
-    nodes = written(marked.groupBy("id").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    marked = texts.mapInArrow(run, "doc_id long, text_id long, id long, fp long, n int, keys array<long>")
+    nodes = written(marked.groupBy("id").agg(F.min(place).alias("at"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -177,7 +190,7 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
         x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
         return lambda edges, exact=True: cut(cut(edges).join(x, "a").join(y, "b").select("a", "b", alike("x", "y").alias("s")).select("a", "b", (1 - F.col("s")).alias("lo"), (1 - F.col("s")).alias("hi"), (F.col("s") >= similarity).alias("near")))
 
-    wide = nodes.select("id", F.col("id").alias("fp"), "keys", F.col("n").alias("width"))
-    roots = near_groups(wide, 64, 0, 0, 0, confirmed, keyed=True, ratio=similarity, limit=lambda x, y: F.lit(1 - similarity + 1e-9))
+    wide = nodes.select("id", "fp", "keys", F.col("n").alias("width"))
+    roots = near_groups(wide, distance, 0, 0, n_pivots, confirmed, keyed=True, ratio=similarity, limit=lambda x, y: F.lit(1 - similarity + 1e-9))
     of = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     return first_of_groups(docs, of.select("at.doc_id", "at.text_id", "root"))

@@ -229,6 +229,22 @@ def test_similar_documents_match_brute_force(spark, odd_docs, no_docs):
     assert corpus_pipeline.drop_near_duplicates(spark, no_docs, "").count() == 0
 
 
+def test_similar_documents_pass_their_simhash_distance(spark):
+    """The stage's fingerprints count each shingle once, their distance and pivot tables decide, and 0.8 lies within them."""
+    assert simhash_dedup.set_fingerprint(simhash_dedup.shingles("", 5)) == 0
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base), " ".join([*base[:290], "x"]), " ".join(["far", *base[::-1]])] + [" ".join(["again"] * n + base[:60]) for n in (30, 3000)]
+    sets = [simhash_dedup.shingles(t, 5) for t in texts]
+    prints = [simhash_dedup.set_fingerprint(s) for s in sets]
+    hand = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for s in sets]
+    assert prints == hand and prints[3] == prints[4]
+    apart = bin(prints[0] ^ prints[1]).count("1")
+    assert 0 < apart <= simhash_dedup.SET_DISTANCE
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = lambda **more: {r.doc_id for r in simhash_dedup.drop_similar(docs, **more).collect()}
+    assert kept() == {0, 2, 3} and kept(distance=apart - 1) == {0, 1, 2, 3}
+
+
 def test_short_and_unspaced_lines_are_deduplicated(spark, tmp_path):
     """Exact copies of any length go; a long line without spaces is compared with similar ones."""
     chinese = "我们使用饼干来改善您的浏览体验并分析网站流量请接受所有饼干以继续"
