@@ -23,6 +23,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,13 @@ class Model:
     pair_ratios: np.ndarray = field(default_factory=lambda: np.empty(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(2 + len(TAILS)))
     offset: float = -30.0
+    sent: tuple | None = field(default=None, repr=False, compare=False)
+
+    def tables(self, context: SparkContext) -> Broadcast:
+        """The tables as tasks get them, sent once however often the model is used: the driver holds one copy. Weights stay on the driver."""
+        if self.sent is None or self.sent[0] is not context:
+            self.sent = context, context.broadcast(Model(self.levels, self.pairs, self.pair_ratios))
+        return self.sent[1]
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
         """log P(spelling | toxic) - log P(spelling | ordinary) of each word."""
@@ -242,9 +251,9 @@ def table_of(grams: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> Lev
 
 def level(counted: DataFrame, order: int) -> Level:
     """One order's table, collected by itself and kept in short floats: the driver never holds two orders twice."""
-    rows = counted.where(F.col("level") == order).select("gram", "n0", "n1").toPandas()
-    gram = rows["gram"].to_numpy(np.int64).view(np.uint64)
-    return table_of(gram, gram >> np.uint64(8), rows[["n0", "n1"]].to_numpy(np.int64))
+    rows = counted.where(F.col("level") == order).select("gram", "n0", "n1").toArrow()  # no Python object for each row
+    gram = rows["gram"].to_numpy().view(np.uint64)
+    return table_of(gram, gram >> np.uint64(8), np.stack([rows[c].to_numpy() for c in ("n0", "n1")], axis=1))
 
 
 def sequence(pairs: DataFrame, words: DataFrame, corpus: DataFrame, min_pair: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,10 +280,10 @@ def sequence(pairs: DataFrame, words: DataFrame, corpus: DataFrame, min_pair: in
         lower = (F.greatest(F.col(f"f{y}") - e, F.lit(0.0)) + F.lit(e * f_types) * F.col("s")) / f_total
         own = (F.greatest(F.col(f"n{y}") - d, F.lit(0.0)) + d * F.col(f"types_n{y}") * lower) / F.col(f"total_n{y}")
         log_p.append(F.log(F.when(F.col(f"total_n{y}") > 0, own).otherwise(lower)))
-    rows = scored.select("a", "b", (log_p[1] - log_p[0]).alias("ratio")).toPandas()
-    keys = pair_keys(*(rows[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b")))
+    rows = scored.select("a", "b", (log_p[1] - log_p[0]).alias("ratio")).toArrow()
+    keys = pair_keys(*(rows[c].to_numpy().view(np.uint64) for c in ("a", "b")))
     order = np.argsort(keys)
-    return keys[order], rows["ratio"].to_numpy(float)[order]
+    return keys[order], rows["ratio"].to_numpy()[order]
 
 
 def features(docs: DataFrame, model: Model, name: str = "ratio") -> DataFrame:
@@ -283,7 +292,7 @@ def features(docs: DataFrame, model: Model, name: str = "ratio") -> DataFrame:
     A task scores each distinct word of some texts together and keeps the scores; a bounded
     cache holds them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.tables(docs.sparkSession.sparkContext)
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

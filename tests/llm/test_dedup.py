@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from ravelog.llm import hamming, line_dedup, queries, simhash_dedup
+from ravelog.llm import common, hamming, line_dedup, queries, simhash_dedup
 
 
 def levenshtein(a, b):
@@ -267,3 +267,23 @@ def test_clashing_names_and_types(spark):
     assert {r.doc_id: (r.text, r.gone_lines, r["__removed"]) for r in out.collect()} == {1: (rows[0][1], {"a": 1}, 0), 2: ("", {"b": 2}, 1), 3: (None, None, 0)}
     kept = line_dedup.drop_repeated_lines(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] in ([1, 3], [3, 1])
+
+
+def test_small_graphs_end_in_one_pass(spark, monkeypatch):
+    """Chains, cycles and stars: the smallest node of each group, with few jobs where the edges fit one share and by rounds where not."""
+    rng = np.random.default_rng(23)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + (i + 1) % 50) for i in range(50)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2400, (250, 2))] + [(7, 7), (5000, 4000)]
+    number = {n: i for i, n in enumerate(sorted({n for e in edges for n in e}))}
+    of = groups(len(number), [(number[a], number[b]) for a, b in edges])
+    names = sorted(number)
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    want = {n: names[of[number[n]]] for n in linked}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    tracker, tag = spark.sparkContext.statusTracker(), "connected"
+    spark.sparkContext.setJobGroup(tag, tag)
+    rows = common.connected(df).collect()
+    jobs = len(tracker.getJobIdsForGroup(tag))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert {r.node: r.root for r in rows} == want and len(rows) == len(want) and jobs <= 6
+    monkeypatch.setattr(common, "EDGES_A_TASK", 40)
+    assert {r.node: r.root for r in common.connected(df).collect()} == want

@@ -393,3 +393,14 @@ def test_toxicity_edges(spark, odd_docs, no_docs):
     assert kept.columns == docs.columns and {r.doc_id % 2 for r in kept.collect()} == {0}
     assert toxicity.drop_toxic(odd_docs, some).columns == odd_docs.columns
     assert toxicity.scored(no_docs, some).count() == 0
+
+
+def test_model_is_sent_to_the_tasks_once(spark):
+    """Calibration and scoring share one copy of the tables on the driver; scores take the weights fitted in between."""
+    rows = [(i, " ".join(f"w{(i * k) % 17}{'bad' if i % 2 else 'fine'}" for k in range(1, 12))) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    sent = model.tables(spark.sparkContext)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert model.tables(spark.sparkContext) is sent and sent.value.sent is None
+    assert all((got[i] >= 0.5) == bool(i % 2) for i, _ in rows)
