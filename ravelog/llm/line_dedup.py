@@ -35,6 +35,7 @@ FUZZY_WORDS, FUZZY_CHARS, GRAM = 5, 20, 3
 BLOCKS, SAMPLE = 8, 4
 FACTORS = np.random.default_rng(42).integers(1 << 31, size=(BLOCKS, SAMPLE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 COMMON_WORD = np.uint32(1 << 31)
+ROOT_BYTES = 16 << 20
 
 
 def normal_words(line: str) -> list[bytes]:
@@ -84,6 +85,15 @@ def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return np.searchsorted(np.flatnonzero(x == 10), starts), run_hashes(x[letter].astype(np.uint64), first, size, BASE), size, points
 
 
+def first_places(keys: np.ndarray) -> np.ndarray:
+    """The first place of each distinct key, ascending."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.minimum.reduceat(order, np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])))
+    out.sort()
+    return out
+
+
 def line_grams(line: bytes) -> bytes:
     """The overlapping code point triples of a normalised line, as words."""
     text = "".join(line.decode().split())
@@ -154,14 +164,13 @@ def line_table(texts: list[str | None]) -> Lines:
         line, h, size = line[order], h[order], size[order]
     # Copies of a line are looked at once.
     _, some, copy = np.unique(ident, return_index=True, return_inverse=True)
+    rank = np.empty(len(some), np.int64)  # by first place, so that the words stay in order
+    rank[np.argsort(some)] = np.arange(len(some))
     kind = np.full(len(which), -1)
-    kind[some] = np.arange(len(some))
+    kind[some], copy = rank, rank[copy]
     good = kind[line] >= 0
     h, size, line = h[good], size[good], kind[line[good]]
-    order = np.argsort(line, kind="stable")
-    h, size, line = h[order], size[order], line[order]
-    _, once = np.unique(mixed(h ^ (line.astype(np.uint64) * STEP)), return_index=True)
-    once.sort()
+    once = first_places(mixed(h ^ (line.astype(np.uint64) * STEP)))
     h, common, line = h[once], size[once] <= 3, line[once]
     first = np.searchsorted(line, np.arange(len(some)))
     prints = simhashes(h, np.where(common, 1, 2).astype(np.uint64), first, np.append(first[1:], len(h)))[copy]
@@ -208,30 +217,131 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - score / longest
 
 
+STEP_WORDS, TABLE_WORDS, LONG = 8192, 1 << 20, 4096
+
+
+def edit_distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Levenshtein distances of many pairs, over code points; pairs of like lengths are looked at together."""
+    out = np.zeros(len(pairs), np.int64)
+    order = sorted((i for i, (a, b) in enumerate(pairs) if a != b), key=lambda i: (max(map(len, pairs[i])), min(map(len, pairs[i]))))
+    while order:
+        blocks = -(-max(map(len, pairs[order[-1]])) // 64)  # the longest come last and are taken first
+        some = order[-max(1, STEP_WORDS // blocks) :]
+        alone = max(0, len(some) - max(1, STEP_WORDS // blocks // 8))  # a few go along, however short
+        some = [i for k, i in enumerate(some) if k >= alone or 4 * max(map(len, pairs[i])) >= 3 * 64 * (blocks - 1)]
+        del order[-len(some) :]
+        out[some] = block_distances([tuple(sorted(pairs[i], key=len)) for i in some], blocks)
+    return out
+
+
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All code points of some texts, the text and the place of each."""
+    size = np.array([len(t) for t in texts])
+    own = np.repeat(np.arange(len(texts)), size)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4"), own, np.arange(len(own)) - (np.cumsum(size) - size)[own]
+
+
+def block_distances(pairs: list[tuple[str, str]], blocks: int) -> np.ndarray:
+    """Levenshtein distances of (shorter, longer) pairs whose longer texts fit ``blocks`` times 64 code points, none empty.
+
+    Myers' recurrence over the shorter text, in blocks of 64 places of the longer one (Hyyrö, 2003).
+    In step t block w looks at place t - w, so what it needs of block w - 1 is of the step before
+    and all blocks of all pairs move at once.
+    """
+    short, long = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+    (points, own, at), (others, their, place) = (code_points(list(texts)) for texts in reversed(list(zip(*pairs, strict=True))))
+    n, code = len(pairs), np.zeros(int(max(points.max(), others.max(initial=0))) + 1, np.int32)  # code 0: no letter of a longer text
+    code[points] = 1
+    letters = np.flatnonzero(code)
+    width = len(letters) + 1
+    if n > 1 and n * blocks * width > TABLE_WORDS:
+        return np.concatenate([block_distances(half, blocks) for half in (pairs[: n // 2], pairs[n // 2 :])])
+    code[letters] = np.arange(1, width)
+    first = (np.arange(n * blocks) * width).reshape(blocks, n)
+    masks, letter = np.zeros(blocks * n * width, np.uint64), np.zeros((64, blocks, n), np.int32)
+    letter[at % 64, at // 64, own] = code[points]
+    for bit in range(64):
+        masks[first + letter[bit]] |= np.uint64(1 << bit)
+    masks[first] = 0
+    steps = int(short.max()) + blocks - 1
+    texts = np.zeros((steps + blocks, n), np.int64)  # the last place first, so that a step reads one slice
+    texts[steps - 1 - place, their] = code[others]
+    up, down = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
+    plus, minus, eq, x, d, rise = (np.zeros_like(down) for _ in range(6))
+    plus[0], index = 1, np.empty_like(first)
+    one, top, rows, last = np.uint64(1), np.uint64(63), np.arange(n), (long - 1) // 64
+    rises, falls = np.zeros((steps, n), np.uint64), np.zeros((steps, n), np.uint64)
+    for t in range(steps):
+        np.add(first, texts[steps - 1 - t : steps - 1 - t + blocks], out=index)
+        np.take(masks, index, out=eq, mode="clip")
+        np.bitwise_or(eq, down, out=x)
+        eq |= minus
+        np.bitwise_and(eq, up, out=d)
+        d += up
+        d ^= up
+        d |= eq
+        np.bitwise_or(d, up, out=rise)
+        np.invert(rise, out=rise)
+        rise |= down
+        fall = np.bitwise_and(up, d, out=d)
+        rises[t], falls[t] = rise[last, rows], fall[last, rows]
+        np.left_shift(rise, one, out=down)
+        np.left_shift(fall, one, out=eq)
+        down |= plus
+        eq |= minus
+        np.right_shift(rise[:-1], top, out=plus[1:])
+        np.right_shift(fall[:-1], top, out=minus[1:])
+        np.bitwise_or(x, down, out=up)
+        np.invert(up, out=up)
+        up |= eq
+        down &= x
+    bit, place = ((long - 1) % 64).astype(np.uint64), np.arange(steps)[:, None] - last
+    move = (rises >> bit & one).astype(np.int64) - (falls >> bit & one).astype(np.int64)
+    return long + np.where((place >= 0) & (place < short), move, 0).sum(axis=0)
+
+
 def bag_distance(a: str, b: str) -> int:
     """A lower bound of the Levenshtein distance: an edit takes away or adds one code point at most."""
     x, y = Counter(a), Counter(b)
     return max((x - y).total(), (y - x).total())
 
 
-def edit_bounds(a: str, b: str, similarity: float, exact: bool = True) -> tuple[float, float]:
-    """Bounds of the Levenshtein distance, equal unless they tell whether the similarity holds.
-
-    Word-by-word replacement often proves it, and lengths often rule it out, without the recurrence.
-    So do the texts' code points in any order, looked at where no ``exact`` distance is of use.
-    """
+def quick_bounds(a: str, b: str, similarity: float) -> tuple[float, float] | None:
+    """Bounds of the Levenshtein distance that tell whether the similarity holds, where lengths or word-by-word replacement give them."""
     longest, x, y = max(len(a), len(b)), a.split(" "), b.split(" ")
     most = (1 - similarity) * longest
     if abs(len(a) - len(b)) > most + 1e-9:
         return abs(len(a) - len(b)), longest
     if len(x) == len(y) and (replaced := sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q)) <= most:
         return 0, replaced
-    if not exact and (bag := bag_distance(a, b)) > most + 1e-9:
+    return None
+
+
+def edit_bounds(a: str, b: str, similarity: float, exact: bool = True) -> tuple[float, float]:
+    """Bounds of the Levenshtein distance, equal unless they tell whether the similarity holds.
+
+    Word-by-word replacement often proves it, and lengths often rule it out, without the recurrence.
+    So do the texts' code points in any order, looked at where no ``exact`` distance is of use.
+    """
+    if quick := quick_bounds(a, b, similarity):
+        return quick
+    longest = max(len(a), len(b))
+    if not exact and (bag := bag_distance(a, b)) > (1 - similarity) * longest + 1e-9:
         return bag, longest
     distance = round((1 - edit_similarity(a, b)) * longest)
     return distance, distance
 
 
+def many_bounds(pairs: list[tuple[str, str]], similarity: float, exact: bool = True) -> list[tuple[float, float]]:
+    """``edit_bounds`` of many pairs: texts of up to ``LONG`` code points are looked at together, and then always exactly."""
+    short = [max(map(len, pair)) <= LONG for pair in pairs]
+    out = [quick_bounds(a, b, similarity) if s else edit_bounds(a, b, similarity, exact) for (a, b), s in zip(pairs, short, strict=True)]
+    left = [i for i, bounds in enumerate(out) if bounds is None]
+    for i, distance in zip(left, edit_distances([pairs[i] for i in left]).tolist(), strict=True):
+        out[i] = distance, distance
+    return out
+
+
 def alike(a: str, b: str, similarity: float) -> bool:
     """Is the edit similarity at least ``similarity``?"""
     return 1 - edit_bounds(a, b, similarity)[1] / max(1, len(a), len(b)) >= similarity
@@ -290,7 +400,10 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, distance: int = 20)
 
     nodes = classes.where("keys is not null").select(F.col("line_id").alias("id"), "fp", "keys", F.col("chars").alias("width"))
     roots = near_groups(nodes, distance, 0, 0, 0, lambda ids: similar(docs, classes, ids, similarity), keyed=True, ratio=similarity, limit=lambda x, y: (1 - similarity) * F.greatest(x, y) + 1e-6)
-    grouped = classes.drop("keys", "fp", "chars").join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("group", F.coalesce("root", "line_id"))
+    few = small_side(cut(roots.withColumnRenamed("node", "line_id")), F.lit(32), ROOT_BYTES)
+    # A class without a root is nobody's root either: alone, unless it has copies.
+    grouped = classes.drop("keys", "fp", "chars").join(few, "line_id", "left").where("root is not null or n > 1").withColumn("group", F.coalesce("root", "line_id"))
+    grouped = cut(grouped)
     first = grouped.groupBy("group").agg(F.min("at").alias("first"), F.sum("n").alias("size")).where("size > 1")
     many = grouped.join(first, "group").select("line_id", "first")
     again = lines.drop("keys", "fp", "chars").join(many, "line_id").where(place != F.col("first"))
@@ -303,7 +416,7 @@ def similar(docs: DataFrame, classes: DataFrame, ids: DataFrame, similarity: flo
     Texts are fetched once, for the classes in ``ids`` only, from the document of each
     class's first occurrence.
     """
-    wanted = classes.join(ids.withColumnRenamed("id", "line_id"), "line_id").select("line_id", F.col("at.doc_id").alias("at_doc"), F.col("at.text_id").alias("at_text"), F.col("at.line_no").alias("at_line"))
+    wanted = classes.join(small_side(cut(ids.withColumnRenamed("id", "line_id")), F.lit(32), ROOT_BYTES), "line_id").select("line_id", F.col("at.doc_id").alias("at_doc"), F.col("at.text_id").alias("at_text"), F.col("at.line_no").alias("at_line"))
     by_doc = cut(wanted.groupBy("at_doc", "at_text").agg(F.collect_list(F.struct("at_line", "line_id")).alias("wanted")))  # bounded by one document's lines
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +438,7 @@ def similar(docs: DataFrame, classes: DataFrame, ids: DataFrame, similarity: flo
 
     @F.pandas_udf("lo double, hi double, near boolean")
     def measured(x: pd.Series, y: pd.Series, exact: pd.Series) -> pd.DataFrame:
-        bounds = [edit_bounds(p, q, similarity, e) for p, q, e in zip(x, y, exact, strict=True)]
+        bounds = many_bounds(list(zip(x, y, strict=True)), similarity, bool(exact.all()))
         near = [1 - hi / max(1, len(p), len(q)) >= similarity for (_, hi), p, q in zip(bounds, x, y, strict=True)]
         return pd.DataFrame({"lo": [float(lo) for lo, _ in bounds], "hi": [float(hi) for _, hi in bounds], "near": near})
 

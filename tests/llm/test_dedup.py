@@ -269,6 +269,27 @@ def test_clashing_names_and_types(spark):
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] in ([1, 3], [3, 1])
 
 
+def test_many_distances_equal_single_ones():
+    """Block edges, empty texts, several scripts, few and many letters: the recurrence over many pairs is the one over a pair."""
+    rng = np.random.default_rng(17)
+    scripts = ["abc ", "abcdefghijklmnopqrstuvw xyz", "".join(chr(0x4E00 + i) for i in range(900)), "a\U0001f600\u00e9 "]
+    pairs = []
+    for k in range(600):
+        a = "".join(rng.choice(list(scripts[k % 4]), int(rng.choice([0, 1, 5, 63, 64, 65, 128, 200])) + int(rng.integers(0, 3))))
+        b = "".join(c for c in a if rng.random() > 0.1) if k % 3 else "".join(rng.choice(list(scripts[k % 4]), int(rng.integers(0, 220))))
+        pairs.append((a, b))
+    pairs.append(("x" * 5000 + "y", "x" * 5001))
+    want = [round((1 - line_dedup.edit_similarity(a, b)) * max(1, len(a), len(b))) for a, b in pairs]
+    assert line_dedup.edit_distances(pairs).tolist() == want
+    line_dedup.TABLE_WORDS, kept = 64, line_dedup.TABLE_WORDS
+    try:
+        assert line_dedup.edit_distances(pairs[:40]).tolist() == want[:40]
+    finally:
+        line_dedup.TABLE_WORDS = kept
+    for (lo, hi), (a, b), d in zip(line_dedup.many_bounds(pairs, 0.8), pairs, want, strict=True):
+        assert lo <= d <= hi and (1 - hi / max(1, len(a), len(b)) >= 0.8) == (1 - d / max(1, len(a), len(b)) >= 0.8)
+
+
 def test_small_graphs_end_in_one_pass(spark, monkeypatch):
     """Chains, cycles and stars: the smallest node of each group, with few jobs where the edges fit one share and by rounds where not."""
     rng = np.random.default_rng(23)
