@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read again: like ``cut``, in less room for wide or repetitive rows."""
+def written(df: DataFrame, plain: Sequence[str] = ()) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: like ``cut``, in less room for wide or repetitive rows.
+
+    ``plain`` names columns whose values hardly repeat; no dictionary is tried on them.
+    """
     place = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in plain}).parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 

@@ -28,13 +28,14 @@ NORMAL_LINES = NORMAL[:10] + b"\n" + NORMAL[11:]
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # A byte's 8 bits as four 16-bit counters in each of two long integers; a chunk's sums stay under 2**16.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype("<u2").view("<u8")
-CHUNK, TEXT_CHARS = 8000, 1 << 20
+CHUNK, TEXT_CHARS = 8000, 1 << 18
 # Lines of so many words, or so many code points (Chinese or Thai lines have few spaces), are compared with similar ones.
 FUZZY_WORDS, FUZZY_CHARS, GRAM = 5, 20, 3
 # A pair that shares a part s of its distinct words agrees in no block with chance (1 - s**SAMPLE) ** BLOCKS: 1.5 % at 0.8.
 BLOCKS, SAMPLE = 8, 4
 FACTORS = np.random.default_rng(42).integers(1 << 31, size=(BLOCKS, SAMPLE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 COMMON_WORD = np.uint32(1 << 31)
+KEYS = [f"key{i}" for i in range(BLOCKS)]
 ROOT_BYTES = 16 << 20
 
 
@@ -71,27 +72,24 @@ def simhashes(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, ends: np.nd
     return np.packbits(ones * 2 > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Line number, hash, bytes and code points of each word of normalised lines."""
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each normalised line and, for each word, its number among the distinct ones; hash, bytes and code points of those."""
     x = np.frombuffer(data, np.uint8)
-    letter = x > 32
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).view(np.int8)))
+    letter = np.zeros(len(x) + 2, bool)
+    np.greater(x, 32, out=letter[1:-1])
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
     starts, size = edge[::2], edge[1::2] - edge[::2]
+    count = np.diff(np.searchsorted(starts, np.append(np.flatnonzero(x == 10), len(x))), prepend=0)
     if not len(starts):
-        return starts, starts.astype(np.uint64), size, size
-    first = np.cumsum(size) - size
+        return count, starts, starts.astype(np.uint64), size, size
+    places = np.append(0, np.cumsum(size))
+    words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(places), pa.py_buffer(x[letter[1:-1]])]).dictionary_encode()
+    _, places, letters = words.dictionary.buffers()
+    places = np.frombuffer(places, np.int64, len(words.dictionary) + 1)
+    letters, first, size = np.frombuffer(letters, np.uint8, places[-1]), places[:-1], np.diff(places)
     # A character's further UTF-8 bytes are 10xxxxxx.
-    points = np.add.reduceat((x[letter] & 0xC0) != 0x80, first, dtype=np.int64)
-    return np.searchsorted(np.flatnonzero(x == 10), starts), run_hashes(x[letter].astype(np.uint64), first, size, BASE), size, points
-
-
-def first_places(keys: np.ndarray) -> np.ndarray:
-    """The first place of each distinct key, ascending."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    out = np.minimum.reduceat(order, np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])))
-    out.sort()
-    return out
+    points = np.add.reduceat((letters & 0xC0) != 0x80, first, dtype=np.int64)
+    return count, words.indices.to_numpy(), run_hashes(letters.astype(np.uint64), first, size, BASE), size, points
 
 
 def line_grams(line: bytes) -> bytes:
@@ -143,39 +141,99 @@ def line_table(texts: list[str | None]) -> Lines:
     data = [(t or "").encode().translate(NORMAL_LINES) for t in texts]
     n_lines = np.array([d.count(b"\n") + 1 for d in data])
     joined = b"\n".join(data)
-    line, h, size, points = hashed_words(joined)
-    count = np.bincount(line, minlength=int(n_lines.sum())) if len(line) else np.zeros(0, np.int64)
+    count, code, h, size, points = hashed_words(joined)
     which = np.flatnonzero(count)
     if not len(which):
         none, no_key = np.empty(0, np.int64), np.empty(0, np.uint64)
         return Lines(none, none, no_key, no_key, none, none, none.astype(bool), none.reshape(0, BLOCKS))
-    own, line = count[which], np.searchsorted(which, line)
-    chars = np.bincount(line, points, len(which)).astype(np.int64) + own - 1  # spaces between words count
-    ident = run_hashes(h, np.cumsum(own) - own, own, STEP)
+    own = count[which]
+    chars = np.add.reduceat(points[code], np.cumsum(own) - own) + own - 1  # spaces between words count
+    ident = run_hashes(h[code], np.cumsum(own) - own, own, STEP)
     text = np.repeat(np.arange(len(texts)), n_lines)[which]
     dense = (own < FUZZY_WORDS) & (chars >= FUZZY_CHARS)
-    if dense.any():
-        ends = np.flatnonzero(np.frombuffer(joined + b"\n", np.uint8) == 10)
-        at = np.flatnonzero(dense)
-        part, part_h, part_size, _ = hashed_words(b"\n".join(line_grams(joined[ends[w - 1] + 1 if w else 0 : ends[w]]) for w in which[at].tolist()))
-        rest = ~dense[line]
-        line, h, size = (np.concatenate(two) for two in ((line[rest], at[part]), (h[rest], part_h), (size[rest], part_size)))
-        order = np.argsort(line, kind="stable")
-        line, h, size = line[order], h[order], size[order]
     # Copies of a line are looked at once.
     _, some, copy = np.unique(ident, return_index=True, return_inverse=True)
-    rank = np.empty(len(some), np.int64)  # by first place, so that the words stay in order
-    rank[np.argsort(some)] = np.arange(len(some))
-    kind = np.full(len(which), -1)
-    kind[some], copy = rank, rank[copy]
-    good = kind[line] >= 0
-    h, size, line = h[good], size[good], kind[line[good]]
-    once = first_places(mixed(h ^ (line.astype(np.uint64) * STEP)))
-    h, common, line = h[once], size[once] <= 3, line[once]
+    plain = np.zeros(len(which), bool)
+    plain[some] = ~dense[some]
+    kind = np.empty(len(which), np.int64)
+    kind[some] = np.arange(len(some))
+    line, code = np.repeat(kind[plain], own[plain]), code[np.repeat(plain, own)]
+    if dense[some].any():
+        ends = np.flatnonzero(np.frombuffer(joined + b"\n", np.uint8) == 10)
+        at = some[dense[some]]
+        parts, part, part_h, part_size, _ = hashed_words(b"\n".join(line_grams(joined[ends[w - 1] + 1 if w else 0 : ends[w]]) for w in which[at].tolist()))
+        line, code = np.concatenate([line, np.repeat(kind[at], parts)]), np.concatenate([code, part + len(h)])
+        h, size = np.concatenate([h, part_h]), np.concatenate([size, part_size])
+    # A word repeated in a line counts once.
+    bits = len(h).bit_length()
+    held = np.sort(line << bits | code)
+    held = held[np.append(True, held[1:] != held[:-1])]
+    line, code = held >> bits, held & (1 << bits) - 1
     first = np.searchsorted(line, np.arange(len(some)))
-    prints = simhashes(h, np.where(common, 1, 2).astype(np.uint64), first, np.append(first[1:], len(h)))[copy]
+    common = size <= 3
+    prints = simhashes(h[code], np.where(common, 1, 2).astype(np.uint64)[code], first, np.append(first[1:], len(code)))[copy]
     number = which - (np.cumsum(n_lines) - n_lines)[text]
-    return Lines(text, number, ident, prints, own, chars, (own >= FUZZY_WORDS) | dense, sampled_blocks(h, common, first)[copy])
+    return Lines(text, number, ident, prints, own, chars, (own >= FUZZY_WORDS) | dense, sampled_blocks(h[code], common[code], first)[copy])
+
+
+def common_start(a: str, b: str) -> int:
+    """How many code points two texts have in common at their start."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    step = 16
+    while a[low : low + step] == b[low : low + step]:
+        low += step
+        step *= 2
+    high = min(high, low + step)
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def without_ends(a: str, b: str) -> tuple[str, str]:
+    """Two texts without what they have in common at both ends, which does not change their distance; the shorter one first."""
+    start = common_start(a, b)
+    a, b = a[start:], b[start:]
+    if end := common_start(a[::-1], b[::-1]):
+        a, b = a[:-end], b[:-end]
+    return (a, b) if len(a) <= len(b) else (b, a)
+
+
+def band_distance(a: str, b: str, most: int) -> int | None:
+    """The Levenshtein distance of a shorter and a longer text if it is ``most`` at most (under the longer length), else None.
+
+    Myers' recurrence on a window of 2 * most + 2 places that moves down a place in each step (Hyyrö, 2003).
+    """
+    if len(b) - len(a) > most:
+        return None
+    masks: dict[str, int] = {}
+    for start in range(0, len(b), 4096):  # the first step's window begins most + 1 places above the first one
+        part: dict[str, int] = {}
+        for i, c in enumerate(b[start : start + 4096]):
+            part[c] = part.get(c, 0) | 1 << i
+        for c, bits in part.items():
+            masks[c] = masks.get(c, 0) | bits << start + most + 1
+    top, full = 2 * most + 1, (1 << 2 * most + 2) - 1
+    up, down, score, turn, least = full >> most + 1 << most + 1, 0, most, len(b) - most, 2 * most + len(a) - len(b)
+    for t, c in enumerate(a):
+        eq = masks.get(c, 0) >> t & full
+        d = (((eq & up) + up) ^ up | eq | down) & full
+        rise, fall = down | ~(d | up) & full, d & up
+        if t < turn:
+            score += not d >> top
+            if score > least:
+                return None
+        else:
+            at = top - 1 - (t - turn)
+            score += (rise >> at & 1) - (fall >> at & 1)
+        d >>= 1
+        up, down = fall | ~(d | rise) & full, d & rise
+    return score if score <= most else None
 
 
 def edit_similarity(a: str, b: str) -> float:
@@ -187,17 +245,14 @@ def edit_similarity(a: str, b: str) -> float:
     longest = max(len(a), len(b))
     if a == b:
         return 1.0
-    start, stop = 0, min(len(a), len(b))
-    while start < stop and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < stop - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
-    if len(a) > len(b):
-        a, b = b, a
+    a, b = without_ends(a, b)
     if not a:
         return 1 - len(b) / longest
+    most = len(b) // 16 if len(b) > LONG // 4 else len(b)
+    while 4 * most < len(b):  # near texts need a band of the table only
+        if (distance := band_distance(a, b, most)) is not None:
+            return 1 - distance / longest
+        most *= 2
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
@@ -222,15 +277,16 @@ STEP_WORDS, TABLE_WORDS, LONG = 8192, 1 << 20, 4096
 
 def edit_distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     """Levenshtein distances of many pairs, over code points; pairs of like lengths are looked at together."""
-    out = np.zeros(len(pairs), np.int64)
-    order = sorted((i for i, (a, b) in enumerate(pairs) if a != b), key=lambda i: (max(map(len, pairs[i])), min(map(len, pairs[i]))))
+    pairs = [without_ends(a, b) for a, b in pairs]
+    out = np.array([len(b) for _, b in pairs], np.int64)
+    order = sorted((i for i, (a, _) in enumerate(pairs) if a), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
     while order:
-        blocks = -(-max(map(len, pairs[order[-1]])) // 64)  # the longest come last and are taken first
+        blocks = -(-len(pairs[order[-1]][1]) // 64)  # the longest come last and are taken first
         some = order[-max(1, STEP_WORDS // blocks) :]
         alone = max(0, len(some) - max(1, STEP_WORDS // blocks // 8))  # a few go along, however short
-        some = [i for k, i in enumerate(some) if k >= alone or 4 * max(map(len, pairs[i])) >= 3 * 64 * (blocks - 1)]
+        some = [i for k, i in enumerate(some) if k >= alone or 4 * len(pairs[i][1]) >= 3 * 64 * (blocks - 1)]
         del order[-len(some) :]
-        out[some] = block_distances([tuple(sorted(pairs[i], key=len)) for i in some], blocks)
+        out[some] = block_distances([pairs[i] for i in some], blocks)
     return out
 
 
@@ -348,10 +404,10 @@ def alike(a: str, b: str, similarity: float) -> bool:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_id, line_no, line_id, fp, chars, keys) for the lines with a word.
+    """Rows (doc_id, text_id, line_no, line_id, fp, chars, key0, key1, ...) for the lines with a word.
 
-    Equal normalised lines share line_id (a 64-bit hash of their words in order). ``keys``
-    holds the line's blocks; it is null for lines that are only compared exactly, and for
+    Equal normalised lines share line_id (a 64-bit hash of their words in order). The keys
+    are the line's blocks; they are null for lines that are only compared exactly, and for
     a line that stands further up in the same batch.
     """
 
@@ -370,13 +426,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
         new = np.zeros(len(t.ident), bool)
         new[np.unique(t.ident, return_index=True)[1]] = True
         new &= t.fuzzy
-        # A null's slot holds no values: its offset is the next one's.
-        offsets = pa.array(np.append(0, np.cumsum(new * BLOCKS)).astype(np.int32), mask=np.append(~new, False))
-        keys = pa.ListArray.from_arrays(offsets, pa.array(t.keys[new].ravel()))
-        columns = [b.column(0).take(pa.array(t.text)), b.column(1).take(pa.array(t.text)), pa.array(t.number.astype(np.int32)), pa.array(t.ident.view(np.int64)), pa.array(t.prints.view(np.int64)), pa.array(t.chars.astype(np.int32)), keys]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "line_no", "line_id", "fp", "chars", "keys"])
+        keys = [pa.array(key, mask=~new) for key in t.keys.T]
+        columns = [b.column(0).take(pa.array(t.text)), b.column(1).take(pa.array(t.text)), pa.array(t.number.astype(np.int32)), pa.array(t.ident.view(np.int64)), pa.array(t.prints.view(np.int64)), pa.array(t.chars.astype(np.int32)), *keys]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "line_no", "line_id", "fp", "chars", *KEYS])
 
-    return named(docs).mapInArrow(run, "doc_id long, text_id long, line_no int, line_id long, fp long, chars int, keys array<long>")
+    return named(docs).mapInArrow(run, f"doc_id long, text_id long, line_no int, line_id long, fp long, chars int, {', '.join(f'{k} long' for k in KEYS)}")
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -394,40 +448,43 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, distance: int = 20)
     with the smallest (doc_id, line_no) stays, a null doc_id last. Lines of under five
     words and 20 code points are repeats only where they are equal.
     """
-    lines = written(lines_of(docs))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "text_id")
-    classes = written(lines.groupBy("line_id").agg(F.min(place).alias("at"), F.first("fp").alias("fp"), F.first("chars").alias("chars"), F.first("keys", ignorenulls=True).alias("keys"), F.count("*").alias("n")))
+    hashes = ["line_id", "fp", *KEYS]
+    lines = written(lines_of(docs), hashes)
+    # Numbers only, so that rows are grouped by hash and not sorted: copies have equal columns, and any occurrence tells their text.
+    classes = written(lines.groupBy("line_id").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "text_id", "line_no")), *(F.max(c).alias(c) for c in ("fp", "chars", *KEYS))), [*hashes, "text_id"])
 
-    nodes = classes.where("keys is not null").select(F.col("line_id").alias("id"), "fp", "keys", F.col("chars").alias("width"))
+    nodes = classes.where(F.col(KEYS[0]).isNotNull()).select(F.col("line_id").alias("id"), "fp", F.array(*KEYS).alias("keys"), F.col("chars").alias("width"))
     roots = near_groups(nodes, distance, 0, 0, 0, lambda ids: similar(docs, classes, ids, similarity), keyed=True, ratio=similarity, limit=lambda x, y: (1 - similarity) * F.greatest(x, y) + 1e-6)
     few = small_side(cut(roots.withColumnRenamed("node", "line_id")), F.lit(32), ROOT_BYTES)
     # A class without a root is nobody's root either: alone, unless it has copies.
-    grouped = classes.drop("keys", "fp", "chars").join(few, "line_id", "left").where("root is not null or n > 1").withColumn("group", F.coalesce("root", "line_id"))
-    grouped = cut(grouped)
-    first = grouped.groupBy("group").agg(F.min("at").alias("first"), F.sum("n").alias("size")).where("size > 1")
-    many = grouped.join(first, "group").select("line_id", "first")
-    again = lines.drop("keys", "fp", "chars").join(many, "line_id").where(place != F.col("first"))
-    return again.select("doc_id", "text_id", "line_no")
+    grouped = classes.select("line_id", "n").join(few, "line_id", "left").where("root is not null or n > 1").select("line_id", F.coalesce("root", "line_id").alias("group"))
+    among = cut(lines.select("doc_id", "text_id", "line_no", "line_id").join(cut(grouped), "line_id").drop("line_id"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "text_id")
+    first = small_side(cut(among.groupBy("group").agg(F.min(place).alias("first"))), F.lit(128), ROOT_BYTES)
+    return among.join(first, "group").where(place != F.col("first")).select("doc_id", "text_id", "line_no")
 
 
 def similar(docs: DataFrame, classes: DataFrame, ids: DataFrame, similarity: float) -> Callable[..., DataFrame]:
     """A function that bounds the edit distance of edges (a, b) between line classes and tells whether the texts are similar enough.
 
-    Texts are fetched once, for the classes in ``ids`` only, from the document of each
-    class's first occurrence.
+    Texts are fetched once, for the classes in ``ids`` only, from the document that ``classes`` names.
     """
-    wanted = classes.join(small_side(cut(ids.withColumnRenamed("id", "line_id")), F.lit(32), ROOT_BYTES), "line_id").select("line_id", F.col("at.doc_id").alias("at_doc"), F.col("at.text_id").alias("at_text"), F.col("at.line_no").alias("at_line"))
+    wanted = classes.join(small_side(cut(ids.withColumnRenamed("id", "line_id")), F.lit(32), ROOT_BYTES), "line_id").select("line_id", F.col("doc_id").alias("at_doc"), F.col("text_id").alias("at_text"), F.col("line_no").alias("at_line"))
     by_doc = cut(wanted.groupBy("at_doc", "at_text").agg(F.collect_list(F.struct("at_line", "line_id")).alias("wanted")))  # bounded by one document's lines
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lines, names = [], []
-            for text, wants in zip(b.column(0), b.column(1), strict=True):
+            wants = b.column(1).flatten()
+            sizes, places, ids = b.column(1).value_lengths().to_pylist(), wants.field("at_line").to_pylist(), wants.field("line_id").to_pylist()
+            at = 0
+            for text, size in zip(b.column(0), sizes, strict=True):
                 split = (text.as_py() or "").split("\n")
-                for w in wants.as_py():
-                    if w["at_line"] < len(split):
-                        lines.append(split[w["at_line"]])
-                        names.append(w["line_id"])
+                for k in range(at, at + size):
+                    if places[k] < len(split):
+                        lines.append(split[places[k]])
+                        names.append(ids[k])
+                at += size
             for i in range(0, len(lines), 4096):
                 own = [(n, normal_words(line)) for n, line in zip(names[i : i + 4096], lines[i : i + 4096], strict=True)]
                 some = [(n, b" ".join(words).decode()) for n, words in own if words]
@@ -460,11 +517,11 @@ def dedup_lines(docs: DataFrame, lines: str = "__lines", removed: str = "__remov
     by_doc = cut(again.groupBy(F.col("doc_id").alias(doc), F.col("text_id").alias(of)).agg(F.collect_set("line_no").alias(gone)))  # bounded by one document's lines
     text = docs["text"].cast("string")
     joined = docs.join(small_side(by_doc, 48 + 4 * F.size(gone)), F.xxhash64(text).eqNullSafe(F.col(of)) & docs["doc_id"].cast("long").eqNullSafe(F.col(doc)), "left")
-    split = F.split(text, "\n")
-    kept = F.filter(split, lambda line, i: ~F.array_contains(F.col(gone), i))
+    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(F.col(gone), i))
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return joined.select(
         *(F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c not in (lines, removed)),
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias(lines),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias(lines),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed),
     )
 

@@ -308,3 +308,43 @@ def test_small_graphs_end_in_one_pass(spark, monkeypatch):
     assert {r.node: r.root for r in rows} == want and len(rows) == len(want) and jobs <= 6
     monkeypatch.setattr(common, "EDGES_A_TASK", 40)
     assert {r.node: r.root for r in common.connected(df).collect()} == want
+
+
+def test_line_classes_are_grouped_without_sorting(spark, sf, monkeypatch):
+    """Classes of equal lines need no sort of all lines: what is written of them is planned as a grouping by hash."""
+    plans, kept = [], line_dedup.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(line_dedup, "written", lambda df, *more: (plans.append(plan(df)), kept(df, *more))[1])
+    line_dedup.repeated_lines(spark.read.parquet(f"{sf}/documents.parquet"))
+    classes = plans[1]
+    assert "HashAggregate" in classes and "SortAggregate" not in classes
+
+
+def test_common_ends_and_bands_leave_distances_as_they_are(monkeypatch):
+    """Texts lose what they share at both ends first; long near ones are looked at in a band, and what lies outside it in whole."""
+    rng = np.random.default_rng(29)
+    for k in range(300):
+        a = "".join(rng.choice(list("abcde \u00e9"), int(rng.integers(1, 90))))
+        share = (0.02, 0.1, 0.4)[k % 3]
+        b = "".join(("" if rng.random() < 0.4 else str(rng.choice(list("abcx"))) + c) if rng.random() < share else c for c in a)
+        want = levenshtein(a, b)
+        x, y = line_dedup.without_ends(a, b)
+        assert len(x) <= len(y) and levenshtein(x, y) == want and not (x and (x[0] == y[0] or x[-1] == y[-1]))
+        for most in (1, 3, 9, 30):
+            if x and most < len(y):
+                assert line_dedup.band_distance(x, y, most) == (want if want <= most else None)
+        monkeypatch.setattr(line_dedup, "LONG", 64)
+        assert round((1 - line_dedup.edit_similarity(a, b)) * max(1, len(a), len(b))) == want
+        monkeypatch.undo()
+    base = "start " + "".join(rng.choice(list("abcdefgh "), 6000)) + " end"
+    assert line_dedup.edit_distances([(base, base[:3000] + "!" + base[3001:]), (base, base + "x"), (base, base)]).tolist() == [1, 1, 0]
+
+
+def test_distinct_words_are_hashed_once():
+    """Each word's hash is the one it has alone, however often it stands there; words and code points are counted by line."""
+    lines = ["a bb a \u00e9t\u00e9", "", "bb  bb zz", " "]
+    count, code, h, size, points = line_dedup.hashed_words("\n".join(lines).encode())
+    words = [w for line in lines for w in line.split()]
+    assert count.tolist() == [4, 0, 3, 0] and len(h) == len(set(words)) == 4
+    alone = {w: line_dedup.hashed_words(w.encode())[2][0] for w in set(words)}
+    assert h[code].tolist() == [alone[w] for w in words] and size[code].tolist() == [len(w.encode()) for w in words] and points[code].tolist() == [len(w) for w in words]
