@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.graph import small_side
 from . import stored_index as X
-from .stored_index import NO_DAY
+from .stored_index import NO_DAY, spread
 
 # Weights of the score.
 K1, B = 1.2, 0.75
@@ -384,7 +384,7 @@ def features(docs: DataFrame, home: str = "/hub") -> DataFrame:
 
 def index_of(docs: DataFrame, home: str = "/hub") -> X.Index:
     """An index of ``docs`` for one plan."""
-    d = X.spread(complete(docs, DOC_DEFAULTS))
+    d = spread(complete(docs, DOC_DEFAULTS))
     return X.of_the_moment(d, features(d, home))
 
 
@@ -405,7 +405,7 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 8, synonyms: bool =
     docs = complete(docs, DOC_DEFAULTS)
     q = prepared(queries, limit)
     index = index_of(docs, home) if index is None else index
-    rows = lexical(index, q, phrase_hits(X.spread(docs), q), synonyms).join(q, ["hub_id", "query_id"])
+    rows = lexical(index, q, phrase_hits(spread(docs), q), synonyms).join(q, ["hub_id", "query_id"])
     d = index.features.withColumnsRenamed({"cwd": "d_cwd", "agent": "d_agent", "session_id": "d_session", "said": "d_said"}).withColumn("day", F.nullif("day", F.lit(NO_DAY).cast("date")))
     rows = rows.join(d, ["hub_id", "doc_id"]).join(docs.where("decision is not null").select("hub_id", "doc_id", "decision"), ["hub_id", "doc_id"], "left")
     hits = rank(scored(rows)).join(docs.select("hub_id", "doc_id", "line_no", "event_id", "title", "files", "body", "status", F.col("text").alias("d_text")), ["hub_id", "doc_id"])
@@ -414,13 +414,18 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 8, synonyms: bool =
     return hits.withColumn("matched_terms", F.array_intersect(F.coalesce("strong_terms", F.array().cast("array<string>")), T.tokenize(F.col("d_text")))).drop("strong_terms")
 
 
-def scored(rows: DataFrame) -> DataFrame:
-    """Scores of candidate rows that hold a document's and a query's columns."""
-    rows = rows.withColumn("recency", recency(F.col("instant"), F.col("day")))
+def scoped(rows: DataFrame) -> DataFrame:
+    """``rows`` of a document's and a query's columns with scope (cwd, cross_project, any) and what it adds (scope_bonus)."""
     same_cwd = F.coalesce(F.col("d_cwd") == F.col("cwd"), F.lit(False))
-    rows = rows.withColumn("scope", F.when(same_cwd, "cwd").when(F.col("cwd").isNotNull(), "cross_project").otherwise("any"))
     other = F.coalesce(F.col("other_agent") & F.col("exclude_session").isNotNull() & (F.col("d_session") != F.col("exclude_session")) & (F.col("d_session") != ""), F.lit(False))
     extra = F.when(same_cwd, SAME_CWD).otherwise(0.0) + F.when(F.coalesce(F.col("d_agent") == F.col("agent"), F.lit(False)), SAME_AGENT).otherwise(0.0) + F.when(other, OTHER_SESSION).otherwise(0.0)
+    return rows.withColumns({"scope": F.when(same_cwd, "cwd").when(F.col("cwd").isNotNull(), "cross_project").otherwise("any"), "scope_bonus": extra})
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Scores of candidate rows that hold a document's and a query's columns."""
+    rows = scoped(rows.withColumn("recency", recency(F.col("instant"), F.col("day"))))
+    extra = F.col("scope_bonus")
     topical = (F.col("n_strong") == 0) | (F.col("coverage") >= TOPICAL) | (F.col("phrase_bonus") > 0)
     named = names_artifact(F.col("artifacts"))
     made = F.when(topical & named, ARTIFACT).otherwise(0.0) + F.when(topical & named & (F.col("delivery") == "delivered"), DELIVERED).otherwise(0.0)
@@ -433,7 +438,7 @@ def scored(rows: DataFrame) -> DataFrame:
         F.round("lexical", 4).alias("lexical"), F.col("phrase_bonus").alias("phrase"), extra.alias("scope_agent"), F.round("recency.score", 4).alias("recency"), made.alias("artifact_delivery"),
         weight.alias("source_weight"), planned.alias("planned_factor"), F.when(F.col("echo"), ECHO).otherwise(1.0).alias("echo_factor"), F.round("recency.age_minutes", 1).alias("age_minutes"),
     )
-    return rows.withColumn("score", F.round(total, 4)).withColumn("explain", explain)
+    return rows.withColumn("score", F.round(total, 4)).withColumn("explain", explain).drop("scope_bonus")
 
 
 def rank(rows: DataFrame) -> DataFrame:
