@@ -137,10 +137,13 @@ def levels(lang: str, chunk: bytes, now: Known, before: Known, ahead: bool = Fal
     built: list[tuple[np.ndarray, np.ndarray]] = []  # of each length: number of the first words, last word
 
     def texts(m: int, which: np.ndarray) -> list[str]:
-        if m == 1:
-            return [names[i] for i in which.tolist()]
-        left, last = built[m - 2]
-        return [f"{p} {names[j]}" for p, j in zip(texts(m - 1, left[which]), last[which].tolist(), strict=True)]
+        # no recursion: a function that holds itself would keep its chunk's arrays until Python looks for cycles
+        parts: list[list[str]] = []
+        for left, last in reversed(built[: m - 1]):
+            parts.append([names[i] for i in last[which].tolist()])
+            which = left[which]
+        parts.append([names[i] for i in which.tolist()])
+        return parts[0] if m == 1 else list(map(" ".join, zip(*reversed(parts), strict=True)))
 
     yield Level(1, marks[words], np.bincount(at, minlength=len(names))[words], np.ones(len(words), bool), lambda which: texts(1, words[which]))
     is_word = np.zeros(len(names), bool)

@@ -311,3 +311,29 @@ def test_same_as_sql(spark, key, table):
     got = queries.queries()[key](spark, d)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(tuple, got.select(*names).collect()), key=repr) == want
+
+
+def test_counting_frees_each_chunk_without_the_cycle_collector():
+    import gc
+    import tracemalloc
+
+    import numpy as np
+
+    from ravelog.llm import collocations as C
+
+    everything, nothing = C.Known(np.full(64, ~np.uint64(0), np.uint64)), C.Known(np.empty(0, np.uint64))
+    held = []
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for _ in range(6):
+            for level in C.levels("en", b" ".join(b"w%d" % (i * 7919 % 5003) for i in range(20_000)), everything, nothing):
+                last = level.texts(np.arange(3))
+            del level
+            held.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert len(last) == 3 and all(len(p.split()) == 4 for p in last)
+    assert held[-1] < held[0] + (1 << 20)
