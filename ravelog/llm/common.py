@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -72,69 +72,6 @@ def small_side(df: DataFrame, size: Column | None = None, most: int = BROADCAST_
 EDGES_A_TASK = 200_000
 
 
-def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of some edges and the smallest node each can reach by them: roots are hooked onto smaller ones, paths halved."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while (root[x] != root[y]).any():
-        least = np.minimum(root[x], root[y])
-        for end in (x, y):
-            np.minimum.at(root, root[end], least)
-        while (up := root[root]).tobytes() != root.tobytes():
-            root = up
-    return nodes, nodes[root]
-
-
-def stars(edges: DataFrame, roots: bool = False) -> DataFrame:
-    """Edges (a, b) that reach as far as ``edges``: each task turns ``EDGES_A_TASK`` of its own at a time into (node, smallest one reached), with ``roots`` their own roots too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= EDGES_A_TASK:
-                yield star(held)
-                held, n = [], 0
-        if n:
-            yield star(held)
-
-    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        nodes, root = components(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))
-        keep = (nodes != root) | roots
-        return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(root[keep])], names=["a", "b"])
-
-    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
-
-
 def connected(edges: DataFrame) -> DataFrame:
-    """Rows (node, root): the smallest node each node of ``edges`` (a, b) can reach.
-
-    Each task first contracts its own edges to stars. What fits one task's share
-    (``EDGES_A_TASK``) then ends there; more than that takes large-star and small-star
-    rounds (Kiveris et al., 2014) until it fits or nothing moves.
-    Every step of a round is a partial ``min`` and a join, so a node with very many
-    neighbours is pre-aggregated and its join can be split by AQE. A round uses as
-    many tasks as its edges need. Nodes without an edge are not returned; an empty
-    input gives an empty result.
-    """
-    pairs = cut(stars(edges.where("a <> b")))
-    seen = None
-    while True:  # each round at least halves the longest paths and none is left out, so this ends
-        mark = pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(20, 0)))")).first()
-        if mark[0] < EDGES_A_TASK:
-            return stars(pairs.coalesce(1), roots=True).select(F.col("a").alias("node"), F.col("b").alias("root"))
-        if tuple(mark) == seen:
-            break
-        seen, tasks = tuple(mark), 1 + mark[0] // EDGES_A_TASK
-        few = pairs.coalesce(tasks)
-        both = few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
-        large = large.union(least.where("a <> m").coalesce(tasks))
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).union(down.coalesce(tasks))
-        pairs = cut(small.where("a <> b").distinct().coalesce(tasks))
-    roots = pairs.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    """``graph.connected`` with ``EDGES_A_TASK`` edges as one task's share."""
+    return graph.connected(edges, EDGES_A_TASK)
